@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwarp.llm import jaccard
+from inkwarp.llm import jaccard, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (jaccard,):
+for module in (packing, jaccard):
     QUERIES[module.NAME] = module.query
     if module.SQL:
         ORACLES[module.NAME] = module.SQL
