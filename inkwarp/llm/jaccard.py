@@ -7,13 +7,16 @@ they need. A longer prefix gives more postings to scan but demands more matches,
 verify. Each document gets the l whose estimated cost is least.
 
 * Documents with equal sets are one record, named by a 64-bit fingerprint of the set.
-* A gram's frequency over all records comes from one exchange: grams are split by hash range, each
-  range counts its own, and only grams that more than one record has go back to their records. A gram
-  that one record alone has takes a place at the front of its prefix and can match nothing, so a record with
-  enough of them leaves the join before it has a posting.
-* In that exchange a gram is its range and 40 bits of its hash.
+* Grams meet in one exchange, split by hash range; there a gram is its range and 40 bits of its hash, and
+  its document a number within a slice of rows. Each range first says only how many grams of each document
+  others have too. A gram that one record alone has takes a place at the front of its prefix and can match
+  nothing, so documents with enough of them leave. Of those that stay, one for each record, the ranges
+  are then asked for the repeated grams, with frequencies among those that stay.
+* Postings meet by gram. Grams of a family of near copies have much the same posting lists, so lists
+  are gathered by their least record and matches added up there, with matrix products where lists are
+  long; lists of more than BLOCK records are split into blocks that meet pairwise.
 * A candidate's intersection is counted from the two records' repeated grams (others can't be shared),
-  brought together by the smallest gram of each, which near copies mostly have in common; families of
+  brought together by the gram of least hash of each, which near copies mostly have in common; families of
   more than BLOCK records are split into blocks that meet pairwise.
 """
 
@@ -25,14 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.llm.words import column_words, grams, mix
+from inkwarp.llm.words import column_words, grams, mix, slices
 from inkwarp.session import settle, table
 
 NAME = "op6_jaccard_join"
-N, THRESHOLD, MOST_MATCHES, BLOCK = 3, 0.6, 4, 4096
+N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.6, 4, 2048, 24
 #: Bytes of text for one hash range; its grams take about three times as much in a worker.
 RANGE_BYTES = 16_000_000
 
@@ -53,7 +57,7 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, record, size) of every document that has an id and a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             _, _, prints, sizes = _records(batch.column(1), n)
             out = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints), pa.array(sizes.astype(np.int32))], ["doc_id", "record", "size"])
             yield out.filter(pc.greater(out.column(2), 0))
@@ -62,98 +66,249 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, record bigint, size int")
 
 
+_ASKED = "part int, slice bigint, row binary, low binary, high binary"
+
+
 def _blobs(docs: DataFrame, n: int, ranges: int) -> DataFrame:
-    """Each batch's records and grams by hash range."""
+    """Grams by hash range and slice of rows. Negative parts hold each slice's records and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches, 0)):
             g, at, prints, sizes = _records(batch.column(0), n)
-            _, first = np.unique(prints, return_index=True)
-            once = np.zeros(len(prints), bool)
-            once[first] = True
+            name = task << 32 | number
             row = np.repeat(np.arange(len(sizes)), sizes)
-            keep = once[row]
-            g, row = g[keep], row[keep]
             part = (((g >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            g, row, part = g[order], row[order], part[order]
-            bounds = np.searchsorted(part, np.arange(ranges + 1))
-            columns: list[list] = [[], [], [], [], [], []]
-            for p in range(ranges):
-                of, own = row[bounds[p] : bounds[p + 1]], g[bounds[p] : bounds[p + 1]]
-                if not len(of):
-                    continue
-                begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                who = of[begin]
-                for c, x in zip(columns, (p, prints[who].tobytes(), sizes[who].astype(np.int32).tobytes(), np.diff(np.append(begin, len(of))).astype(np.int32).tobytes(), own.astype(np.uint32).tobytes(), (own >> np.uint64(32)).astype(np.uint8).tobytes()), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "records", "sizes", "counts", "low", "high"])
+            g, row, part = g[order], row[order].astype(np.uint16), part[order]
+            there, begin = np.unique(part, return_index=True)
+            low, high = g.astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8)
+            out: list[tuple] = [(-1 - name % ranges, name, b"", prints.tobytes(), sizes.astype(np.int32).tobytes())]
+            out += [(p, name, row[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()) for p, x, y in zip(there.tolist(), begin, [*begin[1:], len(g)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "slice", "row", "low", "high"])
 
     rows = docs.select(F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "part int, records binary, sizes binary, counts binary, low binary, high binary")
-
-
-def _repeated(t: pa.Table) -> pa.Table:
-    """For one hash range: each record's grams that other records have too, with their frequencies."""
-    part = t.column("part")[0].as_py()
-
-    def all_of(name: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
-
-    records, sizes, counts = all_of("records", np.int64), all_of("sizes", np.int32), all_of("counts", np.int32)
-    tokens = all_of("high", np.uint8).astype(np.int64) << 32 | all_of("low", np.uint32)
-    _, first = np.unique(records, return_index=True)
-    once = np.zeros(len(records), bool)
-    once[first] = True
-    row = np.repeat(np.arange(len(records)), counts)
-    keep = once[row]
-    tokens, row = tokens[keep], row[keep]
-    _, back, number = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = number[back]
-    keep = df > 1
-    tokens, row, df = tokens[keep], row[keep], df[keep]
-    who, begin = np.unique(row, return_index=True)
-    at = pa.array(np.append(begin, len(row)).astype(np.int32))
-    return pa.table({"record": records[who], "size": sizes[who], "tokens": pa.ListArray.from_arrays(at, pa.array(tokens | np.int64(part) << 40)), "dfs": pa.ListArray.from_arrays(at, pa.array(df.astype(np.int32)))})
+    return rows.mapInArrow(run, _ASKED)
+
+
+def _bytes(t: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
+
+
+def _tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, row, number of its blob) of one range."""
+    rows = _bytes(t, "row", np.uint16)
+    tokens = np.concatenate(_bytes(t, "high", np.uint8)).astype(np.int64) << 32
+    tokens |= np.concatenate(_bytes(t, "low", np.uint32))
+    return tokens, np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+
+
+def _count(t: pa.Table) -> pa.Table:
+    """For one range: the row of each gram that occurs again. Negative parts pass."""
+    if t.column("part")[0].as_py() < 0:
+        return t.select(["slice", "low", "high"])
+    tokens, row, blob = _tokens(t)
+    order = np.argsort(tokens)
+    same = tokens[order][1:] == tokens[order][:-1]
+    again = np.zeros(len(tokens), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    ends = np.searchsorted(blob[again], np.arange(t.num_rows + 1))
+    found = row[again]
+    return pa.table({"slice": t.column("slice"), "low": pa.array([found[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "high": pa.array([None] * t.num_rows, pa.binary())})
+
+
+def _sieve(t: float):
+    def run(table: pa.Table) -> pa.Table:
+        """For one slice: the documents of which not too many grams are theirs alone."""
+        is_head = np.array([x.is_valid for x in table.column("high")])
+        i = int(np.flatnonzero(is_head)[0])
+        prints, sizes = (np.frombuffer(table.column(c)[i].as_buffer(), k) for c, k in (("low", np.int64), ("high", np.int32)))
+        again = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16) for x, head in zip(table.column("low"), is_head, strict=True) if not head)])
+        there = np.bincount(again, minlength=len(sizes))
+        stay = np.flatnonzero((sizes > 0) & (there >= np.ceil(sizes * t - 1e-9)))
+        return pa.table({"slice": np.full(len(stay), table.column("slice")[0].as_py()), "row": stay.astype(np.int32), "record": prints[stay], "size": sizes[stay]})
+
+    return run
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For one range: the repeated grams of the rows asked for, as frequency class (8 bits) and rank by frequency (24 bits)."""
+    empty = pa.table({c: pa.array([], k) for c, k in (("slice", pa.int64()), ("part", pa.int32()), ("row", pa.binary()), ("token", pa.binary()))})
+    if not left.num_rows or not right.num_rows or left.column("part")[0].as_py() < 0:
+        return empty
+    asked = dict(zip(right.column("slice").to_pylist(), _bytes(right, "rows", np.uint16), strict=True))
+    keep = []
+    for name, row in zip(left.column("slice").to_pylist(), _bytes(left, "row", np.uint16), strict=True):
+        wanted = np.zeros(1 << 16, bool)
+        wanted[asked.get(name, np.zeros(0, np.uint16))] = True
+        keep.append(wanted[row])
+    tokens, row, blob = _tokens(left)
+    keep = np.concatenate(keep)
+    tokens, row, blob = tokens[keep], row[keep], blob[keep]
+    if not len(tokens):
+        return empty
+    _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df)) - np.count_nonzero(df == 1)
+    keep = df[back] > 1
+    row, blob, back = row[keep], blob[keep], back[keep]
+    code = (np.log2(df) * 4).astype(np.uint32)[back] << np.uint32(24) | rank[back].astype(np.uint32)
+    ends = np.searchsorted(blob, np.arange(left.num_rows + 1))
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    out = pa.table({"slice": left.column("slice"), "part": left.column("part"), "row": cut(row), "token": cut(code)})
+    return out.filter(pa.array(ends[1:] > ends[:-1]))
+
+
+_SURVIVOR = "record bigint, size int, alone int, base int, matches int, least bigint, tokens array<bigint>"
+
+
+def _assemble(t: float, most: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For one slice: the records that may have partners, with their repeated grams in the global order and the best l.
+
+        The cost of an l is the postings scanned and the pairs verified, at most scanned / l, each at the cost of merging two sets.
+        """
+        rows = [*_bytes(left, "row", np.uint16), np.zeros(0, np.uint16)] if left.num_rows else [np.zeros(0, np.uint16)]
+        codes = np.concatenate([*(_bytes(left, "token", np.uint32) if left.num_rows else []), np.zeros(0, np.uint32)]).astype(np.int64)
+        part = np.repeat([*left.column("part").to_pylist(), 0] if left.num_rows else [0], [len(x) for x in rows]).astype(np.int64)
+        row = np.concatenate(rows)
+        # class of frequency, range, rank: ascending is the global order
+        tokens = (codes >> 24) << 56 | part << 24 | (codes & 0xFFFFFF)
+        order = np.lexsort((tokens, row))
+        row, tokens = row[order], tokens[order]
+        own, size, record = (right.column(c).to_numpy() for c in ("row", "size", "record"))
+        first, last = np.searchsorted(row, own), np.searchsorted(row, own, "right")
+        need = np.ceil(size * t - 1e-9).astype(np.int64)
+        alone, base = size - (last - first), size - need
+        scanned = np.concatenate([[0.0], np.cumsum(np.exp2((tokens >> 56) / 4))])
+        cost = np.full((most, len(own)), np.inf)
+        for k in range(1, most + 1):
+            long = np.clip(base + k - alone, 0, last - first)
+            s = scanned[first + long] - scanned[first]
+            cost[k - 1] = np.where((need >= k) | (k == 1), s + s / k * size / 16, np.inf)
+        stay = alone <= base
+        lists = [tokens[a:b] for a, b in zip(first[stay], last[stay], strict=True)]
+        least = [int(mix(x.view(np.uint64)).min() >> np.uint64(1)) if len(x) else 0 for x in lists]
+        flat = np.concatenate([np.zeros(0, np.int64), *lists])
+        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+        values = (record[stay], size[stay], alone[stay].astype(np.int32), base[stay].astype(np.int32), cost.argmin(axis=0)[stay].astype(np.int32) + 1, np.array(least, np.int64), pa.ListArray.from_arrays(at, pa.array(flat)))
+        return pa.table(dict(zip(("record", "size", "alone", "base", "matches", "least", "tokens"), values, strict=True)))
+
+    return run
 
 
 def _survivors(docs: DataFrame, n: int, t: float, most: int) -> DataFrame:
-    """(record, size, alone, base, matches, tokens): records that may have partners; tokens are the repeated grams in the global order."""
+    """(record, size, alone, base, matches, least, tokens): records that may have partners; tokens are the repeated grams in the global order."""
     length = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     ranges = max(1, math.ceil(length / RANGE_BYTES))
-    answered = _blobs(docs, n, ranges).groupBy("part").applyInArrow(_repeated, "record bigint, size int, tokens array<bigint>, dfs array<int>")
-    need = F.ceil(F.col("size") * t - 1e-9).cast("int")
-    found = (
-        answered.groupBy("record", "size")
-        .agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-        .select("record", "size", (F.col("size") - F.size("tokens")).alias("alone"), (F.col("size") - need).alias("base"), need.alias("need"), "tokens", "dfs")
-        .filter("alone <= base")
-        .withColumn("ordered", F.array_sort(F.arrays_zip("dfs", "tokens")))
-    )
+    blobs = _blobs(docs, n, ranges)
+    stay = blobs.groupBy("part").applyInArrow(_count, "slice bigint, low binary, high binary").groupBy("slice").applyInArrow(_sieve(t), "slice bigint, row int, record bigint, size int")
+    one = settle(stay.groupBy("record").agg(F.min(F.struct("slice", "row", "size")).alias("at")).select("at.*", "record"))
 
-    def cost(matches: int):
-        """Postings scanned, and at most scanned / matches pairs verified, each at the cost of merging two sets."""
-        scanned = F.aggregate(F.slice("ordered", 1, F.col("base") + matches - F.col("alone")), F.lit(0.0), lambda a, x: a + x["dfs"] - 1)
-        return F.when((F.col("need") >= matches) | F.lit(matches == 1), F.struct((scanned + scanned / matches * F.col("size") / 16).alias("cost"), F.lit(matches).alias("matches")))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x.values.to_numpy().astype(np.uint16).tobytes() for x in batch.column(1)]
+            for p in range(0, ranges, 1024):
+                parts = np.arange(p, min(ranges, p + 1024), dtype=np.int32)
+                for name, row in zip(batch.column(0).to_pylist(), rows, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), name)), pa.array([row] * len(parts), pa.binary())], ["part", "slice", "rows"])
+
+    asked = one.groupBy("slice").agg(F.collect_list("row").alias("rows")).mapInArrow(ask, "part int, slice bigint, rows binary")
+    answered = blobs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answer, "slice bigint, part int, row binary, token binary")
+    return answered.groupBy("slice").cogroup(one.groupBy("slice")).applyInArrow(_assemble(t, most), _SURVIVOR)
+
+
+def _matches(t: float, most: int):
+    """Adds up the matches of posting lists, which come in the order of their homes."""
+
+    def small(e: dict, at: np.ndarray, k: np.ndarray) -> list[tuple]:
+        found = []
+        for length in np.unique(k):
+            i, j = np.triu_indices(length, 1)
+            base = at[k == length][:, None]
+            a, b = (base + i).ravel(), (base + j).ravel()
+            swap = (e["size"][a] < e["size"][b]) | (e["size"][a] == e["size"][b]) & (e["record"][a] < e["record"][b])
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            sa, sb, pa_, pb = e["size"][a], e["size"][b], e["pos"][a], e["pos"][b]
+            most_shared = np.minimum(pa_, pb) + np.minimum(sa - pa_, sb - pb)
+            ok = (np.maximum(e["level"][a], e["level"][b]) <= e["matches"][a]) & (sb >= sa * t - 1e-9) & (most_shared * (1 + t) >= t * (sa + sb) - 1e-6) & (e["record"][a] != e["record"][b])
+            ok &= ~e["cross"][a] | (e["half"][a] != e["half"][b])
+            found.append((a[ok], b[ok]))
+        if not found:
+            return []
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        names, back = np.unique(e["record"], return_inverse=True)
+        key, first, shared = np.unique(back[a] * np.int64(len(names)) + back[b], return_index=True, return_counts=True)
+        return [(names[key // len(names)], names[key % len(names)], shared, e["matches"][a[first]])] if len(key) else []
+
+    def large(e: dict, at: np.ndarray, k: np.ndarray) -> list[tuple]:
+        """One home's lists."""
+        where = np.concatenate([np.arange(x, x + y) for x, y in zip(at, k, strict=True)])
+        row = np.repeat(np.arange(len(k)), k)
+        names, first, back = np.unique(e["record"][where], return_index=True, return_inverse=True)
+        size, matches, half = (e[c][where][first] for c in ("size", "matches", "half"))
+        if len(names) > 3 * BLOCK or len(names) * len(k) > 1 << 24:
+            if len(k) > 1:
+                middle = len(k) // 2
+                return large(e, at[:middle], k[:middle]) + large(e, at[middle:], k[middle:])
+        found = []
+        for few in range(1, most + 1):
+            asks = np.flatnonzero(matches == few)
+            if not len(asks):
+                continue
+            b = np.zeros((len(k), len(names)), np.float32)
+            ok = e["level"][where] <= few
+            b[row[ok], back[ok]] = 1
+            for low in range(0, len(asks), 1024):
+                some = asks[low : low + 1024]
+                shared = b[:, some].T @ b
+                x, y = np.nonzero(shared)
+                n = shared[x, y].astype(np.int64)
+                x = some[x]
+                ok = ((size[y] < size[x]) | (size[y] == size[x]) & (names[y] < names[x])) & (size[y] >= size[x] * t - 1e-9)
+                if e["cross"][where[0]]:
+                    ok &= half[x] != half[y]
+                found.append((names[x[ok]], names[y[ok]], n[ok], matches[x[ok]]))
+        return found
 
-    best = F.array_min(F.filter(F.array(*(cost(k) for k in range(1, most + 1))), lambda x: x.isNotNull()))
-    return found.select("record", "size", "alone", "base", best["matches"].alias("matches"), F.transform("ordered", lambda x: x["tokens"]).alias("tokens"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            e = {c: lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("record", "size", "matches", "level", "pos", "half")}
+            at, k = at[:-1] - at[0], np.diff(at)
+            e["cross"] = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), k)
+            e = {c: v[lists.offsets[0].as_py() :] if c != "cross" else v for c, v in e.items()}
+            home = batch.column(0).to_numpy()
+            short, found = k <= SHORT, []
+            which, weight = np.flatnonzero(short), k[short] ** 2
+            for some in np.split(which, np.searchsorted(np.cumsum(weight), np.arange(4_000_000, weight.sum(), 4_000_000))):
+                found += small(e, at[some], k[some])
+            long = np.flatnonzero(~short)
+            for some in np.split(long, np.flatnonzero((home[long][1:] != home[long][:-1]) | (e["cross"][at[long]][1:] | e["cross"][at[long]][:-1])) + 1) if len(long) else ():
+                found += large(e, at[some], k[some])
+            if found:
+                a, b, shared, matches = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(shared, 127).astype(np.int8)), pa.array(matches.astype(np.int8))], ["a", "b", "shared", "matches"])
+
+    return run
 
 
 def _candidates(survivors: DataFrame, t: float, most: int) -> DataFrame:
     """(a, b): a is the larger record and probes with its own l; b is found under any l."""
     at = survivors.select("record", "size", "matches", "base", "alone", F.posexplode(F.slice("tokens", 1, F.col("base") + most - F.col("alone"))).alias("p", "token"))
-    postings = at.select("token", "record", "size", "matches", F.greatest(F.lit(1), F.col("alone") + F.col("p") + 1 - F.col("base")).alias("level"))
-    a, b = postings.alias("a"), postings.alias("b")
-    close = (F.greatest("a.level", "b.level") <= F.col("a.matches")) & (F.struct("b.size", "b.record") < F.struct("a.size", "a.record")) & (F.col("b.size") >= F.col("a.size") * t - 1e-9)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & close)
-    counted = pairs.groupBy(F.col("a.record").alias("a"), F.col("b.record").alias("b")).agg(F.count("*").alias("shared"), F.first("a.matches").alias("matches"))
-    return counted.filter("shared >= matches").select("a", "b")
+    # a list longer than BLOCK is split; the class of frequency tells its length to a fifth
+    blocks = F.ceil(F.pow(F.lit(2.0), (F.shiftright("token", 56) + 1) / 4) / BLOCK).cast("int")
+    posted = at.select("token", F.pmod(F.xxhash64("record"), blocks).cast("int").alias("half"), blocks.alias("blocks"), "record", "size", F.col("matches").cast("tinyint"), F.greatest(F.lit(1), F.col("alone") + F.col("p") + 1 - F.col("base")).cast("tinyint").alias("level"), (F.col("alone") + F.col("p")).alias("pos"))
+    posted = posted.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("token", F.least("half", "other").alias("x"), F.greatest("half", "other").alias("y"), F.struct("record", "size", "matches", "level", "pos", F.col("half").cast("int").alias("half")).alias("e"))
+    lists = posted.groupBy("token", "x", "y").agg(F.collect_list("e").alias("e")).filter(F.size("e") > 1).select(F.array_min(F.transform("e", lambda v: v["record"])).alias("home"), "e", (F.col("x") != F.col("y")).alias("cross"))
+    added = lists.repartition("home").sortWithinPartitions("home").mapInArrow(_matches(t, most), "a bigint, b bigint, shared tinyint, matches tinyint")
+    return added.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("matches").alias("matches")).filter("shared >= matches").select("a", "b")
 
 
 def _verified(survivors: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that reach the threshold."""
-    home = survivors.select("record", F.array_min("tokens").alias("least"))
+    home = survivors.select("record", "least")
     crowd = home.groupBy("least").count()
     home = settle(home.join(crowd, "least").select("record", F.xxhash64("least", F.pmod("record", F.ceil(F.col("count") / BLOCK))).alias("home")))
     keyed = pairs.join(home.select(F.col("record").alias("a"), F.col("home").alias("x")), "a").join(home.select(F.col("record").alias("b"), F.col("home").alias("y")), "b")
@@ -204,12 +359,15 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int =
     under each of its texts, never its own partner; the largest similarity of a pair counts. Other columns
     are ignored. An empty table gives no rows.
     """
-    members = settle(signatures(docs, n)).groupBy("record").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    marks = settle(signatures(docs, n))
+    members = marks.groupBy("record").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
     same = members.filter(F.size("docs") > 1).select(F.posexplode("docs").alias("p", "doc_a"), "docs")
     same = same.select("doc_a", F.explode(F.slice("docs", F.col("p") + 2, F.size("docs"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     near = record_pairs(docs, n, t, most).join(members.select(F.col("record").alias("a"), F.col("docs").alias("x")), "a").join(members.select(F.col("record").alias("b"), F.col("docs").alias("y")), "b")
     near = near.select(F.explode("x").alias("u"), "y", "jaccard").select("u", F.explode("y").alias("v"), "jaccard").filter("u <> v")
     both = same.union(near.select(F.least("u", "v"), F.greatest("u", "v"), "jaccard"))
+    if marks.groupBy("doc_id").agg(F.count_distinct("record").alias("of")).filter("of > 1").isEmpty():  # each pair is there once
+        return both.withColumn("jaccard", F.round("jaccard", 6))
     return both.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 

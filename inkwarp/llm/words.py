@@ -5,11 +5,13 @@ A word is a maximal run of ASCII letters, ASCII digits and characters beyond ASC
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK, SLICE = 1 << 20, 4_000_000
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 IS_WORD = np.zeros(256, bool)
@@ -45,6 +47,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of whole rows with about most bytes of a text column, as arrays made from them take many times as much."""
+    for batch in batches:
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end, row) of each word. Works through the bytes in chunks that end between words."""
     n = len(data)
