@@ -203,7 +203,7 @@ def _survivors(docs: DataFrame, n: int, t: float, most: int) -> DataFrame:
     ranges = max(1, math.ceil(length / RANGE_BYTES))
     blobs = _blobs(docs, n, ranges)
     stay = blobs.groupBy("part").applyInArrow(_count, "slice bigint, low binary, high binary").groupBy("slice").applyInArrow(_sieve(t), "slice bigint, row int, record bigint, size int")
-    one = settle(stay.groupBy("record").agg(F.min(F.struct("slice", "row", "size")).alias("at")).select("at.*", "record"))
+    one = stay.groupBy("record").agg(F.min(F.struct("slice", "row", "size")).alias("at")).select("at.*", "record")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
