@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwarp.llm.words import column_words, grams, mix, slices
@@ -39,6 +39,8 @@ NAME = "op6_jaccard_join"
 N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.6, 4, 2048, 24
 #: Bytes of text for one hash range; its grams take about three times as much in a worker.
 RANGE_BYTES = 16_000_000
+#: Up to so many ids of rows to drop go to the executors as a broadcast (8 MB), more by a join that shuffles.
+BROADCAST_IDS = 1_000_000
 
 
 def _records(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -387,6 +389,26 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_M
     return named.join(least, "label").select("doc_id", "group")
 
 
+def deduplicated(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
+    """The rows of docs without those of all but one document of each group: the one of least id stays.
+
+    Of rows that repeat an id one stays, that of least text. Rows without id, and those without words, stay. Columns
+    pass, whatever their names.
+    """
+    found = settle(groups(docs, n, t, most).filter("doc_id <> group").select("doc_id").distinct())
+    again = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id")).join(small(found), "doc_id", "left_anti")
+    if not again.isEmpty():
+        single, several = rows.join(small(again), "doc_id", "left_anti"), rows.join(small(again), "doc_id", "left_semi")
+        first = several.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))).filter("r = 1").drop("r")
+        rows = single.unionByName(first)
+    return rows.select("row.*")
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """(record, label): label is the least record of the connected component. Alternates large and small stars until nothing changes."""
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwarp.llm import jaccard, packing
+from inkwarp.llm import jaccard, mixing, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (packing, jaccard):
+for module in (packing, quality, jaccard, pii, mixing):
     QUERIES[module.NAME] = module.query
     if module.SQL:
         ORACLES[module.NAME] = module.SQL
