@@ -12,18 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once to the checkpoint folder that all executors share and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
-    The folder is that of spark.checkpoint.dir. Where none is set, a local session gets a temporary
-    one; on a cluster that is an error, as executors don't share a machine's own folders.
+    Where none is set, a local session gets a temporary one; on a cluster that is an error, as executors
+    don't share a machine's own folders.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="inkwarp-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="inkwarp-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
