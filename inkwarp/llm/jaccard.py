@@ -36,7 +36,7 @@ from inkwarp.llm.words import column_words, grams, mix, slices
 from inkwarp.session import settle, table
 
 NAME = "op6_jaccard_join"
-N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.6, 4, 2048, 24
+N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.5, 4, 2048, 24
 #: Bytes of text for one hash range; its grams take about three times as much in a worker.
 RANGE_BYTES = 16_000_000
 #: Up to so many ids of rows to drop go to the executors as a broadcast (8 MB), more by a join that shuffles.
