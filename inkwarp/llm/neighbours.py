@@ -3,8 +3,8 @@
 The tree is fitted on a bounded sample (SAMPLE); every row is then in the leaf that greedy descent finds, so leaves cover the
 whole table. A query goes through the tree with a priority queue: the nearest unopened node is next, an inner
 node adds its children, a leaf is a visit. How many leaves to visit is calibrated: for PROBES rows the true neighbours are found by
-brute force over the whole table, and visits are widened until TARGET of these lie in visited leaves. Visits then meet the
-leaves' rows in one exchange by leaf, and each query keeps its k best.
+brute force over the whole table, and visits are widened until TARGET of these lie in visited leaves. Neighbouring leaves
+form parts of about PART rows; a query goes to each part once, with the leaves that it visits there, and keeps its k best.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from inkwarp.session import settle, table
 NAME = "op8_neighbours"
 SQL = None
 K, TARGET, PROBES, SAMPLE, LEAF, BRANCHES, ROUNDS, SEED = 10, 0.95, 256, 50_000, 256, 8, 8, 7
-#: Rows of a leaf that are compared with its visitors at a time.
-TILE = 2048
+#: Rows compared at a time, and rows of the leaves that one task searches for their visitors.
+TILE, PART = 1024, 8192
 
 
 @dataclass
@@ -34,6 +34,7 @@ class Tree:
     centres: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    size: np.ndarray  # rows of the sample
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row by greedy descent."""
@@ -94,29 +95,36 @@ def grow(x: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int = SEED) -
             centres.append(c[j])
             first.append(0)
             count.append(0)
-    return Tree(np.stack(centres).astype(np.float64), np.array(first), np.array(count))
+    return Tree(np.stack(centres).astype(np.float64), np.array(first), np.array(count), np.array([len(r) for _, r in waiting]))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k rows nearest to each query but rows of its own id; missing ones have infinite distance."""
-    d = np.round(np.sqrt(_distances(q, x)), 6)
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k rows nearest to each query but rows of its own id, with others at the k-th distance."""
+    d = _distances(q, x)
     d[own[:, None] == ids[None, :]] = np.inf
-    if len(ids) > k:  # ties at the k-th distance go by id
+    if len(ids) > k:
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        out_i, out_d = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
-        r, c = np.nonzero(d <= kth[:, None])
-        order = np.lexsort((ids[c], d[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        ok = place < k
-        out_i[r[ok], place[ok]], out_d[r[ok], place[ok]] = ids[c[ok]], d[r[ok], c[ok]]
-        return out_i, out_d
-    order = np.stack([np.lexsort((ids, row)) for row in d]) if len(ids) else np.zeros((len(q), 0), int)
-    return ids[order], np.take_along_axis(d, order, axis=1)
+        r, c = np.nonzero((d <= (kth + 4e-6 * np.sqrt(kth) + 1e-11)[:, None]) & np.isfinite(d))
+    else:
+        r, c = np.nonzero(np.isfinite(d))
+    return r, ids[c], np.round(np.sqrt(d[r, c]), 6)
+
+
+def _first(r: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, distance) the k nearest different ids of each query; equal distances go by id."""
+    order = np.lexsort((d, i, r))
+    r, i, d = r[order], i[order], d[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
+    r, i, d = r[new], i[new], d[new]
+    order = np.lexsort((i, d, r))
+    r, i, d = r[order], i[order], d[order]
+    ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[ok], i[ok], d[ok]
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -132,6 +140,19 @@ def _sampled(rows: DataFrame, n: int, most: int, salt: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 32)) < int(most / n * (1 << 32)))
 
 
+def _groups(tree: Tree, factor: float) -> np.ndarray:
+    """The part of each leaf: leaves next to each other in the tree, of about PART rows together, are searched by one task."""
+    size, stack, n = np.zeros(len(tree.first), np.int64), [0], 0.0
+    while stack:
+        i = stack.pop()
+        if tree.count[i]:
+            stack += range(tree.first[i] + tree.count[i] - 1, tree.first[i] - 1, -1)
+        else:
+            size[i] = int(n // PART)
+            n += tree.size[i] * factor
+    return size
+
+
 def _brute(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, tree: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, leaves) of each probe's true neighbours."""
     d = probes.shape[1]
@@ -140,9 +161,8 @@ def _brute(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, tree: Tree, k:
         for batch in batches:
             x, own = _matrix(batch.column(1), d), batch.column(0).to_numpy()
             leaf = dict(zip(own.tolist(), tree.leaves(x).tolist(), strict=True))
-            i, s = _nearest(probes, x, own, ids, k)
-            p, c = np.nonzero(np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(i[p, c]), pa.array(s[p, c]), pa.array([leaf[v] for v in i[p, c].tolist()], pa.int64())], ["probe", "vec_id", "distance", "leaf"])
+            p, i, s = _first(*_nearest(probes, x, own, ids, k), k)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(i), pa.array(s), pa.array([leaf[v] for v in i.tolist()], pa.int64())], ["probe", "vec_id", "distance", "leaf"])
 
     near = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "vec_id"))
     found = rows.mapInArrow(run, "probe bigint, vec_id bigint, distance double, leaf bigint").withColumn("r", near).filter(F.col("r") <= k).toArrow()
@@ -186,45 +206,62 @@ def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF)
     px, pid = _matrix(probes.column("embedding").combine_chunks(), d), probes.column("vec_id").to_numpy()
     visits = calibrated(tree, px, *_brute(rows, px, pid, tree, k), target)
 
+    group = _groups(tree, n / len(x))
+    # rows that repeat an id could crowd others out of a part's nearest
+    deep = k * (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0])
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 b = batch.slice(low, 1024)
                 y = _matrix(b.column(1), d)
-                own = tree.leaves(y)
-                seen = tree.visits(y, visits)
+                own, seen = tree.leaves(y), tree.visits(y, visits)
                 q, v = np.nonzero(seen >= 0)
-                index = pa.array(np.concatenate([np.arange(len(y)), q]))
-                kind = np.concatenate([np.zeros(len(y), np.int8), np.ones(len(q), np.int8)])
+                leaf = seen[q, v].astype(np.int32)
+                order = np.lexsort((leaf, group[leaf], q))
+                q, leaf = q[order], leaf[order]
+                new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (group[leaf[1:]] != group[leaf[:-1]])]))
+                lists = [x.tobytes() for x in [*own.astype(np.int32), *np.split(leaf, new[1:])]]
+                index = pa.array(np.concatenate([np.arange(len(y)), q[new]]))
+                kind = np.concatenate([np.zeros(len(y), np.int8), np.ones(len(new), np.int8)])
                 packed = pa.array([r.tobytes() for r in y.astype(np.float32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, seen[q, v]])), pa.array(kind), b.column(0).take(index), packed.take(index)], ["leaf", "kind", "vec_id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([group[own], group[leaf[new]]])), pa.array(kind), b.column(0).take(index), pa.array(lists, pa.binary()), packed.take(index)], ["part", "kind", "vec_id", "leaves", "x"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come leaf by leaf, first the leaf's own, then its visitors."""
-        now, ids, held = None, [], []
+        """Rows come part by part, first those that lie there, then the visitors."""
+        now, held, by = None, [], {}
         for batch in batches:
-            at, kinds, who = (batch.column(i).to_numpy() for i in range(3))
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
-            cuts = np.flatnonzero((at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(at)], strict=True):
-                if at[low] != now:
-                    now, ids, held = at[low], [], []
-                if not kinds[low]:
-                    ids.append(who[low:high])
-                    held.append(y[low:high])
-                    continue
-                if not ids:
-                    continue
-                mine, own = np.concatenate(ids), np.concatenate(held)
-                ids, held = [mine], [own]
-                for q in range(low, high, TILE):
-                    q2 = min(high, q + TILE)
-                    for t in range(0, len(mine), TILE):
-                        i, s = _nearest(y[q:q2], own[t : t + TILE], mine[t : t + TILE], who[q:q2], k)
-                        r, c = np.nonzero(np.isfinite(s))
-                        yield pa.RecordBatch.from_arrays([pa.array(who[q:q2][r]), pa.array(i[r, c]), pa.array(s[r, c])], ["vec_id", "neighbour", "distance"])
-
-    met = rows.mapInArrow(places, "leaf bigint, kind tinyint, vec_id bigint, x binary").repartition("leaf").sortWithinPartitions("leaf", "kind").mapInArrow(meet, "vec_id bigint, neighbour bigint, distance double")
+            for low in range(0, batch.num_rows, TILE):
+                tile = batch.slice(low, TILE)
+                at, kinds, who = (tile.column(i).to_numpy() for i in range(3))
+                leaves = tile.column(3).to_pylist()
+                y = np.frombuffer(b"".join(tile.column(4).to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
+                cuts = np.flatnonzero((at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+                for low, high in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                    if at[low] != now:
+                        now, held, by = at[low], [], {}
+                    here = np.frombuffer(b"".join(leaves[low:high]), np.int32)
+                    if not kinds[low]:
+                        held.append((here, who[low:high], y[low:high]))
+                        continue
+                    if held:
+                        leaf, ids, own = (np.concatenate(v) for v in zip(*held, strict=True))
+                        by, held = {j: (ids[leaf == j], own[leaf == j]) for j in np.unique(leaf).tolist()}, []
+                    row = np.repeat(np.arange(low, high), [len(v) // 4 for v in leaves[low:high]])
+                    found = []
+                    order = np.argsort(here, kind="stable")
+                    for some in np.split(order, np.flatnonzero(np.diff(here[order])) + 1):
+                        if int(here[some[0]]) in by:
+                            ids, own = by[int(here[some[0]])]
+                            r = row[some]
+                            for t in range(0, len(ids), TILE):
+                                p, i, s = _nearest(y[r], own[t : t + TILE], ids[t : t + TILE], who[r], deep)
+                                found.append((r[p], i, s))
+                    if found:
+                        r, i, s = _first(*(np.concatenate(v) for v in zip(*found, strict=True)), k)
+                        yield pa.RecordBatch.from_arrays([pa.array(who[r]), pa.array(i), pa.array(s)], ["vec_id", "neighbour", "distance"])
+
+    met = rows.mapInArrow(places, "part bigint, kind tinyint, vec_id bigint, leaves binary, x binary").repartition("part").sortWithinPartitions("part", "kind").mapInArrow(meet, "vec_id bigint, neighbour bigint, distance double")
     least = met.groupBy("vec_id", "neighbour").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour"))
     return least.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "distance")
