@@ -146,7 +146,7 @@ def render(found: list[tuple[str, str]]) -> str:
 def transcripts(conversations: DataFrame) -> DataFrame:
     """(conv_id, transcript, roles): each conversation as raw text, one turn after another, and the true role of each line that isn't blank.
 
-    Markers are of a style by the id's hash; one turn in six has none. Turns without role or text are left out, roles other
+    Markers are of a style by the id's hash; one turn in six has none. Turns without id, role or text are left out, roles other
     than ROLES too; turns of one number go by role and text. roles has for each line 0 to 5, a state.
     """
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.lower("role").alias("role"), F.col("text").cast("string").alias("text"))

@@ -86,7 +86,7 @@ def _blobs(docs: DataFrame, n: int, ranges: int) -> DataFrame:
             there, begin = np.unique(part, return_index=True)
             low, high = g.astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8)
             out: list[tuple] = [(-1 - name % ranges, name, b"", prints.tobytes(), sizes.astype(np.int32).tobytes())]
-            out += [(p, name, row[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()) for p, x, y in zip(there.tolist(), begin, [*begin[1:], len(g)], strict=True)]
+            out += [(p, name, row[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()) for p, x, y in zip(there.tolist(), begin, np.append(begin, len(g))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "slice", "row", "low", "high"])
 
     rows = docs.select(F.col("text").cast("string")).filter("doc_id is not null and text is not null")
@@ -382,7 +382,7 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_M
     several = named.groupBy("doc_id").agg(F.collect_set("label").alias("of")).filter(F.size("of") > 1)
     ties = settle(several.select(F.array_min("of").alias("a"), F.explode("of").alias("b")).filter("a <> b"))
     if not ties.isEmpty():
-        again = _components(ties).withColumnsRenamed({"record": "label", "label": "over"})
+        again = _components(ties).toDF("label", "over")
         named = named.join(again, "label", "left").select("doc_id", F.coalesce("over", "label").alias("label"))
     named = named.distinct()
     least = named.groupBy("label").agg(F.min("doc_id").alias("group"), F.count("*").alias("members")).filter("members > 1")

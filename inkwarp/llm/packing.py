@@ -79,6 +79,7 @@ def plan(histogram: dict[int, int], context: int = CONTEXT, classes: int = CLASS
     Rank k of a run's length goes to pack first pack + k - first rank. Lengths are 1 to context.
     """
     step = -(-context // classes)
+    classes, whole = -(-context // step), context // step  # whole: classes that surely fit
     count = np.zeros(classes + 1)
     for length, c in histogram.items():
         count[-(-length // step)] += c
@@ -101,7 +102,8 @@ def plan(histogram: dict[int, int], context: int = CONTEXT, classes: int = CLASS
         next_rank[length] += k
         left[length] -= k
 
-    used = [p for p in patterns(classes, depth) if all(count[c] for c in p)]
+    every = patterns(whole, depth) + ([(classes,)] if classes > whole else [])
+    used = [p for p in every if all(count[c] for c in p)]
     if used:
         a = np.zeros((classes, len(used)))
         for j, p in enumerate(used):
