@@ -183,7 +183,8 @@ def stem(word: str, deep: bool = False) -> str:
 @F.pandas_udf(StringType())
 def stems(words: pd.Series) -> pd.Series:
     """stem of each word in lower case; each different word once."""
-    return words.map({w: stem(w.lower()) for w in words.dropna().unique()})
+    known = {w: stem(w.lower()) for w in words.dropna().unique()}
+    return pd.Series([known.get(w) for w in words], dtype=object)
 
 
 # ---- journal names ---------------------------------------------------------------------------------------
