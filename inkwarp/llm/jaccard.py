@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwarp.llm.words import column_words, grams, mix, slices
+from inkwarp.llm.words import column_words, grams, mix, slices, trim
 from inkwarp.session import settle, table
 
 NAME = "op6_jaccard_join"
 N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.5, 4, 2048, 24
 #: Bytes of text for one hash range; its grams take about three times as much in a worker.
 RANGE_BYTES = 16_000_000
+#: Bytes of text that share one numbering of rows.
+SLICE = 4_000_000
 #: Up to so many ids of rows to drop go to the executors as a broadcast (8 MB), more by a join that shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -76,7 +78,7 @@ def _blobs(docs: DataFrame, n: int, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch in enumerate(slices(batches, 0)):
+        for number, batch in enumerate(slices(batches, 0, SLICE)):
             g, at, prints, sizes = _records(batch.column(0), n)
             name = task << 32 | number
             row = np.repeat(np.arange(len(sizes)), sizes)
@@ -116,6 +118,8 @@ def _count(t: pa.Table) -> pa.Table:
     again[order[1:][same]] = again[order[:-1][same]] = True
     ends = np.searchsorted(blob[again], np.arange(t.num_rows + 1))
     found = row[again]
+    del tokens, order, same, row
+    trim()
     return pa.table({"slice": t.column("slice"), "low": pa.array([found[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "high": pa.array([None] * t.num_rows, pa.binary())})
 
 
@@ -158,6 +162,8 @@ def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
     ends = np.searchsorted(blob, np.arange(left.num_rows + 1))
     cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
     out = pa.table({"slice": left.column("slice"), "part": left.column("part"), "row": cut(row), "token": cut(code)})
+    del tokens, keep, df, rank, back
+    trim()
     return out.filter(pa.array(ends[1:] > ends[:-1]))
 
 

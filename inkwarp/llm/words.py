@@ -5,13 +5,14 @@ A word is a maximal run of ASCII letters, ASCII digits and characters beyond ASC
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK, SLICE = 1 << 20, 4_000_000
+CHUNK, SLICE = 1 << 20, 1_000_000
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 IS_WORD = np.zeros(256, bool)
@@ -47,6 +48,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; an idle worker would keep it beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of whole rows with about most bytes of a text column, as arrays made from them take many times as much."""
     for batch in batches:
@@ -56,6 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) ->
             high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
             yield batch.slice(low, high - low)
             low = high
+    trim()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
