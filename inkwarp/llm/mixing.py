@@ -68,17 +68,35 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = DP_TO
 
 
 def budgets(tokens: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None) -> dict[str, int]:
-    """Tokens for each source: in the ratio of the weights, as many as the scarcest source allows, or total if that is less.
+    """Tokens for each source: in the ratio of the weights, but a source that has fewer gives all it has and the others share what it leaves.
 
-    Sources without a weight, or with weight 0, get nothing. Without weights: tokens to the power POWER.
+    With a total these are so many, or all there are. Without one, the tokens of a unit of weight are: without weights (tokens
+    to the power POWER) those of all sources together; with weights those of the scarcest sources that have half of the weight
+    or more, so that a ratio of a few sources is exact while sources of little weight can't shrink the mix. Sources without a
+    weight, or with weight 0, get nothing.
     """
-    weights = {s: float(n) ** POWER for s, n in tokens.items()} if weights is None else {s: w for s, w in weights.items() if w > 0 and tokens.get(s)}
+    given = weights is not None
+    weights = {s: w for s, w in weights.items() if w > 0 and tokens.get(s)} if given else {s: float(n) ** POWER for s, n in tokens.items() if n}
     if not weights:
         return {}
-    whole = sum(weights.values())
-    most = min(tokens[s] * whole / w for s, w in weights.items())
-    most = min(most, total) if total is not None else most
-    return {s: int(most * w / whole + 1e-6) for s, w in weights.items()}
+    order = sorted(weights, key=lambda s: (tokens[s] / weights[s], s))
+    whole, most = sum(weights.values()), sum(tokens[s] for s in weights)
+    if total is not None:
+        left, rest, unit = min(total, most), whole, 0.0
+        for s in order:
+            unit = left / rest
+            if tokens[s] >= unit * weights[s]:
+                break
+            left, rest = left - tokens[s], rest - weights[s]
+    elif given:
+        upto = 0.0
+        for s in order:
+            unit, upto = tokens[s] / weights[s], upto + weights[s]
+            if upto >= whole * (0.5 - 1e-9):
+                break
+    else:
+        unit = most / whole
+    return {s: min(tokens[s], int(unit * w + 1e-6)) for s, w in weights.items()}
 
 
 def _marked(docs: DataFrame, seed: int) -> DataFrame:

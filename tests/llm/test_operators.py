@@ -448,3 +448,16 @@ def test_mixing_edges(spark, odd, empty):
     same = table(spark, [(1, "a b c", None, "s")] * 5 + [(2, "a", None, None)])
     assert mixing.mixed(same, {"s": 1.0}, 7).count() == 2  # two of five rows of one hash
     assert mixing.mixed(same, {"": 1.0}).count() == 1
+
+
+def test_scarce_sources_do_not_size_the_mix(spark):
+    tokens = {f"s{i}": 200_000 for i in range(20)} | {"": 300}
+    budget = mixing.budgets(tokens)
+    assert budget[""] == 300 and all(budget[s] > 0.98 * n for s, n in tokens.items())
+    hot = mixing.budgets({f"s{i}": 1000 for i in range(20)} | {"hot": 20_000})
+    assert hot["s0"] == 1000 and 0.5 < hot["hot"] / 20_000 < 1
+    assert mixing.budgets({"a": 1000, "b": 1000, "c": 10}, {"a": 1.0, "b": 1.0, "c": 1.0}) == {"a": 1000, "b": 1000, "c": 10}
+    assert mixing.budgets({"a": 1000, "b": 3000, "c": 10}, {"a": 1.0, "b": 2.0, "c": 1.0}, 310) == {"a": 100, "b": 200, "c": 10}
+    assert mixing.budgets({"a": 5, "b": 3}, None, 100) == {"a": 5, "b": 3}
+    docs = table(spark, [(i, "x " * 20, None, f"s{i % 4}") for i in range(400)] + [(400, "x", None, None)])
+    assert mixing.mixed(docs).count() > 390
