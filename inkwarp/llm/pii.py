@@ -2,8 +2,9 @@
 
 Detected entities are replaced by keyed surrogates of the same type, format, script, gender and length: digits
 stay digits and letters letters of their case and script, signs, country codes, issuers and public suffixes stay; card numbers with a right
-check digit keep one; addresses stay addresses. Names that a title announces are replaced name by name, with
-endings of the gender that the title tells, so later mentions agree. An entity's surrogate depends on the key, its type and
+check digit keep one; addresses stay addresses. Names that a title announces are replaced name by name, and so are all
+other mentions of these words in the same text, with endings of the gender that the titles tell. A name has one gender in
+all documents, that of its titles if they agree. An entity's surrogate depends on the key, its type and
 its normal form alone, so all its mentions in all documents get the same one (coreference). Surrogates
 of all distinct entities are compared: where two are alike, or one is an entity of the corpus, all but the
 first try again with the next attempt, until all are distinct.
@@ -11,6 +12,7 @@ first try again with the next attempt, until all are distinct.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -90,8 +92,8 @@ def _name(word: str, gender: str, draw: Iterator[int]) -> str:
 
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The replacement of a normal form; kind is that of PATTERNS, with the gender for names ("name:f")."""
-    draw = _stream(key, kind, value, attempt)
+    """The replacement of a normal form; kind is that of PATTERNS, with the gender for names ("name:f"), which tells the ending alone."""
+    draw = _stream(key, kind.split(":")[0], value, attempt)
     if kind.startswith("name"):
         return _name(value, kind[5:], draw)
     if kind == "email":
@@ -123,9 +125,26 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     return _letters(value, draw)
 
 
+def _mentions(text: str, names: set[str], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of the whole-word mentions of names outside the spans, as they are or in upper case; longer names first."""
+    spans = sorted(spans)
+    for name in sorted(names, key=lambda x: (-len(x), x)):
+        for form in dict.fromkeys((name, name.upper())):
+            low = text.find(form)
+            while low >= 0:
+                high = low + len(form)
+                i = bisect.bisect(spans, (low, high))
+                free = (i == 0 or spans[i - 1][1] <= low) and (i == len(spans) or spans[i][0] >= high)
+                if free and not (low and (text[low - 1].isalnum() or text[low - 1] == "_")) and not (high < len(text) and (text[high].isalnum() or text[high] == "_")):
+                    spans.insert(i, (low, high))
+                    yield low, high, name
+                low = text.find(form, high)
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of the entities in a text, in order; a name gives one for each of its words after the title."""
+    """(start, end, kind, normal form) of the entities in a text, in order; a name gives one for each of its words after the title, and for each later or earlier mention."""
     found = []
+    names: dict[str, set[str]] = {}
     for m in _RULES.finditer(text):
         kind, value = m.lastgroup, m.group()
         if m["given"]:
@@ -138,20 +157,25 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         at = m.start()
         for w in re.finditer(_WORD, value[len(title) :]):
             low = at + len(title) + w.start()
-            found.append((low, low + len(w.group()), f"name:{_TITLES[title]}", w.group()))
-    return found
+            found.append((low, low + len(w.group()), "name", w.group()))
+            names.setdefault(w.group(), set()).add(_TITLES[title])
+    if not names:
+        return found
+    found += [(low, high, "name", name) for low, high, name in _mentions(text, set(names), [f[:2] for f in found])]
+    kinds = {w: "name:" + ("" if {"m", "f"} <= g else max(g)) for w, g in names.items()}
+    return sorted((low, high, kinds[value] if kind == "name" else kind, value) for low, high, kind, value in found)
 
 
 def _key(kind: str, value: str) -> str:
     return f"{kind}\t{value}"
 
 
-def replace(text: str, again: dict[str, int], key: bytes = KEY) -> str:
-    """The text with surrogates; again: attempts of entities, by kind, tab and normal form, other than 0."""
+def replace(text: str, again: dict[str, str], key: bytes = KEY) -> str:
+    """The text with surrogates; again: those of entities, by kind, tab and normal form, that don't have their first."""
     out, at = [], 0
     for low, high, kind, value in find(text):
-        new = surrogate(kind, value, again.get(_key(kind, value), 0), key)
-        out += [text[at:low], new.upper() if text[low:high].isupper() and kind == "email" else new]
+        new = again.get(_key(kind, value)) or surrogate(kind, value, 0, key)
+        out += [text[at:low], new.upper() if text[low:high].isupper() and kind.startswith(("email", "name")) else new]
         at = high
     return "".join([*out, text[at:]])
 
@@ -185,12 +209,16 @@ def _surrogates(rows: DataFrame, key: bytes) -> DataFrame:
 
 
 def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, attempt) of the entities whose first surrogate is another's, or is itself an entity of the corpus.
+    """(kind, value, attempt, surrogate) of the entities whose first surrogate is another's, or is itself an entity of the corpus, or has another gender than their names elsewhere.
 
     Of entities with one surrogate that of least kind and value keeps it. Attempts go on until all differ; a short
     format may have fewer surrogates than the corpus has entities, so after 50 attempts those left keep theirs.
     """
-    every = settle(entities(docs).select("kind", "value").distinct())
+    seen = settle(entities(docs).select("kind", "value").distinct())
+    name = F.col("kind").startswith("name:")
+    genders = F.array_remove(F.collect_set(F.substring("kind", 6, 1)), "")
+    named = seen.filter(name).groupBy("value").agg(F.concat(F.lit("name:"), F.when(F.size(genders) == 1, genders[0]).otherwise("")).alias("kind"))
+    every = settle(seen.filter(~name).unionByName(named))
     now = settle(_surrogates(every.withColumn("attempt", F.lit(0)), key))
     taken = every.select(F.col("value").alias("surrogate")).distinct()
     for _ in range(50):
@@ -200,7 +228,9 @@ def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         if bad.isEmpty():
             break
         now = settle(now.join(bad, ["kind", "value"], "left_anti").unionByName(_surrogates(bad, key)))
-    return now.filter("attempt > 0").select("kind", "value", "attempt")
+    changed = now.filter("attempt <> 0 and not startswith(kind, 'name:')")
+    of = now.filter(name).select(F.col("kind").alias("one"), "value", "attempt", "surrogate")
+    return changed.unionByName(seen.join(of, "value").filter(name & F.expr("attempt <> 0 or kind <> one")).drop("one"))
 
 
 def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -213,7 +243,7 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     few = again.limit(SHIPPED + 1).toArrow()
     at = docs.columns.index("text")
     if few.num_rows <= SHIPPED:
-        shipped = {_key(k, v): a for k, v, a in zip(*(c.to_pylist() for c in few.columns), strict=True)}
+        shipped = {_key(k, v): new for k, v, new in zip(*(few[c].to_pylist() for c in ("kind", "value", "surrogate")), strict=True)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, at):
@@ -228,7 +258,7 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     # too many to ship: each text gets its own, by a hash of the text
     of = F.xxhash64(F.col("text").cast("string"))
     own = entities(docs.select(of.alias("doc_id"), "text")).distinct().join(again, ["kind", "value"])
-    own = own.groupBy(F.col("doc_id").alias("pii_text")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "kind", "value"), "attempt"))).alias("pii_again"))
+    own = own.groupBy(F.col("doc_id").alias("pii_text")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "kind", "value"), "surrogate"))).alias("pii_again"))
 
     @F.pandas_udf("string")
     def change(texts, agains):

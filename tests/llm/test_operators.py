@@ -304,6 +304,15 @@ def test_names_agree_in_gender_script_and_mention():
     assert m[1][-1] == "a" and m[2] == m[6] != "Smith" and m[3][-1] == "n" and re.fullmatch("[А-Я][а-я]+", m[5])
 
 
+def test_untitled_mentions_and_titles_of_one_name(spark):
+    new = pii.replace("Smith wrote. Dr. Anna Smith said so; Smith's ANNA, Smithson and Blacksmith. Mr Smith left.", {})
+    m = re.fullmatch(r"(\w+) wrote\. Dr\. (\w+) (\w+) said so; (\w+)'s (\w+), Smithson and Blacksmith\. Mr (\w+) left\.", new)
+    assert m[1] == m[3] == m[4] == m[6] != "Smith" and m[1][-1] == "n" and m[5] == m[2].upper() != "ANNA"
+    docs = table(spark, [(1, "Mr Smith and Mrs. Jones came."), (2, "Dr Smith came, Smith left."), (3, "Mr. Jones came.")])
+    one, two, three = (re.findall(r"\w+", r["text"]) for r in pii.replaced(docs).orderBy("doc_id").collect())
+    assert one[1] == two[1] == two[3] and one[1][-1] == "n" and one[4] == three[1] != "Jones"
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     slow = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda kind, value, attempt=0, key=b"": f"1.1.1.{len(value) % 2 + attempt}" if kind == "ip" else slow(kind, value, attempt, key))
