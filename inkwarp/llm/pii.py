@@ -7,16 +7,20 @@ other mentions of these words in the same text, with endings of the gender that
 all documents, that of its titles if they agree. An entity's surrogate depends on the key, its type and
 its normal form alone, so all its mentions in all documents get the same one (coreference). Surrogates
 of all distinct entities are compared: where two are alike, or one is an entity of the corpus, all but the
-first try again with the next attempt, until all are distinct.
+first try again with the next attempt, up to ATTEMPTS. Those left get unused surrogates of their format one by one, or longer
+ones where there are none, so that all are distinct.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import random
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +34,8 @@ SQL = None
 KEY = b"inkwarp surrogates"
 #: Surrogates that need another attempt go to the tasks with the function up to this many, beyond by a join.
 SHIPPED = 50_000
+#: Attempts of an entity before unused surrogates are listed.
+ATTEMPTS = 50
 
 _TITLES = {
     **dict.fromkeys(["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Don", "Signor", "господин", "Господин", "г-н"], "m"),
@@ -79,11 +85,15 @@ def _letters(text: str, draw: Iterator[int], hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
+def _script(word: str) -> str:
+    first = word[0].lower()
+    return "cyrillic" if "а" <= first <= "я" or first == "ё" else "greek" if "α" <= first <= "ω" else "latin"
+
+
 def _name(word: str, gender: str, draw: Iterator[int]) -> str:
     if "-" in word:
         return "-".join(_name(w, gender, draw) for w in word.split("-"))
-    first = word[0].lower()
-    script = "cyrillic" if "а" <= first <= "я" or first == "ё" else "greek" if "α" <= first <= "ω" else "latin"
+    script = _script(word)
     c, v = _CONSONANTS[script], _VOWELS[script]
     out = [(c if i % 2 == 0 else v)[next(draw) % len(c if i % 2 == 0 else v)] for i in range(len(word))]
     if gender and len(out) > 2:
@@ -125,6 +135,70 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     return _letters(value, draw)
 
 
+def _space(kind: str, form: str) -> tuple[tuple[str, ...], ...]:
+    """What may stand at each place of a surrogate in the format of form."""
+    if kind.startswith("name"):
+        out: list[tuple[str, ...]] = []
+        for word in form.split("-"):
+            script = _script(word)
+            own = [tuple((_VOWELS if i % 2 else _CONSONANTS)[script]) for i in range(len(word))]
+            if kind[5:] and len(own) > 2:
+                own[-1] = (_ENDINGS[script][kind[5:] == "f"],)
+            out += [("-",)] * bool(out) + [tuple(c.upper() for c in own[0]), *own[1:]]
+        return tuple(out)
+    if kind == "ip":
+        parts = [tuple(map(str, {1: range(1, 10), 2: range(10, 100), 3: range(100, 255)}[len(p)])) for p in form.split(".")]
+        return (parts[0], *(x for p in parts[1:] for x in ((".",), p)))
+    low, high = 0, len(form)
+    if kind == "email":
+        high = form.rindex(".")
+    elif kind == "card":
+        low = 1
+    elif kind == "phone" and form[0] == "+":
+        low = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", form).end()
+    elif kind == "iban":
+        low = 2
+    elif kind == "secret" and form.startswith("AKIA"):
+        return (*"AKIA", *[tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")] * (len(form) - 4))
+    letters = "abcdef" if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", form) else "abcdefghijklmnopqrstuvwxyz"
+    return tuple(
+        (c,) if not low <= i < high or not (c.isascii() and c.isalnum()) else tuple("0123456789") if c.isdigit() else tuple(letters.upper() if c.isupper() else letters)
+        for i, c in enumerate(form)
+    )
+
+
+def _longer(kind: str, form: str) -> str:
+    """A form with one more place."""
+    if kind.startswith("name"):
+        return form + form[-1]
+    if kind == "email":
+        return form.replace("@", "0@", 1)
+    if kind == "ip":
+        parts = form.split(".")
+        i = next((i for i, p in enumerate(parts) if len(p) < 3), None)
+        if i is None:
+            raise ValueError("more addresses than there are")
+        return ".".join([*parts[:i], parts[i] + "0", *parts[i + 1 :]])
+    return form + "0"
+
+
+def _free(rows: list[tuple[str, str, str]], used: set[str], key: bytes) -> list[str | None]:
+    """An unused surrogate for each (kind, value, form), in a keyed order of those of the form; None where none is left."""
+    lists: dict[tuple, Iterator[str]] = {}
+    out: list[str | None] = []
+    for kind, value, form in rows:
+        check = kind == "card" and luhn("".join(filter(str.isdigit, value)))
+        space = _space(kind, form)
+        if (space, check) not in lists:
+            rng = random.Random(key)
+            every = map("".join, itertools.product(*(rng.sample(c, len(c)) for c in space)))
+            lists[space, check] = filter(lambda x: luhn("".join(filter(str.isdigit, x))), every) if check else every
+        new = next((x for x in lists[space, check] if x not in used), None)
+        out.append(new)
+        used.add(new or "")
+    return out
+
+
 def _mentions(text: str, names: set[str], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """(start, end, name) of the whole-word mentions of names outside the spans, as they are or in upper case; longer names first."""
     spans = sorted(spans)
@@ -208,11 +282,32 @@ def _surrogates(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, surrogate string")
 
 
+def _exact(left: DataFrame, now: DataFrame, taken: DataFrame, key: bytes) -> DataFrame:
+    """now and left (kind, value), these with surrogates that neither now nor taken has; attempt is -1. Forms of one length meet on one task."""
+    schema = "kind string, value string, form string, surrogate string"
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values(["kind", "value"])
+        rows = list(zip(a["kind"], a["value"], a["form"], strict=True))
+        new = _free(rows, set(b["surrogate"]), key)
+        forms = [f if x else _longer(k, f) for (k, _, f), x in zip(rows, new, strict=True)]
+        return pd.DataFrame({"kind": a["kind"], "value": a["value"], "form": forms, "surrogate": pd.Series(new, a.index, object)})
+
+    left = left.select("kind", "value", F.col("value").alias("form"))
+    while not left.isEmpty():
+        left = left.withColumn("n", F.length("form"))
+        used = now.select("surrogate").unionByName(taken.select("surrogate")).withColumn("n", F.length("surrogate")).join(left.select("n").distinct(), "n", "left_semi")
+        placed = settle(left.groupBy("n").cogroup(used.groupBy("n")).applyInPandas(run, schema))
+        now = settle(now.unionByName(placed.filter("surrogate is not null").select("kind", "value", F.lit(-1).alias("attempt"), "surrogate")))
+        left = placed.filter("surrogate is null").drop("surrogate")
+    return now
+
+
 def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, attempt, surrogate) of the entities whose first surrogate is another's, or is itself an entity of the corpus, or has another gender than their names elsewhere.
 
-    Of entities with one surrogate that of least kind and value keeps it. Attempts go on until all differ; a short
-    format may have fewer surrogates than the corpus has entities, so after 50 attempts those left keep theirs.
+    Of entities with one surrogate that of least kind and value keeps it. Attempts go on until all differ; as a short
+    format may have fewer surrogates than the corpus has entities, those left after ATTEMPTS get unused ones, of attempt -1.
     """
     seen = settle(entities(docs).select("kind", "value").distinct())
     name = F.col("kind").startswith("name:")
@@ -221,13 +316,14 @@ def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     every = settle(seen.filter(~name).unionByName(named))
     now = settle(_surrogates(every.withColumn("attempt", F.lit(0)), key))
     taken = every.select(F.col("value").alias("surrogate")).distinct()
-    for _ in range(50):
+    for i in range(ATTEMPTS + 1):
         rank = Window.partitionBy("surrogate").orderBy("attempt", "kind", "value")
         bad = now.withColumn("rank", F.row_number().over(rank)).join(taken.withColumn("real", F.lit(True)), "surrogate", "left")
         bad = settle(bad.filter("rank > 1 or real").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
         if bad.isEmpty():
             break
-        now = settle(now.join(bad, ["kind", "value"], "left_anti").unionByName(_surrogates(bad, key)))
+        rest = now.join(bad, ["kind", "value"], "left_anti")
+        now = settle(rest.unionByName(_surrogates(bad, key))) if i < ATTEMPTS else _exact(bad, settle(rest), taken, key)
     changed = now.filter("attempt <> 0 and not startswith(kind, 'name:')")
     of = now.filter(name).select(F.col("kind").alias("one"), "value", "attempt", "surrogate")
     return changed.unionByName(seen.join(of, "value").filter(name & F.expr("attempt <> 0 or kind <> one")).drop("one"))
@@ -237,7 +333,7 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with surrogates in text; its other columns, and texts without entities, stay as they are.
 
     A null text stays null, an empty one empty. Rows that repeat an id are replaced one by one. Surrogates are as long as what they
-    replace, so lengths of texts stay. Other columns pass, whatever their names.
+    replace while their format has unused ones, so lengths of texts stay. Other columns pass, whatever their names.
     """
     again = settle(attempts(docs, key))
     few = again.limit(SHIPPED + 1).toArrow()

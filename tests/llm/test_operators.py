@@ -326,6 +326,18 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert texts == {r["doc_id"]: r["text"] for r in pii.replaced(docs).collect()} and len(set(texts.values())) == 30
 
 
+def test_short_formats_stay_distinct(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 1)
+    names = [a + b + c for a in "BCDFG" for b in "aeiou" for c in "bdgkm"]  # 125 for 70 surrogates of this form
+    docs = table(spark, [(i, f"Mr {n} came") for i, n in enumerate(names)])
+    new = [r["text"].split()[1] for r in pii.replaced(docs).collect()]
+    assert len(set(new)) == len(names) and not set(new) & set(names) and sum(len(n) == 3 for n in new) == 70
+    for (_, _, kind, value), taken in ((e, set()) for e in pii.find(MAIL)):
+        some = pii._free([(kind, value, value), (kind, value, value), (kind, value, pii._longer(kind, value))], taken, b"")
+        assert len(set(some)) == 3 and [len(x) - len(value) for x in some] == [0, 0, 1]
+    assert pii._free([("ip", "1.1.1.1", "1.1.1.1")] * 6562, set(), b"")[-2:].count(None) == 1
+
+
 def test_pii_edges(spark, odd, empty):
     docs = odd.unionByName(table(spark, [(20, LONG + MAIL), (20, LONG + MAIL), (None, MAIL)]))
     new = pii.replaced(docs)
