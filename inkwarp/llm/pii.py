@@ -45,7 +45,7 @@ _TITLES = {
 _WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿα-ωά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿα-ωά-ώа-яё]+)?"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<given>(?=[^\s\"',;]{0,200}\d)[^\s\"',;]{6,})",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<given>(?=[^\s\"',;]{0,200}\d)[^\s\"',;]{6,})",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
@@ -55,7 +55,7 @@ PATTERNS = {
 }
 _RULES = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: What a text with any entity has; for RE2, which passes over columns quickly.
-_HINT = r"[0-9]|@|password|passwd|token|secret|api_?key|(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\.? [^ -@\[-\x60a-z]"
+_HINT = r"[0-9]|@|AKIA|(?i:password|passwd|token|secret|api_?key)|(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\.? [^ -@\[-\x60a-z]"
 _CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστ"}
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 _ENDINGS = {"latin": ("n", "a"), "cyrillic": ("н", "а"), "greek": ("ς", "α")}
