@@ -28,6 +28,8 @@ NAME = "op9_language"
 SQL = None
 #: The scores are fitted on at most about this many labelled documents, those of least hash.
 MOST_LABELLED = 5_000
+#: A language is a candidate of the scripts that have this share of its own words or more.
+MAIN = 0.1
 SLOTS, LONGEST, PENALTY, STRETCH, SLICE = 1 << 17, 4, 25.0, 64, 2_000_000
 #: First code point of a script, the script, and its language where labels tell none.
 _SCRIPTS = [(0, "latin", "und"), (0x370, "greek", "el"), (0x400, "cyrillic", "ru"), (0x530, "armenian", "hy"), (0x590, "hebrew", "he"), (0x600, "arabic", "ar"), (0x700, "other", "und"), (0x900, "devanagari", "hi"), (0x980, "bengali", "bn"), (0xA00, "other", "und"), (0xB80, "tamil", "ta"), (0xC00, "other", "und"), (0xE00, "thai", "th"), (0xE80, "other", "und"), (0x10A0, "georgian", "ka"), (0x1100, "hangul", "ko"), (0x1200, "other", "und"), (0x1E00, "latin", "und"), (0x1F00, "greek", "el"), (0x2000, "other", "und"), (0x3040, "kana", "ja"), (0x3100, "other", "und"), (0x3400, "han", "zh"), (0xA000, "other", "und"), (0xAC00, "hangul", "ko"), (0xD7B0, "other", "und"), (0x20000, "han", "zh"), (0x30000, "other", "und")]
@@ -88,11 +90,22 @@ def _split(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def train(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Scores of languages from documents with text and label. A script's candidates are the languages that have a hundredth of its words or more."""
+    """Scores of languages from documents with text and label, of each language as many as of others or all it has.
+
+    A script's candidates are the languages with MAIN of their own words in it. Counts are smoothed with the mean of the
+    candidates, so that a language with few documents has no gain from what it was never seen with.
+    """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    n = own.count()
-    if n > most:
-        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(most / n * (1 << 32)))
+    have = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    if sum(have.values()) > most:
+        left, quota = most, 0.0
+        for k, n in enumerate(sorted(have.values())):
+            quota = left / (len(have) - k)
+            if n >= quota:
+                break
+            left -= n
+        parts = [(x, int(min(1.0, quota / n) * (1 << 32))) for x, n in have.items()]
+        own = own.join(F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, part bigint")), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], np.ndarray] = {}
@@ -122,11 +135,12 @@ def train(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
     languages, scores = {}, {}
     for i, script in enumerate(SCRIPTS):
         own_size = size.get(i, {})
-        langs = sorted(x for x, n in own_size.items() if n * 100 >= sum(own_size.values()))
+        langs = sorted(x for x, n in own_size.items() if n >= MAIN * sum(v.get(x, 0) for v in size.values()))
         languages[script] = langs or [_SINGLE[script]]
         if len(langs) > 1:
-            p = np.stack([counted[i][x] + 0.5 for x in langs], axis=1)
-            p = np.log(p / p.sum(axis=0))
+            p = np.stack([counted[i][x] for x in langs], axis=1)
+            mean = (p / p.sum(axis=0)).mean(axis=1, keepdims=True) + 1e-3 / SLOTS
+            p = np.log((p + 0.5 * SLOTS * mean) / (p.sum(axis=0) + 0.5 * SLOTS))
             scores[script] = (p - p.mean(axis=1, keepdims=True)).astype(np.float32)
     return Model(languages, scores)
 

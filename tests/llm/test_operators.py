@@ -426,6 +426,18 @@ def test_language_held_out_and_mixed(spark):
     assert [r["lang"] for r in rows] == ["en", "ru", "de"] and mixed[rows[1]["start"] : rows[1]["end"]] == "Привет мир"
 
 
+def test_rare_language_beside_a_hot_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").select("doc_id", "text", "lang")
+    rare = docs.filter("lang = 'de'").orderBy("doc_id").limit(24)
+    hot = docs.filter("lang = 'en'").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1_000_000).drop("copy")
+    model = language.train(hot.unionByName(rare), 500)
+    assert model.languages["latin"] == ["de", "en"]
+    test = docs.filter("lang in ('de', 'en')").join(rare.select("doc_id"), "doc_id", "left_anti")
+    found = language.spans(test, model).toPandas().sort_values("words").groupby("doc_id").last().lang
+    true = test.toPandas().set_index("doc_id").lang
+    assert all((found[true[true == x].index] == x).mean() > 0.97 for x in ("de", "en"))
+
+
 def test_language_edges(spark, odd, empty):
     model = language.train(odd)
     found = language.spans(odd, model).toPandas()
