@@ -1,6 +1,6 @@
 """Language identification of spans in mixed-language text.
 
-A word's script leaves the languages that are written in it; words of a script with one language have that. Among
+A word is of one script: a run of letters and digits ends at signs, ASCII or not, and where the script changes. A word's script leaves the languages that are written in it; words of a script with one language have that. Among
 several, languages are scored by the character n-grams of the word (1 to 4, with marks for its ends), and Viterbi over the
 scores of the words, with a penalty for each switch, finds the best labels; equal labels in a row are a span. As scripts share no
 language and a switch costs the same between any two, each run of words of one script is solved by itself. All
@@ -12,6 +12,7 @@ bounded sample, see MOST_LABELLED).
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.llm.words import buffers, mix, slices, words
+from inkwarp.llm.words import _BYTE, _powers, buffers, mix, slices, words
 from inkwarp.session import table
 
 NAME = "op9_language"
@@ -32,10 +33,11 @@ MOST_LABELLED = 5_000
 MAIN = 0.1
 SLOTS, LONGEST, PENALTY, STRETCH, SLICE = 1 << 17, 4, 25.0, 64, 2_000_000
 #: First code point of a script, the script, and its language where labels tell none.
-_SCRIPTS = [(0, "latin", "und"), (0x370, "greek", "el"), (0x400, "cyrillic", "ru"), (0x530, "armenian", "hy"), (0x590, "hebrew", "he"), (0x600, "arabic", "ar"), (0x700, "other", "und"), (0x900, "devanagari", "hi"), (0x980, "bengali", "bn"), (0xA00, "other", "und"), (0xB80, "tamil", "ta"), (0xC00, "other", "und"), (0xE00, "thai", "th"), (0xE80, "other", "und"), (0x10A0, "georgian", "ka"), (0x1100, "hangul", "ko"), (0x1200, "other", "und"), (0x1E00, "latin", "und"), (0x1F00, "greek", "el"), (0x2000, "other", "und"), (0x3040, "kana", "ja"), (0x3100, "other", "und"), (0x3400, "han", "zh"), (0xA000, "other", "und"), (0xAC00, "hangul", "ko"), (0xD7B0, "other", "und"), (0x20000, "han", "zh"), (0x30000, "other", "und")]
+_SCRIPTS = [(0, "latin", "und"), (0x370, "greek", "el"), (0x400, "cyrillic", "ru"), (0x530, "armenian", "hy"), (0x590, "hebrew", "he"), (0x600, "arabic", "ar"), (0x700, "other", "und"), (0x900, "devanagari", "hi"), (0x980, "bengali", "bn"), (0xA00, "other", "und"), (0xB80, "tamil", "ta"), (0xC00, "other", "und"), (0xE00, "thai", "th"), (0xE80, "other", "und"), (0x10A0, "georgian", "ka"), (0x1100, "hangul", "ko"), (0x1200, "other", "und"), (0x1E00, "latin", "und"), (0x1F00, "greek", "el"), (0x2000, "other", "und"), (0x3040, "kana", "ja"), (0x3100, "other", "und"), (0x3400, "han", "zh"), (0xA000, "other", "und"), (0xAC00, "hangul", "ko"), (0xD7B0, "other", "und"), (0xFF21, "latin", "und"), (0xFF66, "kana", "ja"), (0xFFA0, "hangul", "ko"), (0xFFE0, "other", "und"), (0x20000, "han", "zh"), (0x30000, "other", "und")]
 _STARTS = np.array([s for s, _, _ in _SCRIPTS])
 SCRIPTS = sorted({s for _, s, _ in _SCRIPTS})
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s, _ in _SCRIPTS])
+BREAK, COMMON = -1, -2
 _SINGLE = {s: lang for _, s, lang in reversed(_SCRIPTS)}
 
 
@@ -47,12 +49,62 @@ class Model:
     scores: dict[str, np.ndarray]
 
 
-def _scripts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The script of each word, by its first character."""
-    padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64)
-    a, b, c, d = (padded[first + i] for i in range(4))
+def _classes() -> np.ndarray:
+    """What each code point is: its script for a letter, COMMON for digits, marks and joiners, BREAK for signs and blanks."""
+    code = np.arange(0x32000)
+    out = _SCRIPT[np.searchsorted(_STARTS, code, "right") - 1].astype(np.int8)
+    kinds = np.array([unicodedata.category(chr(c))[0] if unicodedata.category(chr(c)) != "Cf" else "M" for c in code])
+    out[np.isin(kinds, ["P", "S", "Z"]) | (kinds == "C") & (code < 0xA0)] = BREAK
+    out[np.isin(kinds, ["M", "N"])] = COMMON
+    out[0x3007] = SCRIPTS.index("han")
+    return out
+
+
+_CLASS = _classes()
+
+
+def _cut(data: np.ndarray, first: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, first, end, row, script) of the pieces of runs with characters beyond ASCII: signs part them, and so do changes of script.
+
+    Digits, marks and joiners belong to the letters before them, those that open a run to the letters after. Han characters
+    in a run with kana are of its script.
+    """
+    length = end - first
+    begin = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) - np.repeat(begin - first, length)
+    run = np.repeat(np.arange(len(first)), length)
+    lead = (data[at] & 0xC0) != 0x80
+    at, run = at[lead], run[lead]
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
+    a, b, c, d = (padded[at + i].astype(np.int32) for i in range(4))
     code = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b & 63, np.where(a < 0xF0, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63)))
-    return _SCRIPT[np.searchsorted(_STARTS, code, "right") - 1]
+    stop = np.append(np.where(run[1:] == run[:-1], at[1:], end[run[:-1]]), end[run[-1]])
+    kind = _CLASS[np.minimum(code, len(_CLASS) - 1)]
+    part = kind == BREAK
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | part[:-1]]) | part
+    run = np.cumsum(new) - 1
+    i = np.arange(len(at))
+    known = np.maximum.accumulate(np.where(new | (kind >= 0), i, 0))
+    script = kind[known]
+    close = np.append(new[1:], True)
+    after = np.minimum.accumulate(np.where(close | (kind >= 0), i, len(at))[::-1])[::-1]
+    script = np.where(script == COMMON, kind[after], script)
+    kana, han = SCRIPTS.index("kana"), SCRIPTS.index("han")
+    script = np.where((script == han) & (np.bincount(run[script == kana], minlength=run[-1] + 1) > 0)[run], kana, script)
+    new[1:] |= script[1:] != script[:-1]
+    low = np.flatnonzero(new)
+    high = np.append(low[1:], len(at)) - 1
+    ok = script[low] >= 0
+    low, high = low[ok], high[ok]
+    first, end = at[low], stop[high]
+    row = row[np.searchsorted(begin, np.searchsorted(np.cumsum(lead), low + 1), "right") - 1]
+    if not len(low):
+        return np.zeros(0, np.uint64), first, end, row, script[low].astype(np.int64)
+    length = end - first
+    begin = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(begin, length)
+    value = _BYTE[data[place + np.repeat(first, length)]] * _powers(max(2, int(length.max())))[place]
+    return mix(np.add.reduceat(value, begin) ^ length.astype(np.uint64)), first, end, row, script[low].astype(np.int64)
 
 
 def _ngrams(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +138,15 @@ def _split(column: pa.Array) -> tuple[np.ndarray, ...]:
         letters = np.concatenate([[0], np.cumsum(~((data >= 48) & (data <= 57)) & ((data >= 128) | (data >= 97) & (data <= 122)))])
         ok = letters[end] > letters[first]
         h, first, end, row = h[ok], first[ok], end[ok], row[ok]
-    return data, h, first, end, row, _scripts(data, first) if len(h) else np.zeros(0, int)
+    script = np.full(len(h), SCRIPTS.index("latin"))
+    beyond = np.concatenate([[0], np.cumsum(data >= 128)])
+    cut = beyond[end] > beyond[first]
+    if cut.any():
+        parts = _cut(data, first[cut], end[cut], row[cut])
+        h, first, end, row, script = (np.concatenate([x[~cut], y]) for x, y in zip((h, first, end, row, script), parts, strict=True))
+        order = np.argsort(first, kind="stable")
+        h, first, end, row, script = h[order], first[order], end[order], row[order], script[order]
+    return data, h, first, end, row, script
 
 
 def train(docs: DataFrame, most: int = MOST_LABELLED) -> Model:

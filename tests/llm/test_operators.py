@@ -426,6 +426,17 @@ def test_language_held_out_and_mixed(spark):
     assert [r["lang"] for r in rows] == ["en", "ru", "de"] and mixed[rows[1]["start"] : rows[1]["end"]] == "Привет мир"
 
 
+def test_words_split_where_the_script_changes(spark):
+    model = language.Model({s: [language._SINGLE[s]] for s in language.SCRIPTS} | {"latin": ["en"]}, {})
+    texts = ["Python编程语言Java", "编程，hello。世界", "«Привет» мир", "2024年计划", "日本語のテキスト", "mp3 …— 42", "“ABC”", "x１２３жд", "ｈｅｌｌｏ", "नमस्ते दुनिया", "— 。", "1️⃣"]
+    rows = language.spans(table(spark, list(enumerate(texts))), model).orderBy("doc_id", "span").collect()
+    found = [[(r["lang"], texts[i][r["start"] : r["end"]] if r["words"] else None) for r in rows if r["doc_id"] == i] for i in range(len(texts))]
+    assert found == [
+        [("en", "Python"), ("zh", "编程语言"), ("en", "Java")], [("zh", "编程"), ("en", "hello"), ("zh", "世界")], [("ru", "Привет» мир")], [("zh", "2024年计划")], [("ja", "日本語のテキスト")], [("en", "mp3")],
+        [("en", "ABC")], [("en", "x１２３"), ("ru", "жд")], [("en", "ｈｅｌｌｏ")], [("hi", "नमस्ते दुनिया")], [("und", None)], [("und", None)],
+    ]
+
+
 def test_rare_language_beside_a_hot_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").select("doc_id", "text", "lang")
     rare = docs.filter("lang = 'de'").orderBy("doc_id").limit(24)
