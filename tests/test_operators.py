@@ -110,6 +110,15 @@ def test_landmark_map_is_classical_for_few(spark):
     assert np.allclose(np.linalg.norm(at[:, None] - at[None], axis=2), np.linalg.norm(x[:, None] - x[None], axis=2))
 
 
+def test_map_is_classical_beyond_a_few_hundred_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (600, 5)) * [4, 2, 1, 1, 1], rng.normal(0, 1, (3, 5)) + [0, 0, 0, 0, 90]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(5)
+    at = np.stack(C.landmark_map(df, "id", "v").toPandas().sort_values("id")["at"])
+    exact = C.classical_mds(np.linalg.norm(x[:, None] - x[None], axis=2), 2)[0]
+    assert np.allclose(np.abs(at), np.abs(exact), atol=1e-6)
+
+
 def test_similarity_and_complete_link(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 3))
