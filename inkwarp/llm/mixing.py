@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source has a budget of tokens. Documents are counted by source and exact token length. A source takes the same
-share of every length, rounded down, then one more of the lengths with the largest remainders while that leaves more than
-DP_TOKENS of its budget; how many more of which lengths fill what is left is found by a bounded knapsack over lengths, with sets
+share of every length, rounded down, then one more of the lengths with the largest remainders, then as many as fit of the longest,
+while that leaves more than DP_TOKENS of its budget; how many more of which lengths fill what is left is found by a bounded knapsack over lengths, with sets
 of reachable sums as bits. Of each length, documents of least keyed hash are selected.
 """
 
@@ -64,7 +64,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = DP_TO
         if take[i] < counts[i] and lengths[i] <= left:
             take[i] += 1
             left -= int(lengths[i])
-    return take + knapsack(lengths, counts - take, min(left, 4 * limit))
+    for i in np.argsort(-lengths, kind="stable"):
+        if left <= limit:
+            break
+        # about limit stays for the knapsack
+        more = min(int(counts[i] - take[i]), left // int(lengths[i]), -(-(left - limit) // int(lengths[i])))
+        take[i] += more
+        left -= more * int(lengths[i])
+    return take + knapsack(lengths, counts - take, left if left <= limit else 0)  # beyond limit nothing fits
 
 
 def budgets(tokens: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None) -> dict[str, int]:

@@ -512,3 +512,10 @@ def test_scarce_sources_do_not_size_the_mix(spark):
     assert mixing.budgets({"a": 5, "b": 3}, None, 100) == {"a": 5, "b": 3}
     docs = table(spark, [(i, "x " * 20, None, f"s{i % 4}") for i in range(400)] + [(400, "x", None, None)])
     assert mixing.mixed(docs).count() > 390
+
+
+def test_long_documents_leave_no_gap():
+    lengths, counts = np.array([100, 1_000_003]), np.array([100_000, 10])
+    for budget in (10_000_000, 9_900_000, 10_900_000, 19_000_000):
+        take = mixing.fit(lengths, counts, budget)
+        assert (take <= counts).all() and 0 <= budget - int(take @ lengths) < 100
