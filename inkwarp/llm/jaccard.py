@@ -7,11 +7,13 @@ they need. A longer prefix gives more postings to scan but demands more matches,
 verify. Each document gets the l whose estimated cost is least.
 
 * Documents with equal sets are one record, named by a 64-bit fingerprint of the set.
-* Grams meet in one exchange, split by hash range; there a gram is its range and 40 bits of its hash, and
-  its document a number within a slice of rows. Each range first says only how many grams of each document
+* Grams meet in one exchange, split by hash range; there a gram is its range and its place in it (together all 64 bits of
+  its hash), and its document a number within a slice of rows. Each range first says only which rows of which slice have grams that
   others have too. A gram that one record alone has takes a place at the front of its prefix and can match
-  nothing, so documents with enough of them leave. Of those that stay, one for each record, the ranges
-  are then asked for the repeated grams, with frequencies among those that stay.
+  nothing, so documents with enough of them leave. Of those that stay, one for each record, the ranges where they have
+  such grams are then asked for them, with frequencies among those that stay.
+* Grams in very many documents (license lines) are counted with the fingerprints; they need no range, as they are repeated
+  for sure: a slice keeps its own, so no task holds all documents of one gram.
 * Postings meet by gram. Grams of a family of near copies have much the same posting lists, so lists
   are gathered by their least record and matches added up there, with matrix products where lists are
   long; lists of more than BLOCK records are split into blocks that meet pairwise.
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwarp.llm.words import column_words, grams, mix, slices, trim
+from inkwarp.operators.networks import components
 from inkwarp.session import settle, table
 
 NAME = "op6_jaccard_join"
@@ -41,8 +44,13 @@ N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.5, 4, 2048, 24
 RANGE_BYTES = 16_000_000
 #: Bytes of text that share one numbering of rows.
 SLICE = 4_000_000
+#: Rows of a slice at most, as they are numbered in 16 bits.
+MOST_ROWS = 1 << 16
 #: Up to so many ids of rows to drop go to the executors as a broadcast (8 MB), more by a join that shuffles.
 BROADCAST_IDS = 1_000_000
+#: A gram is a candidate of the heavy ones in a slice where so many documents have it. Heavy are those with HEAVY documents in
+#: such slices, the MOST_HEAVY in most at most (8 MB in a task); others go by range.
+HEAVY_IN_SLICE, HEAVY, MOST_HEAVY = 8, 1 << 17, 1_000_000
 
 
 def _records(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,37 +66,73 @@ def _records(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, record, size) of every document that has an id and a word."""
+    """(doc_id, record, size) of every document that has an id and a word; where doc_id is null, a gram and minus its documents in a slice, if these are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            _, _, prints, sizes = _records(batch.column(1), n)
-            out = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints), pa.array(sizes.astype(np.int32))], ["doc_id", "record", "size"])
-            yield out.filter(pc.greater(out.column(2), 0))
+        for batch in slices(batches, 1, SLICE, MOST_ROWS):
+            g, _, prints, sizes = _records(batch.column(1), n)
+            g.sort()
+            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            count = np.diff(np.append(new, len(g)))
+            many = count >= HEAVY_IN_SLICE
+            some = np.flatnonzero(sizes)
+            ids = pa.concat_arrays([batch.column(0).cast(pa.int64()).take(pa.array(some)), pa.nulls(int(many.sum()), pa.int64())])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([prints[some], g[new[many]].view(np.int64)])), pa.array(np.concatenate([sizes[some], -count[many]]).astype(np.int32))], ["doc_id", "record", "size"])
+            del g
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     return rows.mapInArrow(run, "doc_id bigint, record bigint, size int")
 
 
+def _marks(docs: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The documents of signatures, and the heavy grams in ascending order with their frequency classes."""
+    every = settle(signatures(docs, n))
+    heavy = every.filter("doc_id is null").groupBy("record").agg(F.sum(-F.col("size").cast("bigint")).alias("df")).filter(F.col("df") >= HEAVY)
+    t = heavy.orderBy(F.desc("df"), "record").limit(MOST_HEAVY).toArrow()
+    gram, df = t.column("record").to_numpy().view(np.uint64), t.column("df").to_numpy()
+    order = np.argsort(gram)
+    # slices with few of a gram don't report it, so its class is one more
+    return every.filter("doc_id is not null"), (gram[order], (np.log2(np.maximum(df[order], 1)) * 4 + 1).astype(np.int64))
+
+
 _ASKED = "part int, slice bigint, row binary, low binary, high binary"
 
 
-def _blobs(docs: DataFrame, n: int, ranges: int) -> DataFrame:
-    """Grams by hash range and slice of rows. Negative parts hold each slice's records and sizes."""
+def _bounds(part: np.ndarray, ranges: int) -> np.ndarray:
+    """The least upper half of a hash in each range."""
+    return ((part.astype(np.uint64) << np.uint64(32)) + np.uint64(ranges - 1)) // np.uint64(ranges)
+
+
+def _width(ranges: int) -> int:
+    """Bytes for the place of a hash's upper half in its range."""
+    return next(w for w in (1, 2, 3, 4) if (1 << 32) // ranges < 1 << (8 * w) or w == 4)
+
+
+def _blobs(docs: DataFrame, n: int, ranges: int, heavy: np.ndarray) -> DataFrame:
+    """Grams by hash range and slice of rows. Negative parts hold each slice's records and sizes (odd), and its heavy grams (even)."""
+    width = _width(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch in enumerate(slices(batches, 0, SLICE)):
+        for number, batch in enumerate(slices(batches, 0, SLICE, MOST_ROWS)):
             g, at, prints, sizes = _records(batch.column(0), n)
             name = task << 32 | number
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            part = (((g >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+            row = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            out: list[tuple] = [(-1 - 2 * (name % ranges), name, b"", prints.tobytes(), sizes.astype(np.int32).tobytes())]
+            if len(heavy) and len(g):
+                which = np.minimum(np.searchsorted(heavy, g), len(heavy) - 1)
+                hit = heavy[which] == g
+                if hit.any():
+                    out.append((-2 - 2 * (name % ranges), name, row[hit].tobytes(), which[hit].astype(np.int32).tobytes(), b""))
+                    g, row = g[~hit], row[~hit]
+            high = g >> np.uint64(32)
+            part = ((high * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            g, row, part = g[order], row[order].astype(np.uint16), part[order]
+            g, high, row, part = g[order], high[order], row[order], part[order]
             there, begin = np.unique(part, return_index=True)
-            low, high = g.astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8)
-            out: list[tuple] = [(-1 - name % ranges, name, b"", prints.tobytes(), sizes.astype(np.int32).tobytes())]
-            out += [(p, name, row[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()) for p, x, y in zip(there.tolist(), begin, np.append(begin, len(g))[1:], strict=True)]
+            low, place = g.astype(np.uint32), (high - _bounds(part, ranges)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+            out += [(p, name, row[x:y].tobytes(), low[x:y].tobytes(), place[x:y].tobytes()) for p, x, y in zip(there.tolist(), begin, np.append(begin, len(g))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "slice", "row", "low", "high"])
 
     rows = docs.select(F.col("text").cast("string")).filter("doc_id is not null and text is not null")
@@ -99,28 +143,40 @@ def _bytes(t: pa.Table, name: str, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
 
 
-def _tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram, row, number of its blob) of one range."""
     rows = _bytes(t, "row", np.uint16)
-    tokens = np.concatenate(_bytes(t, "high", np.uint8)).astype(np.int64) << 32
+    place = np.concatenate(_bytes(t, "high", np.uint8)).reshape(-1, width)
+    tokens = place[:, 0].astype(np.uint64)
+    for i in range(1, width):
+        tokens |= place[:, i].astype(np.uint64) << np.uint64(8 * i)
+    tokens <<= np.uint64(32)
     tokens |= np.concatenate(_bytes(t, "low", np.uint32))
     return tokens, np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """For one range: the row of each gram that occurs again. Negative parts pass."""
-    if t.column("part")[0].as_py() < 0:
-        return t.select(["slice", "low", "high"])
-    tokens, row, blob = _tokens(t)
-    order = np.argsort(tokens)
-    same = tokens[order][1:] == tokens[order][:-1]
-    again = np.zeros(len(tokens), bool)
-    again[order[1:][same]] = again[order[:-1][same]] = True
-    ends = np.searchsorted(blob[again], np.arange(t.num_rows + 1))
-    found = row[again]
-    del tokens, order, same, row
-    trim()
-    return pa.table({"slice": t.column("slice"), "low": pa.array([found[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "high": pa.array([None] * t.num_rows, pa.binary())})
+_COUNTED = "slice bigint, part int, low binary, high binary"
+
+
+def _count(width: int):
+    def run(t: pa.Table) -> pa.Table:
+        """For one range: the rows of grams that occur again, one for each. Of negative parts, those with heads pass and those of heavy grams give their rows."""
+        part = t.column("part")[0].as_py()
+        if part < 0:
+            return t.select(["slice", "part", "low", "high"]) if part % 2 else pa.table({"slice": t.column("slice"), "part": t.column("part"), "low": t.column("row"), "high": pa.array([None] * t.num_rows, pa.binary())})
+        tokens, row, blob = _tokens(t, width)
+        order = np.argsort(tokens)
+        same = tokens[order][1:] == tokens[order][:-1]
+        again = np.zeros(len(tokens), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        ends = np.searchsorted(blob[again], np.arange(t.num_rows + 1))
+        found = row[again]
+        del tokens, order, same, row
+        trim()
+        some = pa.array(ends[1:] > ends[:-1])
+        return pa.table({"slice": t.column("slice"), "part": t.column("part"), "low": pa.array([found[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "high": pa.array([None] * t.num_rows, pa.binary())}).filter(some)
+
+    return run
 
 
 def _sieve(t: float):
@@ -137,34 +193,62 @@ def _sieve(t: float):
     return run
 
 
-def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For one range: the repeated grams of the rows asked for, as frequency class (8 bits) and rank by frequency (24 bits)."""
+def _ask(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For one slice: which of its rows to ask each range for, where they have repeated grams."""
+    wanted = np.zeros(1 << 16, bool)
+    if right.num_rows:
+        wanted[right.column("row").to_numpy()] = True
+    out: list[tuple] = []
+    for name, part, rows, head in zip(*(left.column(c) for c in ("slice", "part", "low", "high")), strict=True):
+        if right.num_rows and not head.is_valid:
+            own = np.unique(np.frombuffer(rows.as_buffer(), np.uint16))
+            own = own[wanted[own]]
+            if len(own):
+                out.append((part.as_py(), name.as_py(), own.tobytes()))
+    parts, names, rows = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"part": pa.array(parts, pa.int32()), "slice": pa.array(names, pa.int64()), "rows": pa.array(rows, pa.binary())})
+
+
+def _answer(width: int, ranges: int, classes: np.ndarray):
     empty = pa.table({c: pa.array([], k) for c, k in (("slice", pa.int64()), ("part", pa.int32()), ("row", pa.binary()), ("token", pa.binary()))})
-    if not left.num_rows or not right.num_rows or left.column("part")[0].as_py() < 0:
-        return empty
-    asked = dict(zip(right.column("slice").to_pylist(), _bytes(right, "rows", np.uint16), strict=True))
-    keep = []
-    for name, row in zip(left.column("slice").to_pylist(), _bytes(left, "row", np.uint16), strict=True):
-        wanted = np.zeros(1 << 16, bool)
-        wanted[asked.get(name, np.zeros(0, np.uint16))] = True
-        keep.append(wanted[row])
-    tokens, row, blob = _tokens(left)
-    keep = np.concatenate(keep)
-    tokens, row, blob = tokens[keep], row[keep], blob[keep]
-    if not len(tokens):
-        return empty
-    _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    rank = np.empty(len(df), np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df)) - np.count_nonzero(df == 1)
-    keep = df[back] > 1
-    row, blob, back = row[keep], blob[keep], back[keep]
-    code = (np.log2(df) * 4).astype(np.uint32)[back] << np.uint32(24) | rank[back].astype(np.uint32)
-    ends = np.searchsorted(blob, np.arange(left.num_rows + 1))
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-    out = pa.table({"slice": left.column("slice"), "part": left.column("part"), "row": cut(row), "token": cut(code)})
-    del tokens, keep, df, rank, back
-    trim()
-    return out.filter(pa.array(ends[1:] > ends[:-1]))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For one range: the repeated grams of the rows asked for, as frequency class (8 bits) and rank by frequency (24 bits)."""
+        if not left.num_rows or not right.num_rows:
+            return empty
+        asked = dict(zip(right.column("slice").to_pylist(), _bytes(right, "rows", np.uint16), strict=True))
+        left = left.filter(pc.is_in(left.column("slice"), right.column("slice")))
+        keep = []
+        for name, row in zip(left.column("slice").to_pylist(), _bytes(left, "row", np.uint16), strict=True):
+            wanted = np.zeros(1 << 16, bool)
+            wanted[asked[name]] = True
+            keep.append(wanted[row])
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        if not keep.any():
+            return empty
+        if left.column("part")[0].as_py() < 0:
+            which, row = np.concatenate(_bytes(left, "low", np.int32)), np.concatenate(rows := _bytes(left, "row", np.uint16))
+            blob = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[keep]
+            row, code = row[keep], (classes[which] << 24 | which).astype(np.uint32)[keep]
+            part = pa.array(np.full(left.num_rows, ranges, np.int32))
+        else:
+            tokens, row, blob = (x[keep] for x in _tokens(left, width))
+            _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
+            rank = np.empty(len(df), np.int64)
+            rank[np.argsort(df, kind="stable")] = np.arange(len(df)) - np.count_nonzero(df == 1)
+            keep = df[back] > 1
+            row, blob, back = row[keep], blob[keep], back[keep]
+            code = (np.log2(df) * 4).astype(np.uint32)[back] << np.uint32(24) | rank[back].astype(np.uint32)
+            part = left.column("part")
+            del tokens, df, rank, back
+        ends = np.searchsorted(blob, np.arange(left.num_rows + 1))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        out = pa.table({"slice": left.column("slice"), "part": part, "row": cut(row), "token": cut(code)})
+        del keep
+        trim()
+        return out.filter(pa.array(ends[1:] > ends[:-1]))
+
+    return run
 
 
 _SURVIVOR = "record bigint, size int, alone int, base int, matches int, least bigint, tokens array<bigint>"
@@ -205,24 +289,17 @@ def _assemble(t: float, most: int):
     return run
 
 
-def _survivors(docs: DataFrame, n: int, t: float, most: int) -> DataFrame:
+def _survivors(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t: float, most: int) -> DataFrame:
     """(record, size, alone, base, matches, least, tokens): records that may have partners; tokens are the repeated grams in the global order."""
     length = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     ranges = max(1, math.ceil(length / RANGE_BYTES))
-    blobs = _blobs(docs, n, ranges)
-    stay = blobs.groupBy("part").applyInArrow(_count, "slice bigint, low binary, high binary").groupBy("slice").applyInArrow(_sieve(t), "slice bigint, row int, record bigint, size int")
+    width = _width(ranges)
+    blobs = _blobs(docs, n, ranges, heavy[0])
+    counted = blobs.groupBy("part").applyInArrow(_count(width), _COUNTED)
+    stay = counted.groupBy("slice").applyInArrow(_sieve(t), "slice bigint, row int, record bigint, size int")
     one = stay.groupBy("record").agg(F.min(F.struct("slice", "row", "size")).alias("at")).select("at.*", "record")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [x.values.to_numpy().astype(np.uint16).tobytes() for x in batch.column(1)]
-            for p in range(0, ranges, 1024):
-                parts = np.arange(p, min(ranges, p + 1024), dtype=np.int32)
-                for name, row in zip(batch.column(0).to_pylist(), rows, strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), name)), pa.array([row] * len(parts), pa.binary())], ["part", "slice", "rows"])
-
-    asked = one.groupBy("slice").agg(F.collect_list("row").alias("rows")).mapInArrow(ask, "part int, slice bigint, rows binary")
-    answered = blobs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answer, "slice bigint, part int, row binary, token binary")
+    asked = counted.groupBy("slice").cogroup(one.groupBy("slice")).applyInArrow(_ask, "part int, slice bigint, rows binary")
+    answered = blobs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answer(width, ranges, heavy[1]), "slice bigint, part int, row binary, token binary")
     return answered.groupBy("slice").cogroup(one.groupBy("slice")).applyInArrow(_assemble(t, most), _SURVIVOR)
 
 
@@ -351,27 +428,34 @@ def _verified(survivors: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def record_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
+def record_pairs(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
     """(a, b, jaccard) over the records (distinct sets) of docs: the join before copies are spelled out."""
+    survivors = settle(_survivors(docs, heavy, n, t, most))
+    return _verified(survivors, settle(_candidates(survivors, t, most)), t)
+
+
+def _joined(docs: DataFrame, n: int, t: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, record, size) and the pairs of records (a, b, jaccard)."""
     if not 0 < t <= 1 or n < 1 or most < 1:
         raise ValueError("0 < t <= 1, n >= 1 and most >= 1 are needed")
-    survivors = settle(_survivors(docs, n, t, most))
-    return _verified(survivors, settle(_candidates(survivors, t, most)), t)
+    marks, heavy = _marks(docs, n)
+    return marks, record_pairs(docs, heavy, n, t, most)
 
 
 def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
     """Every pair of documents whose n-gram sets have a Jaccard similarity of t or more: (doc_a, doc_b, jaccard).
 
-    doc_a < doc_b; each pair comes once. A document of fewer than n words has one gram of all its words.
+    doc_a < doc_b; each pair comes once, so the result grows with the square of a group of copies (linked() counts the pairs
+    instead). A document of fewer than n words has one gram of all its words.
     Documents without id, text or word have no partners. Rows that repeat an id are one document, found
     under each of its texts, never its own partner; the largest similarity of a pair counts. Other columns
     are ignored. An empty table gives no rows.
     """
-    marks = settle(signatures(docs, n))
+    marks, pairs = _joined(docs, n, t, most)
     members = marks.groupBy("record").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
     same = members.filter(F.size("docs") > 1).select(F.posexplode("docs").alias("p", "doc_a"), "docs")
     same = same.select("doc_a", F.explode(F.slice("docs", F.col("p") + 2, F.size("docs"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = record_pairs(docs, n, t, most).join(members.select(F.col("record").alias("a"), F.col("docs").alias("x")), "a").join(members.select(F.col("record").alias("b"), F.col("docs").alias("y")), "b")
+    near = pairs.join(members.select(F.col("record").alias("a"), F.col("docs").alias("x")), "a").join(members.select(F.col("record").alias("b"), F.col("docs").alias("y")), "b")
     near = near.select(F.explode("x").alias("u"), "y", "jaccard").select("u", F.explode("y").alias("v"), "jaccard").filter("u <> v")
     both = same.union(near.select(F.least("u", "v"), F.greatest("u", "v"), "jaccard"))
     if marks.groupBy("doc_id").agg(F.count_distinct("record").alias("of")).filter("of > 1").isEmpty():  # each pair is there once
@@ -379,20 +463,57 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int =
     return both.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
-    """(doc_id, group): group is the least id among the documents that pairs of jaccard_join connect. Documents alone in their group are left out."""
-    marks = settle(signatures(docs, n))
-    labels = _components(record_pairs(docs, n, t, most).select("a", "b"))
+def _classes(marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of documents with words: class_id is the least id among the documents that pairs connect, alone its own."""
+    labels = components(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), pairs.select("a", "b")).toDF("record", "label")
     named = marks.join(labels, "record", "left").select("doc_id", F.coalesce("label", "record").alias("label"))
     # an id with several texts ties their groups together
     several = named.groupBy("doc_id").agg(F.collect_set("label").alias("of")).filter(F.size("of") > 1)
     ties = settle(several.select(F.array_min("of").alias("a"), F.explode("of").alias("b")).filter("a <> b"))
     if not ties.isEmpty():
-        again = _components(ties).toDF("label", "over")
+        again = components(ties.select(F.col("a").alias("node")).union(ties.select("b")), ties).toDF("label", "over")
         named = named.join(again, "label", "left").select("doc_id", F.coalesce("over", "label").alias("label"))
     named = named.distinct()
-    least = named.groupBy("label").agg(F.min("doc_id").alias("group"), F.count("*").alias("members")).filter("members > 1")
-    return named.join(least, "label").select("doc_id", "group")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return named.join(least, "label").select("doc_id", "class_id")
+
+
+def _links(marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, links) of documents with words: how many other documents reach the threshold with it, copies among them."""
+    marks = marks.select("doc_id", "record").distinct()
+    near = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("record", "other")
+    several = settle(marks.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if several.isEmpty():
+        members = settle(marks.groupBy("record").agg(F.count("*").alias("n")))
+        around = near.join(members.toDF("other", "n"), "other").groupBy("record").agg(F.sum("n").alias("around"))
+        return marks.join(members, "record").join(around, "record", "left").select("doc_id", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("links"))
+    # ids with several texts are counted once for each document: their links are spelled out, those of others added up
+    near = settle(near.union(marks.select("record", F.col("record").alias("other")).distinct()))
+    alone, of = settle(marks.join(several, "doc_id", "left_anti")), settle(marks.join(several, "doc_id"))
+    members = settle(alone.groupBy("record").agg(F.count("*").alias("n")))
+    around = near.join(members.toDF("other", "n"), "other").groupBy("record").agg(F.sum("n").alias("around"))
+    with_several = near.join(of.toDF("doc", "other"), "other").select("record", "doc").distinct()
+    count = with_several.groupBy("record").agg(F.count("*").alias("docs"))
+    one = alone.join(around, "record", "left").join(count, "record", "left").select("doc_id", (F.coalesce("around", F.lit(0)) + F.coalesce("docs", F.lit(0)) - 1).alias("links"))
+    reached = of.join(near, "record").select("doc_id", "other").distinct().join(members.toDF("other", "n"), "other").groupBy("doc_id").agg(F.sum("n").alias("around"))
+    reach = of.join(with_several, "record").select("doc_id", "doc").distinct().groupBy("doc_id").agg((F.count("*") - 1).alias("docs"))
+    return one.union(reach.join(reached, "doc_id", "left").select("doc_id", F.coalesce("around", F.lit(0)) + F.col("docs")))
+
+
+def linked(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
+    """(doc_id, class_id, links): one row for each document with an id.
+
+    links counts the other documents whose n-gram sets have a Jaccard similarity of t or more with its own, copies and near copies
+    alike; class_id is the least id of the documents that such links connect it to, directly or not. A document of fewer than n
+    words has one gram of all its words. Documents without text or word have their own class and no links. Rows that repeat
+    an id are one document, found under each of its texts, never its own partner. Rows without id are left out, other
+    columns ignored. An empty table gives no rows.
+    """
+    marks, pairs = _joined(docs, n, t, most)
+    pairs = settle(pairs)
+    found = _classes(marks, pairs).join(_links(marks, pairs), "doc_id")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def deduplicated(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
@@ -401,7 +522,8 @@ def deduplicated(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int =
     Of rows that repeat an id one stays, that of least text. Rows without id, and those without words, stay. Columns
     pass, whatever their names.
     """
-    found = settle(groups(docs, n, t, most).filter("doc_id <> group").select("doc_id").distinct())
+    marks, pairs = _joined(docs, n, t, most)
+    found = settle(_classes(marks, settle(pairs)).filter("doc_id <> class_id").select("doc_id").distinct())
     again = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
 
     def small(ids: DataFrame) -> DataFrame:
@@ -415,31 +537,18 @@ def deduplicated(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int =
     return rows.select("row.*")
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """(record, label): label is the least record of the connected component. Alternates large and small stars until nothing changes."""
-    e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while True:
-        both = e.union(e.select("v", "u")).toDF("u", "v")
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).filter("u <> v").distinct()
-        after = settle(small)
-        if after.exceptAll(e).isEmpty() and e.exceptAll(after).isEmpty():
-            return after.select(F.col("u").alias("record"), F.col("v").alias("label")).union(after.select("v", "v").distinct())
-        e = after
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return linked(table(spark, sf_dir, "documents"))
 
 
 SQL = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END) AS gram FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(shared / (x.n + y.n - shared), 6) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared >= {THRESHOLD} * (x.n + y.n - shared)
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared >= {THRESHOLD} * (x.n + y.n - shared)),
+e AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM j UNION SELECT doc_b, doc_a FROM j),
+r(doc_id, now) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.now = e.a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT doc_id, min(now) AS class_id FROM r GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a) l USING (doc_id)
 """

@@ -57,13 +57,13 @@ def trim() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of whole rows with about most bytes of a text column, as arrays made from them take many times as much."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most rows whole rows with about most bytes of a text column, as arrays made from them take many times as much."""
     for batch in batches:
         at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
         low = 0
         while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+            high = min(low + rows, max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1))
             yield batch.slice(low, high - low)
             low = high
     trim()

@@ -265,7 +265,87 @@ def test_long_lists_split_into_blocks(spark, monkeypatch):
     assert {(r[0], r[1]) for r in jaccard.jaccard_join(docs).collect()} == want
 
 
+def brute_links(rows, t=0.5, n=3):
+    """{id: (class, links)} of rows (id, text) by comparing all pairs."""
+    sets = defaultdict(list)
+    for i, x in rows:
+        if i is not None:
+            sets[i].append(grams(x or "", n))
+    ids, links, root = sorted(sets), Counter(), {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(ids, 2):
+        if any(a and b and len(a & b) >= t * len(a | b) - 1e-12 for a in sets[i] for b in sets[j]):
+            links.update([i, j])
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+    return {i: (top(i), links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_links_and_classes_are_those_of_all_pairs(spark, monkeypatch, heavy):
+    if heavy:  # most grams of a family count as heavy
+        monkeypatch.setattr(jaccard, "HEAVY_IN_SLICE", 2)
+        monkeypatch.setattr(jaccard, "HEAVY", 3)
+    rng = np.random.default_rng(11)
+    texts = [x for size, words in ((30, 50), (8, 12), (4, 90), (2, 5), (1, 30), (1, 1)) for x in family(rng, size, words, 4000)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[i % 7]) for i in range(20)]
+    rows += [(5, texts[35]), (5, texts[36]), (3, texts[40]), (3, texts[40]), (200, None), (201, ""), (202, "!!"), (None, texts[0])]
+    found = jaccard.linked(table(spark, rows).repartition(3)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in found} == brute_links(rows) and len(found) == len({r[0] for r in rows}) - 1
+    pairs = {(r[0], r[1]) for r in jaccard.jaccard_join(table(spark, rows)).collect()}
+    assert Counter(x for p in pairs for x in p) == {i: n for i, (_, n) in brute_links(rows).items() if n}
+
+
+def test_broadcast_or_join_drops_the_same_rows(spark, monkeypatch, odd):
+    first = Counter(map(str, jaccard.deduplicated(odd).collect()))
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert Counter(map(str, jaccard.deduplicated(odd).collect())) == first
+
+
+@pytest.mark.parametrize("rows", ["100000", "0"])
+def test_batches_of_any_number_of_rows(spark, rows):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        docs = spark.range(70_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta gamma delta "), F.col("id").cast("string"), F.lit(" "), F.col("id").cast("string"), F.lit(" "), F.col("id").cast("string")).alias("text"))
+        docs = docs.union(spark.createDataFrame([(70_000 + i, f"one two three four five {i}") for i in range(3)], "doc_id bigint, text string")).coalesce(1)
+        found = jaccard.linked(docs, t=0.6).filter("links > 0").collect()
+        assert sorted((r[0], r[1], r[2]) for r in found) == [(70_000 + i, 70_000, 2) for i in range(3)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_hashes_keep_all_their_bits():
+    for ranges in (1, 3, 255, 256, 257, 1875, 70_000):
+        g = np.random.default_rng(ranges).integers(0, 1 << 64, 5000, dtype=np.uint64)
+        g = np.concatenate([g, np.array([0, (1 << 64) - 1], np.uint64)])
+        high = g >> np.uint64(32)
+        part = ((high * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+        place = high - jaccard._bounds(part, ranges)
+        assert int(place.max()) < 1 << 8 * jaccard._width(ranges)
+        assert np.array_equal((place + jaccard._bounds(part, ranges)) << np.uint64(32) | g & np.uint64(0xFFFFFFFF), g)
+
+
+def test_ranges_are_asked_only_for_what_they_have(spark):
+    """Rows asked for grow with repeated grams, not with slices times ranges."""
+    rng = np.random.default_rng(3)
+    docs = table(spark, list(enumerate(family(rng, 3, 40, 9000))) + [(100 + i, " ".join(f"u{i}x{k}" for k in range(60))) for i in range(200)]).repartition(8)
+    blobs = jaccard._blobs(docs, 3, 50, np.zeros(0, np.uint64))
+    counted = blobs.groupBy("part").applyInArrow(jaccard._count(jaccard._width(50)), jaccard._COUNTED)
+    stay = counted.groupBy("slice").applyInArrow(jaccard._sieve(0.5), "slice bigint, row int, record bigint, size int")
+    asked = counted.groupBy("slice").cogroup(stay.groupBy("slice")).applyInArrow(jaccard._ask, "part int, slice bigint, rows binary").collect()
+    repeated = {g for i, j in combinations([r[1] for r in docs.filter("doc_id < 100").collect()], 2) for g in grams(i) & grams(j)}
+    assert 0 < sum(len(r["rows"]) // 2 for r in asked) <= 3 * len(repeated) and len(asked) < 3 * 50
+
+
 def test_jaccard_edges(spark, odd, empty):
+    one = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.linked(odd).collect()}
+    assert one == {1: (1, 1), 2: (1, 1)} | {i: (i, 0) for i in range(3, 9)} and not jaccard.linked(empty).count()
     found = {(r[0], r[1]) for r in jaccard.jaccard_join(odd).collect()}
     assert found == {(1, 2)}
     kept = jaccard.deduplicated(odd)
