@@ -2,9 +2,10 @@
 
 The tree is fitted on a bounded sample (SAMPLE); every row is then in the leaf that greedy descent finds, so leaves cover the
 whole table. A query goes through the tree with a priority queue: the nearest unopened node is next, an inner
-node adds its children, a leaf is a visit. How many leaves to visit is calibrated: for PROBES rows the true neighbours are found by
-brute force over the whole table, and visits are widened until TARGET of these lie in visited leaves. Neighbouring leaves
-form parts of about PART rows; a query goes to each part once, with the leaves that it visits there, and keeps its k best.
+node adds its children, a leaf is a visit. How many leaves to visit is calibrated: for about PROBES queries the true neighbours are found
+by brute force over the whole table, and visits are widened until TARGET of these lie in visited leaves. Rows of each leaf are
+counted over the whole table; neighbouring leaves form parts of about PART rows, and a leaf with more (many equal rows) is spread
+over several parts. A query goes to each part once, with the leaves that it visits there, and keeps its k best.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwarp.llm.words import mix
 from inkwarp.session import settle, table
 
 NAME = "op8_neighbours"
 SQL = None
 K, TARGET, PROBES, SAMPLE, LEAF, BRANCHES, ROUNDS, SEED = 10, 0.95, 256, 50_000, 256, 8, 8, 7
 #: Rows compared at a time, and rows of the leaves that one task searches for their visitors.
-TILE, PART = 1024, 8192
+TILE, PART = 1024, 2048
+#: Queries of the registered query: ids divisible by this.
+EVERY = 20
 
 
 @dataclass
@@ -103,15 +107,25 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of the k rows nearest to each query but rows of its own id, with others at the k-th distance."""
+    """(query, id, distance) of the k ids nearest to each query but its own, with others at the k-th distance. ids are in order.
+
+    Candidates are found by products, whose rounding the margin covers; their distances are then those of differences.
+    """
     d = _distances(q, x)
     d[own[:, None] == ids[None, :]] = np.inf
-    if len(ids) > k:
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero((d <= (kth + 4e-6 * np.sqrt(kth) + 1e-11)[:, None]) & np.isfinite(d))
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    near = d if len(first) == len(ids) else np.minimum.reduceat(d, first, axis=1)  # an id counts once, however often it is there
+    if len(first) > k:
+        kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+        error = 1e-14 * x.shape[1] ** 0.5 * ((q**2).sum(axis=1) + (x**2).sum(axis=1).max())
+        r, c = np.nonzero((d <= (kth + 4e-6 * np.sqrt(kth) + 1e-11 + 2 * error)[:, None]) & np.isfinite(d))
     else:
         r, c = np.nonzero(np.isfinite(d))
-    return r, ids[c], np.round(np.sqrt(d[r, c]), 6)
+    exact = np.empty(len(r))
+    for low in range(0, len(r), 1 << 16):
+        some = slice(low, low + (1 << 16))
+        exact[some] = np.sqrt(((q[r[some]] - x[c[some]]) ** 2).sum(axis=1))
+    return r, ids[c], np.round(exact, 6)
 
 
 def _first(r: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +142,9 @@ def _first(r: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def clean(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding) that can be searched: with id, not null, of the commonest length, all numbers finite."""
-    own = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """(vec_id, embedding) that can be searched: with id, not null, of the commonest length, all numbers finite and up to 1e150. Floats stay floats."""
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    own = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     own = own.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, v -> v is null or isnan(v) or abs(v) > 1e150)")
     size = own.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     return own.filter(F.size("embedding") == size["d"]) if size else own.limit(0)
@@ -140,28 +155,33 @@ def _sampled(rows: DataFrame, n: int, most: int, salt: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 32)) < int(most / n * (1 << 32)))
 
 
-def _groups(tree: Tree, factor: float) -> np.ndarray:
-    """The part of each leaf: leaves next to each other in the tree, of about PART rows together, are searched by one task."""
-    size, stack, n = np.zeros(len(tree.first), np.int64), [0], 0.0
+def _groups(tree: Tree, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, parts) of each leaf: leaves next to each other in the tree, of about PART rows together, are searched by one task; a leaf with more has parts of its own."""
+    first, parts, stack, n, at = np.zeros(len(tree.first), np.int64), np.ones(len(tree.first), np.int64), [0], 0, 0
     while stack:
         i = stack.pop()
         if tree.count[i]:
             stack += range(tree.first[i] + tree.count[i] - 1, tree.first[i] - 1, -1)
-        else:
-            size[i] = int(n // PART)
-            n += tree.size[i] * factor
-    return size
+            continue
+        if n and n + rows[i] > PART:
+            n, at = 0, at + 1
+        first[i], parts[i] = at, max(1, -(-int(rows[i]) // PART))
+        n += int(rows[i])
+        if parts[i] > 1:
+            n, at = 0, at + int(parts[i])
+    return first, parts
 
 
-def _brute(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, tree: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _brute(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, tree: Tree, k: int, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, leaves) of each probe's true neighbours."""
     d = probes.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, own = _matrix(batch.column(1), d), batch.column(0).to_numpy()
+            x, own = _matrix(batch.column(1), d) - middle, batch.column(0).to_numpy()
             leaf = dict(zip(own.tolist(), tree.leaves(x).tolist(), strict=True))
-            p, i, s = _first(*_nearest(probes, x, own, ids, k), k)
+            order = np.argsort(own, kind="stable")
+            p, i, s = _first(*_nearest(probes, x[order], own[order], ids, k), k)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(i), pa.array(s), pa.array([leaf[v] for v in i.tolist()], pa.int64())], ["probe", "vec_id", "distance", "leaf"])
 
     near = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "vec_id"))
@@ -185,47 +205,72 @@ def calibrated(tree: Tree, probes: np.ndarray, probe: np.ndarray, leaf: np.ndarr
         most *= 2
 
 
-def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF) -> DataFrame:
-    """(vec_id, rank, neighbour, distance): for every row its k nearest other rows by Euclidean distance, rounded to six decimals.
+def _leaf_sizes(rows: DataFrame, tree: Tree, d: int, middle: np.ndarray) -> np.ndarray:
+    """How many rows of the whole table each leaf has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(tree.first), np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, TILE):
+                n += np.bincount(tree.leaves(_matrix(batch.column(0).slice(low, TILE), d) - middle), minlength=len(n))
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], ["leaf", "n"])
+
+    found = rows.select("embedding").mapInArrow(run, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(tree.first), np.int64)
+    n[found.column("leaf").to_numpy()] = found.column("n").to_numpy()
+    return n
+
 
-    Rows without id or embedding, with nulls, NaN or infinite numbers in it, or of another length than most are left out. Of
-    equal distances the least id is first. Rows that repeat an id are searched and found each for itself, never by
+def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbour, distance): for every row whose id is divisible by every, its k nearest other rows of the whole table by Euclidean distance, rounded to six decimals.
+
+    Rows without id or embedding, with nulls, NaN, infinite numbers or such beyond 1e150 in it, or of another length than most are
+    left out. Of equal distances the least id is first. Rows that repeat an id are searched and found each for itself, never by
     one another, and a neighbour comes once, at its least distance. Fewer than k other rows give fewer. Other columns are ignored.
     An empty table gives no rows.
     """
     rows = settle(clean(rows))
     spark, n = rows.sparkSession, rows.count()
     schema = "vec_id bigint, rank int, neighbour bigint, distance double"
-    if not n:
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    queries = rows.filter(asks).count()
+    if not queries:
         return spark.createDataFrame([], schema)
-    d = len(rows.first()["embedding"])
+    d, kind = len(rows.first()["embedding"]), np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
     sample = _sampled(rows, n, SAMPLE, 1).toArrow().sort_by("vec_id").combine_chunks()
-    x = _matrix(sample.column("embedding").combine_chunks(), d)
-    tree = grow(x, max(1, round(leaf * len(x) / n)))
-    probes = _sampled(rows, n, PROBES, 2).toArrow().sort_by("vec_id").slice(0, 4 * PROBES).combine_chunks()
-    px, pid = _matrix(probes.column("embedding").combine_chunks(), d), probes.column("vec_id").to_numpy()
-    visits = calibrated(tree, px, *_brute(rows, px, pid, tree, k), target)
-
-    group = _groups(tree, n / len(x))
-    # rows that repeat an id could crowd others out of a part's nearest
-    deep = k * (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0])
+    x = _matrix(sample.column("embedding").combine_chunks(), d) if sample.num_rows else np.zeros((1, d))
+    middle = x.mean(axis=0)  # distances are taken from here, as far numbers would lose digits
+    tree = grow(x - middle, max(1, round(leaf * len(x) / n)))
+    probes = _sampled(rows.filter(asks), queries, PROBES, 2).toArrow().sort_by("vec_id").combine_chunks()
+    if not probes.num_rows:
+        probes = rows.filter(asks).limit(PROBES).toArrow().combine_chunks()
+    px, pid = _matrix(probes.column("embedding").combine_chunks(), d) - middle, probes.column("vec_id").to_numpy()
+    visits = calibrated(tree, px, *_brute(rows, px, pid, tree, k, middle), target)
+    group, parts = _groups(tree, _leaf_sizes(rows, tree, d, middle))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                b = batch.slice(low, 1024)
-                y = _matrix(b.column(1), d)
-                own, seen = tree.leaves(y), tree.visits(y, visits)
+            for low in range(0, batch.num_rows, TILE):
+                b = batch.slice(low, TILE)
+                y, ids = _matrix(b.column(1), d), b.column(0).to_numpy()
+                packed = pa.array([r.tobytes() for r in y.astype(kind)], pa.binary())
+                own = tree.leaves(y - middle)
+                at = group[own] + mix(ids.view(np.uint64)) % parts[own].astype(np.uint64)
+                asking = np.flatnonzero(ids % every == 0)
+                seen = tree.visits(y[asking] - middle, visits) if len(asking) else np.zeros((0, 1), np.int64)
                 q, v = np.nonzero(seen >= 0)
-                leaf = seen[q, v].astype(np.int32)
-                order = np.lexsort((leaf, group[leaf], q))
-                q, leaf = q[order], leaf[order]
-                new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (group[leaf[1:]] != group[leaf[:-1]])]))
-                lists = [x.tobytes() for x in [*own.astype(np.int32), *np.split(leaf, new[1:])]]
-                index = pa.array(np.concatenate([np.arange(len(y)), q[new]]))
-                kind = np.concatenate([np.zeros(len(y), np.int8), np.ones(len(new), np.int8)])
-                packed = pa.array([r.tobytes() for r in y.astype(np.float32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([group[own], group[leaf[new]]])), pa.array(kind), b.column(0).take(index), pa.array(lists, pa.binary()), packed.take(index)], ["part", "kind", "vec_id", "leaves", "x"])
+                leaf = seen[q, v]
+                of = np.repeat(np.arange(len(leaf)), parts[leaf])
+                to = group[leaf][of] + np.arange(len(of)) - np.searchsorted(of, of)
+                q, leaf = q[of], leaf[of].astype(np.int32)
+                order = np.lexsort((leaf, to, q))
+                q, leaf, to = q[order], leaf[order], to[order]
+                new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (to[1:] != to[:-1])])) if len(q) else np.zeros(0, np.int64)
+                lists = [z.tobytes() for z in [*own.astype(np.int32), *(np.split(leaf, new[1:]) if len(q) else [])]]
+                index = pa.array(np.concatenate([np.arange(len(y)), asking[q[new]]]))
+                which = np.concatenate([np.zeros(len(y), np.int8), np.ones(len(new), np.int8)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at.astype(np.int64), to[new]])), pa.array(which), b.column(0).take(index), pa.array(lists, pa.binary()), packed.take(index)], ["part", "kind", "vec_id", "leaves", "x"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come part by part, first those that lie there, then the visitors."""
@@ -235,7 +280,7 @@ def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF)
                 tile = batch.slice(low, TILE)
                 at, kinds, who = (tile.column(i).to_numpy() for i in range(3))
                 leaves = tile.column(3).to_pylist()
-                y = np.frombuffer(b"".join(tile.column(4).to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
+                y = np.frombuffer(b"".join(tile.column(4).to_pylist()), kind).reshape(-1, d).astype(np.float64) - middle
                 cuts = np.flatnonzero((at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])) + 1
                 for low, high in zip([0, *cuts], [*cuts, len(at)], strict=True):
                     if at[low] != now:
@@ -246,6 +291,8 @@ def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF)
                         continue
                     if held:
                         leaf, ids, own = (np.concatenate(v) for v in zip(*held, strict=True))
+                        order = np.argsort(ids, kind="stable")
+                        leaf, ids, own = leaf[order], ids[order], own[order]
                         by, held = {j: (ids[leaf == j], own[leaf == j]) for j in np.unique(leaf).tolist()}, []
                     row = np.repeat(np.arange(low, high), [len(v) // 4 for v in leaves[low:high]])
                     found = []
@@ -255,7 +302,7 @@ def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF)
                             ids, own = by[int(here[some[0]])]
                             r = row[some]
                             for t in range(0, len(ids), TILE):
-                                p, i, s = _nearest(y[r], own[t : t + TILE], ids[t : t + TILE], who[r], deep)
+                                p, i, s = _nearest(y[r], own[t : t + TILE], ids[t : t + TILE], who[r], k)
                                 found.append((r[p], i, s))
                     if found:
                         r, i, s = _first(*(np.concatenate(v) for v in zip(*found, strict=True)), k)
@@ -268,4 +315,5 @@ def join(rows: DataFrame, k: int = K, target: float = TARGET, leaf: int = LEAF)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "embeddings"))
+    """The neighbours of every vector whose id is divisible by EVERY, among all."""
+    return join(table(spark, sf_dir, "embeddings"), every=EVERY)

@@ -457,6 +457,41 @@ def test_neighbours_recall_and_order(spark):
     assert [set(g) for _, g in whole.groupby("vec_id").neighbour] == [set(r) for r in true]  # all leaves visited: exact
 
 
+@pytest.mark.parametrize("name", ["sf0.1", "check_s"])
+def test_neighbours_of_the_query_set_have_the_recall(spark, name):
+    rows = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
+    t = rows.toPandas()
+    x, ids = np.stack(t.embedding).astype(float), t.vec_id.to_numpy()
+    asks = np.flatnonzero(ids % neighbours.EVERY == 0)
+    d = np.linalg.norm(x, axis=1)[asks, None] ** 2 + np.linalg.norm(x, axis=1)[None] ** 2 - 2 * x[asks] @ x.T
+    d[np.arange(len(asks)), asks] = np.inf
+    true = np.argpartition(d, neighbours.K, axis=1)[:, : neighbours.K]
+    by = neighbours.query(spark, f"/root/testdata/{name}").toPandas().groupby("vec_id").neighbour.agg(set)
+    assert set(by.index) == set(ids[asks]) and np.mean([len(by[ids[a]] & set(ids[r])) / neighbours.K for a, r in zip(asks, true, strict=True)]) >= 0.9
+
+
+def test_near_numbers_far_from_zero_keep_their_distances(spark):
+    df = spark.createDataFrame([(i, [1e6 + 0.01 * i, -3e6]) for i in range(40)], "vec_id bigint, embedding array<double>")
+    found = neighbours.join(df, 2, leaf=8, target=1.1).toPandas().set_index(["vec_id", "rank"])
+    assert found.loc[(0, 1)].tolist() == [1, 0.01] and found.loc[(0, 2)].tolist() == [2, 0.02] and found.loc[(20, 1)].tolist() == [19, 0.01]
+
+
+def test_equal_rows_and_repeated_ids_are_spread_and_found(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 16)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.zeros((100, 3)), rng.normal(size=(60, 3))])
+    ids = np.concatenate([np.arange(100) % 70, np.arange(100, 160)])  # ids 0 to 29 twice
+    found = neighbours.join(vectors(spark, x, ids).repartition(3), 5, target=1.1, leaf=16, every=10).toPandas()
+    assert set(found.vec_id) == {i for i in set(ids.tolist()) if i % 10 == 0}
+    assert found[found.vec_id == 0].sort_values("rank").neighbour.tolist() == [1, 2, 3, 4, 5] and (found[found.vec_id < 70].distance == 0).all()
+    for q in (100, 150):
+        d = {}
+        for i, r in zip(ids.tolist(), x.astype(np.float32).astype(float), strict=True):
+            if i != q:
+                d[i] = min(d.get(i, 9e9), round(float(np.linalg.norm(r - x[q].astype(np.float32))), 6))
+        assert found[found.vec_id == q].sort_values("rank").neighbour.tolist() == [i for _, i in sorted((v, i) for i, v in d.items())[:5]]
+
+
 def test_best_bin_first_visits_nearest_first():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 4))
