@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source has a budget of tokens. Documents are counted by source and exact token length. A source takes the same
-share of every length, rounded down, then one more of the lengths with the largest remainders, then as many as fit of the longest,
-while that leaves more than DP_TOKENS of its budget; how many more of which lengths fill what is left is found by a bounded knapsack over lengths, with sets
-of reachable sums as bits. Of each length, documents of least keyed hash are selected.
+share of every length, rounded down, and one more of the lengths with the largest remainders, up to the last WINDOW tokens of its budget; how many more of which lengths fill what is left
+is found by a bounded knapsack over lengths, with sets of reachable sums as bits. If that doesn't meet the budget, the window
+is eight times as large, up to the whole budget or WORK, so a budget within WORK is met as nearly as its documents allow. Beyond it
+the longest that fit are taken in bulk, down to what the knapsack can do. Of each length, documents of least keyed hash are selected.
 """
 
 from __future__ import annotations
@@ -19,59 +20,93 @@ from inkwarp.session import settle, table
 NAME = "op10_mixing"
 SQL = None
 #: Default weights: tokens of the source to this power. SEED: of the selection.
-POWER, SEED, DP_TOKENS = 0.7, 20240601, 1 << 16
+POWER, SEED, WINDOW = 0.7, 20240601, 1 << 16
+#: A knapsack's bits are its window's tokens by its lengths' pieces; with more than this (1.3 GB moved) it isn't tried.
+WORK = 1 << 33
 #: Cuts of up to so many (source, length) go to the executors as a broadcast, more by a join that shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length, counts at most, to come as near as possible to the budget from below."""
-    take = np.zeros(len(lengths), np.int64)
-    if budget <= 0:
-        return take
-    parts = []  # (index, pieces): counts split into powers of two
+def _pieces(lengths: np.ndarray, counts: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """(index, pieces): counts that fit the budget, split into powers of two, long lengths first."""
+    parts = []
     for i in np.argsort(-lengths, kind="stable"):
+        if not counts[i]:
+            continue
         left, k = min(int(counts[i]), budget // int(lengths[i])), 1
         while left:
             parts.append((int(i), min(k, left)))
             left, k = left - min(k, left), 2 * k
-    full = (1 << (budget + 1)) - 1
-    reach = [1]
-    for i, k in parts:
-        reach.append((reach[-1] | reach[-1] << (k * int(lengths[i]))) & full)
-        if reach[-1] >> budget:
+    return parts
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length, counts at most, to come as near as possible to the budget from below.
+
+    Sums are sets of bits. Only the piece that first reached a sum is kept for each, in one array, so memory doesn't grow with the lengths.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    if budget <= 0:
+        return take
+    scale = int(np.gcd.reduce(lengths[counts > 0])) if (counts > 0).any() else 1
+    lengths, budget = lengths // scale, budget // scale
+    parts = _pieces(lengths, counts, budget)
+    full, reach = (1 << (budget + 1)) - 1, 1
+    via = np.zeros(budget + 1, np.int32)
+    for j, (i, k) in enumerate(parts, 1):
+        new = (reach << (k * int(lengths[i]))) & full & ~reach
+        if new:
+            some = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little"))
+            via[some] = j
+            reach |= new
+        if reach >> budget:
             break
-    at = reach[-1].bit_length() - 1
-    for j in range(len(reach) - 2, -1, -1):
-        if not reach[j] >> at & 1:
-            i, k = parts[j]
-            take[i] += k
-            at -= k * int(lengths[i])
+    at = reach.bit_length() - 1
+    while at:  # a sum's piece is later than those of what it was added to
+        i, k = parts[via[at] - 1]
+        take[i] += k
+        at -= k * int(lengths[i])
     return take
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = DP_TOKENS) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW, work: int = WORK) -> np.ndarray:
     """How many documents of each length a source gives for its budget."""
     have = int((lengths * counts).sum())
     if budget >= have:
         return counts.astype(np.int64)
-    exact = counts * (budget / have)
-    take = np.floor(exact + 1e-9).astype(np.int64)
-    left = budget - int((lengths * take).sum())
-    for i in np.lexsort((lengths, take - exact)):
-        if left <= limit:
+    best, least = None, budget + 1
+    while True:
+        exact = counts * (max(0, budget - window) / have)
+        take = np.floor(exact + 1e-9).astype(np.int64)
+        left = budget - int((lengths * take).sum())
+        for i in np.lexsort((lengths, take - exact)):  # largest remainders first
+            if left <= 2 * window:
+                break
+            if take[i] < counts[i] and lengths[i] <= left - window:
+                take[i] += 1
+                left -= int(lengths[i])
+        for i in np.argsort(-lengths, kind="stable") if left > 2 * window else ():  # still much left: long lengths, in bulk
+            more = min(int(counts[i] - take[i]), (left - window) // int(lengths[i]))
+            if more > 0:
+                take[i] += more
+                left -= more * int(lengths[i])
+        rest = counts - take
+        scale = int(np.gcd.reduce(lengths[rest > 0])) if (rest > 0).any() else 1
+        if best is None or len(_pieces(lengths, rest, left)) * (left // scale) <= work:
+            while best is None and len(_pieces(lengths, rest, left)) * (left // scale) > work:  # take more, so that the first knapsack can be done
+                i = max(np.flatnonzero((rest > 0) & (lengths <= left)), key=lambda i: lengths[i])
+                more = max(1, min(int(rest[i]), left // 2 // int(lengths[i])))
+                take[i], rest[i], left = take[i] + more, rest[i] - more, left - more * int(lengths[i])
+            take = take + knapsack(lengths, rest, left)
+            gap = budget - int((lengths * take).sum())
+            if gap < least:
+                best, least = take, gap
+        else:
             break
-        if take[i] < counts[i] and lengths[i] <= left:
-            take[i] += 1
-            left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= limit:
+        if not least or window >= budget:
             break
-        # about limit stays for the knapsack
-        more = min(int(counts[i] - take[i]), left // int(lengths[i]), -(-(left - limit) // int(lengths[i])))
-        take[i] += more
-        left -= more * int(lengths[i])
-    return take + knapsack(lengths, counts - take, left if left <= limit else 0)  # beyond limit nothing fits
+        window *= 8
+    return best
 
 
 def budgets(tokens: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None) -> dict[str, int]:
@@ -133,7 +168,8 @@ def _cuts(docs: DataFrame, weights: dict[str, float] | None, total: int | None,
 def selected(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """(row, mix_source, mix_tokens): the selected rows, as structs of all their columns.
 
-    No source is above its budget, and each is as near to it as the knapsack gets. A null source is the source "". Rows
+    No source is above its budget, and each is as near to it as fit() gets: as near as can be where a knapsack over its whole
+    budget is within WORK, else to what the last window leaves. A null source is the source "". Rows
     without tokens are not selected. Rows that repeat an id have one hash; where a cut falls among rows of one hash, as many
     of them as needed are selected, those of least text. Other columns pass, whatever their names. An empty table gives no rows.
     """

@@ -585,7 +585,10 @@ def test_knapsack_is_optimal():
         for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
             sums = {s + n * k for s in sums for k in range(c + 1)}
         assert (take <= counts).all() and int(take @ lengths) == max(s for s in sums if s <= budget)
-        fit = mixing.fit(lengths, counts, budget, 40)
+        for window in (5, 40):
+            fit = mixing.fit(lengths, counts, budget, window)
+            assert (fit <= counts).all() and int(fit @ lengths) == max(s for s in sums if s <= budget)
+        fit = mixing.fit(lengths, counts, budget, 40, 60)  # hardly any work allowed
         assert (fit <= counts).all() and int(fit @ lengths) <= budget
 
 
@@ -629,6 +632,29 @@ def test_scarce_sources_do_not_size_the_mix(spark):
     assert mixing.mixed(docs).count() > 390
 
 
+@pytest.mark.parametrize("lengths,counts,budget,most", [((90_000, 1_000_000), (20, 1), 2_000_000, 1_990_000), ((30_000, 700_000), (60, 1), 1_500_000, 1_500_000), ((90_001, 1_000_003), (20, 1), 2_000_000, 1_990_014), ((1 << 20,), (5,), 3 << 20, 3 << 20)])
+def test_few_long_documents_come_as_near_as_they_can(lengths, counts, budget, most):
+    take = mixing.fit(np.array(lengths), np.array(counts), budget)
+    assert int(take @ np.array(lengths)) == most
+
+
+def test_large_histograms_are_fitted_in_time():
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(1, 300_000, 60_000))
+    counts = rng.integers(1, 2000, len(lengths))
+    for share in (0.1, 0.6):
+        budget = int((lengths * counts).sum() * share)
+        take = mixing.fit(lengths, counts, budget)
+        assert int(take @ lengths) == budget and (take <= counts).all() and np.abs(take / counts - share)[counts > 500].max() < 0.05
+
+
+def test_broadcast_or_join_selects_the_same_rows(spark, monkeypatch, odd):
+    docs = odd.unionByName(table(spark, [(50 + i, "x " * (1 + i % 7), None, f"s{i % 3}") for i in range(90)]))
+    first = Counter(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert Counter(map(str, mixing.mixed(docs).collect())) == first and len(first) > 50
+
+
 def test_long_documents_leave_no_gap():
     lengths, counts = np.array([100, 1_000_003]), np.array([100_000, 10])
     for budget in (10_000_000, 9_900_000, 10_900_000, 19_000_000):
