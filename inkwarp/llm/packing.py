@@ -6,7 +6,8 @@ they are easy to place elsewhere. Repeat counts are rounded and cut to what is t
 longest first, to the fullest open pack that has room (best fit), else to a new one. All this works on
 counts by exact length, so the plan has one size whatever the number of documents: a list of runs
 "the k-th to m-th pieces of this length go to these packs at this offset". Pieces get their rank among
-those of their length from a count by (length, bucket) and a rank within it, and find their run by a join.
+those of their length from a count by (length, bucket) and a rank within it, and find their run by a join. A length has
+a bucket for each BUCKET pieces, so no task ranks more at a time, however many pieces are of one length (whole contexts mostly are).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from inkwarp.session import settle, table
 
 NAME = "op1_packing"
-CONTEXT, CLASSES, DEPTH, BUCKETS = 2048, 64, 4, 32
+CONTEXT, CLASSES, DEPTH, BUCKET = 2048, 64, 4, 1 << 18
 SQL = None
 
 
@@ -171,28 +172,28 @@ def pieces(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     return cut.select("doc_id", "piece", "first_token", F.least(F.lit(context), F.col("n") - F.col("first_token")).cast("int").alias("n_tokens"))
 
 
-def pack(docs: DataFrame, context: int = CONTEXT, classes: int = CLASSES, depth: int = DEPTH, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, context: int = CONTEXT, classes: int = CLASSES, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
     """Where each piece of each document goes: (doc_id, piece, first_token, n_tokens, pack_id, pack_offset).
 
     A document of more than context tokens is cut into pieces of context tokens and a last one. Tokens
     are runs of characters other than white space. A document without tokens (null, empty or blank text)
     takes no room and has no row. Rows that repeat an id, and those without id, are packed one by one. Equal
-    lengths go by a hash of the id, then the id; rows alike in all that are interchangeable. Other columns
+    lengths go by a hash of id and piece, then these; rows alike in all that are interchangeable. Other columns
     are ignored. An empty table gives no rows.
     """
-    found = settle(pieces(docs, context).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
-    counts = found.groupBy("n_tokens", "bucket").count().collect()  # at most context x buckets rows
-    by: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in counts:
-        by[r["n_tokens"]][r["bucket"]] = r["count"]
+    found = settle(pieces(docs, context))
+    of_length = dict(found.groupBy("n_tokens").count().collect())  # at most context rows
     spark = docs.sparkSession
-    firsts = []
-    for length, of in by.items():
-        at = 0
-        for bucket in sorted(of):
-            firsts.append((length, bucket, at))
-            at += of[bucket]
-    runs = plan({length: sum(of.values()) for length, of in by.items()}, context, classes, depth)
+    split = {n: -(-k // bucket) for n, k in of_length.items() if k > bucket}
+    parts = F.coalesce(F.create_map(*(F.lit(x) for n, k in split.items() for x in (n, k)))[F.col("n_tokens")], F.lit(1)) if split else F.lit(1)
+    found = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), parts).cast("int"))
+    firsts = [(n, 0, 0) for n in of_length if n not in split]
+    if split:  # about a row for each bucket pieces
+        at: dict[int, int] = defaultdict(int)
+        for n, b, k in found.filter(F.col("n_tokens").isin(list(split))).groupBy("n_tokens", "bucket").count().orderBy("n_tokens", "bucket").collect():
+            firsts.append((n, b, at[n]))
+            at[n] += k
+    runs = plan(of_length, context, classes, depth)
     first = spark.createDataFrame(firsts, "n_tokens int, bucket int, first bigint")
     run = spark.createDataFrame(runs, "n_tokens int, low bigint, k bigint, pack bigint, pack_offset int")
     own = Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")
