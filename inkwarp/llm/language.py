@@ -2,8 +2,9 @@
 
 A word is of one script: a run of letters and digits ends at signs, ASCII or not, and where the script changes. A word's script leaves the languages that are written in it; words of a script with one language have that. Among
 several, languages are scored by the character n-grams of the word (1 to 4, with marks for its ends), and Viterbi over the
-scores of the words, with a penalty for each switch, finds the best labels; equal labels in a row are a span. As scripts share no
-language and a switch costs the same between any two, each run of words of one script is solved by itself. All
+scores of the words, with a penalty for each switch, finds the best labels; equal labels in a row are a span. Scripts that share a
+language (Serbian is written in two) are solved together, so that staying in it is free where the script changes; a switch costs the
+same between any two languages, so runs of scripts that share none can be solved by themselves. All
 runs of a batch are solved together: in stretches of STRETCH words as max-plus matrices, then over stretches, then back.
 
 Scores are log probabilities of a multinomial model with hashed n-grams, counted on documents with a language label (a
@@ -33,7 +34,11 @@ MOST_LABELLED = 5_000
 MAIN = 0.1
 SLOTS, LONGEST, PENALTY, STRETCH, SLICE = 1 << 17, 4, 25.0, 64, 2_000_000
 #: First code point of a script, the script, and its language where labels tell none.
-_SCRIPTS = [(0, "latin", "und"), (0x370, "greek", "el"), (0x400, "cyrillic", "ru"), (0x530, "armenian", "hy"), (0x590, "hebrew", "he"), (0x600, "arabic", "ar"), (0x700, "other", "und"), (0x900, "devanagari", "hi"), (0x980, "bengali", "bn"), (0xA00, "other", "und"), (0xB80, "tamil", "ta"), (0xC00, "other", "und"), (0xE00, "thai", "th"), (0xE80, "other", "und"), (0x10A0, "georgian", "ka"), (0x1100, "hangul", "ko"), (0x1200, "other", "und"), (0x1E00, "latin", "und"), (0x1F00, "greek", "el"), (0x2000, "other", "und"), (0x3040, "kana", "ja"), (0x3100, "other", "und"), (0x3400, "han", "zh"), (0xA000, "other", "und"), (0xAC00, "hangul", "ko"), (0xD7B0, "other", "und"), (0xFF21, "latin", "und"), (0xFF66, "kana", "ja"), (0xFFA0, "hangul", "ko"), (0xFFE0, "other", "und"), (0x20000, "han", "zh"), (0x30000, "other", "und")]
+_SCRIPTS = [
+    (0, "latin", "und"), (0x370, "greek", "el"), (0x400, "cyrillic", "ru"), (0x530, "armenian", "hy"), (0x590, "hebrew", "he"), (0x600, "arabic", "ar"), (0x700, "syriac", "syr"), (0x750, "arabic", "ar"), (0x780, "thaana", "dv"), (0x7C0, "nko", "nqo"), (0x800, "other", "und"), (0x860, "arabic", "ar"), (0x900, "devanagari", "hi"), (0x980, "bengali", "bn"), (0xA00, "gurmukhi", "pa"), (0xA80, "gujarati", "gu"), (0xB00, "oriya", "or"), (0xB80, "tamil", "ta"), (0xC00, "telugu", "te"), (0xC80, "kannada", "kn"), (0xD00, "malayalam", "ml"), (0xD80, "sinhala", "si"), (0xE00, "thai", "th"), (0xE80, "lao", "lo"), (0xF00, "tibetan", "bo"), (0x1000, "myanmar", "my"),
+    (0x10A0, "georgian", "ka"), (0x1100, "hangul", "ko"), (0x1200, "ethiopic", "am"), (0x13A0, "cherokee", "chr"), (0x1400, "aboriginal", "iu"), (0x1680, "other", "und"), (0x1780, "khmer", "km"), (0x1800, "mongolian", "mn"), (0x18B0, "aboriginal", "iu"), (0x1900, "other", "und"), (0x1C80, "cyrillic", "ru"), (0x1C90, "georgian", "ka"), (0x1CC0, "other", "und"), (0x1D00, "latin", "und"), (0x1F00, "greek", "el"), (0x2000, "other", "und"), (0x2C60, "latin", "und"), (0x2C80, "other", "und"), (0x2D00, "georgian", "ka"), (0x2D30, "tifinagh", "zgh"), (0x2D80, "ethiopic", "am"), (0x2DE0, "cyrillic", "ru"), (0x2E00, "other", "und"), (0x2E80, "han", "zh"), (0x2FE0, "other", "und"),
+    (0x3040, "kana", "ja"), (0x3100, "han", "zh"), (0x3130, "hangul", "ko"), (0x3190, "other", "und"), (0x31A0, "han", "zh"), (0x31F0, "kana", "ja"), (0x3200, "other", "und"), (0x3400, "han", "zh"), (0xA000, "yi", "ii"), (0xA4D0, "other", "und"), (0xA640, "cyrillic", "ru"), (0xA6A0, "other", "und"), (0xA720, "latin", "und"), (0xA800, "other", "und"), (0xA8E0, "devanagari", "hi"), (0xA900, "other", "und"), (0xA960, "hangul", "ko"), (0xA980, "other", "und"), (0xAB00, "ethiopic", "am"), (0xAB30, "latin", "und"), (0xAB70, "cherokee", "chr"), (0xABC0, "other", "und"), (0xAC00, "hangul", "ko"), (0xD800, "other", "und"), (0xF900, "han", "zh"), (0xFB00, "latin", "und"), (0xFB13, "armenian", "hy"), (0xFB1D, "hebrew", "he"), (0xFB50, "arabic", "ar"), (0xFE00, "other", "und"), (0xFE70, "arabic", "ar"), (0xFF00, "other", "und"), (0xFF21, "latin", "und"), (0xFF66, "kana", "ja"), (0xFFA0, "hangul", "ko"), (0xFFE0, "other", "und"), (0x20000, "han", "zh"), (0x32000, "other", "und"),
+]
 _STARTS = np.array([s for s, _, _ in _SCRIPTS])
 SCRIPTS = sorted({s for _, s, _ in _SCRIPTS})
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s, _ in _SCRIPTS])
@@ -152,7 +157,8 @@ def _split(column: pa.Array) -> tuple[np.ndarray, ...]:
 def train(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Scores of languages from documents with text and label, of each language as many as of others or all it has.
 
-    A script's candidates are the languages with MAIN of their own words in it. Counts are smoothed with the mean of the
+    A script's candidates are the languages with MAIN of their own words in it, however few documents they have; a script that no
+    label is written in has its usual language (_SCRIPTS), those of Unicode that aren't listed "und". Counts are smoothed with the mean of the
     candidates, so that a language with few documents has no gain from what it was never seen with.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
@@ -260,20 +266,41 @@ def viterbi(score: np.ndarray, begin: np.ndarray, penalty: float) -> np.ndarray:
     return label[at % STRETCH, where].astype(np.int64)
 
 
+def _together(model: Model) -> list[list[int]]:
+    """The scripts, those that share a language in one list."""
+    found: list[tuple[set[str], list[int]]] = []
+    for i, script in enumerate(SCRIPTS):
+        langs, own = set(model.languages[script]) - {"und"}, [i]
+        for other in [x for x in found if x[0] & langs]:
+            found.remove(other)
+            langs, own = langs | other[0], own + other[1]
+        found.append((langs, own))
+    return [own for _, own in found]
+
+
 def _labels(data: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray, row: np.ndarray, script: np.ndarray, model: Model, names: dict[str, int], penalty: float) -> np.ndarray:
     """The language of each word, by its number in names."""
     out = np.zeros(len(h), np.int64)
-    for i in np.unique(script):
-        langs = model.languages[SCRIPTS[i]]
-        own = np.flatnonzero(script == i)
+    there = np.bincount(script, minlength=len(SCRIPTS)) > 0
+    for scripts in _together(model):
+        scripts = [i for i in scripts if there[i]]
+        langs = sorted({x for i in scripts for x in model.languages[SCRIPTS[i]]})
+        own = np.flatnonzero(np.isin(script, scripts))
         if len(langs) == 1:
             out[own] = names[langs[0]]
+        if len(langs) < 2:
             continue
-        _, one, back = np.unique(h[own], return_index=True, return_inverse=True)
-        slot, word = _ngrams(data, first[own[one]], end[own[one]])
-        order = np.argsort(word, kind="stable")
-        begin = np.searchsorted(word[order], np.arange(len(one)))
-        score = np.add.reduceat(model.scores[SCRIPTS[i]][slot[order]], begin)[back]
+        score = np.full((len(own), len(langs)), -2000.0, np.float32)  # of languages that aren't written so
+        for i in scripts:
+            at, some = np.flatnonzero(script[own] == i), [langs.index(x) for x in model.languages[SCRIPTS[i]]]
+            if len(some) == 1:
+                score[at, some[0]] = 0
+                continue
+            _, one, back = np.unique(h[own[at]], return_index=True, return_inverse=True)
+            slot, word = _ngrams(data, first[own[at[one]]], end[own[at[one]]])
+            order = np.argsort(word, kind="stable")
+            begin = np.searchsorted(word[order], np.arange(len(one)))
+            score[np.ix_(at, some)] = np.add.reduceat(model.scores[SCRIPTS[i]][slot[order]], begin)[back]
         starts = np.flatnonzero(np.concatenate([[True], (row[own][1:] != row[own][:-1]) | (np.diff(own) != 1)]))
         out[own] = np.array([names[x] for x in langs])[viterbi(score, starts, penalty)]
     return out

@@ -588,6 +588,40 @@ def test_words_split_where_the_script_changes(spark):
     ]
 
 
+def test_scripts_that_share_a_language_are_solved_together(spark):
+    """All labellings of a few words, with the penalty across scripts too."""
+    rng = np.random.default_rng(4)
+    languages = {s: [language._SINGLE[s]] for s in language.SCRIPTS} | {"latin": ["en", "sr"], "cyrillic": ["ru", "sr"]}
+    model = language.Model(languages, {s: rng.normal(0, 2, (language.SLOTS, 2)).astype(np.float32) for s in ("latin", "cyrillic")})
+    words = ["dobar", "дан", "svet", "мир", "ok", "да", "ne"]
+    for n in (3, 5, 7):
+        text = " ".join(words[:n])
+        data, h, first, end, row, script = language._split(pa.array([text]))
+        names = ["en", "ru", "sr"]
+        label = language._labels(data, h, first, end, row, script, model, {x: i for i, x in enumerate(sorted({y for v in languages.values() for y in v}))}, 3.0)
+        every = sorted({y for v in languages.values() for y in v})
+        slot, word = language._ngrams(data, first, end)
+
+        def value(path, slot=slot, word=word, script=script):
+            total = 0.0
+            for i, x in enumerate(path):
+                own = languages[language.SCRIPTS[script[i]]]
+                if names[x] not in own:
+                    return -1e9
+                total += model.scores[language.SCRIPTS[script[i]]][slot[word == i], own.index(names[x])].sum() - 3.0 * (i > 0 and x != path[i - 1])
+            return total
+
+        best = max(value(p) for p in np.ndindex(*[3] * n))
+        assert value([names.index(every[x]) for x in label]) == pytest.approx(best, abs=1e-2)
+
+
+def test_scripts_have_their_languages(spark):
+    texts = {"te": "తెలుగు", "kn": "ಕನ್ನಡ", "ml": "മലയാളം", "gu": "ગુજરાતી", "pa": "ਪੰਜਾਬੀ", "lo": "ລາວ", "my": "မြန်မာ", "am": "አማርኛ", "km": "ខ្មែរ", "ja": "日本語を話します", "si": "සිංහල", "bo": "བོད"}
+    model = language.Model({s: [language._SINGLE[s]] for s in language.SCRIPTS}, {})
+    found = {r["doc_id"]: r["lang"] for r in language.spans(table(spark, list(enumerate(texts.values()))), model).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts)
+
+
 def test_rare_language_beside_a_hot_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").select("doc_id", "text", "lang")
     rare = docs.filter("lang = 'de'").orderBy("doc_id").limit(24)
