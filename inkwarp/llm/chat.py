@@ -1,7 +1,9 @@
 """Chat formatting: roles of raw transcripts by a hidden Markov model, then canonical turns.
 
-A transcript is lines. Each line is observed as a speaker marker ("User:", "[AI]", "Q:", another name, none) and a
-line feature (length class, ends as a question, begins in capitals, follows a blank line). Hidden states are roles, each with a first line of a turn and
+A transcript is lines. Each line is observed as a speaker marker and a line feature. Markers are words for roles ("User:", "[AI]", "Q:"),
+and names of any kind: one that begins several lines, or is bracketed, is the first, second or a later speaker of its transcript, by
+its first line, so names that no training transcript had are observed alike. The line
+feature is (length class, ends as a question, begins in capitals, follows a blank line). Hidden states are roles, each with a first line of a turn and
 further lines. Probabilities are counted on transcripts whose roles are known; Viterbi finds the states,
 and turns are rendered as <|role|>, a line break, the text without marker, <|end|>.
 
@@ -12,6 +14,7 @@ markers missing here and there, and query() recovers the roles from that text al
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,30 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.session import table
+from inkwarp.session import settle, table
 
 NAME = "op3_chat"
 SQL = None
 ROLES = ("system", "user", "assistant")
 #: The model is fitted on at most about this many conversations, those of least hash.
 MOST_LABELLED = 5_000
-STYLES = (("System: ", "User: ", "Assistant: "), ("[system] ", "[human] ", "[ai] "), ("### Instruction: ", "### Human: ", "### Response: "), ("SYSTEM> ", "Q: ", "A: "), ("", "", ""))
-_WORDS = {"system": 0, "instruction": 0, "instructions": 0, "context": 0, "user": 1, "human": 1, "q": 1, "question": 1, "customer": 1, "prompt": 1, "me": 1, "you": 1, "assistant": 2, "ai": 2, "bot": 2, "a": 2, "answer": 2, "agent": 2, "response": 2, "model": 2, "chatbot": 2}
+#: Speakers of transcripts that name people; the pairs differ from conversation to conversation.
+NAMES = ("Alice", "Bob", "Carol", "Dmitri", "Emre", "Fatima", "Grace", "Hiro", "Ines", "Jonas", "Katya", "Liam")
+STYLES = (("System: ", "User: ", "Assistant: "), ("[system] ", "[human] ", "[ai] "), ("### Instruction: ", "### Human: ", "### Response: "), ("SYSTEM> ", "Q: ", "A: "), ("", "", ""), ("Note: ", "{}: ", "{}: "), ("[Notice] ", "[{}] ", "[{}] "))
+_WORDS = {"system": 0, "developer": 0, "instruction": 0, "instructions": 0, "context": 0, "user": 1, "human": 1, "q": 1, "question": 1, "customer": 1, "prompt": 1, "me": 1, "you": 1, "assistant": 2, "ai": 2, "bot": 2, "a": 2, "answer": 2, "agent": 2, "response": 2, "model": 2, "chatbot": 2, "gpt": 2, "tool": 2, "function": 2}
 _MARKER = re.compile(r"\s{0,3}(?:#{1,4}\s*|[-*>]\s*|\*\*)?(?:\[([^\W\d_]{1,20})\]|<\|?([^\W\d_]{1,20})\|?>|([^\W\d_]{1,20})(?:\*\*)?\s?[:>])(?:\*\*)?(?:\s|$)\s{0,3}")
-#: Observed markers: those of the roles, a name that none uses, none. Line features: see _features.
-N_MARKERS, N_FEATURES = 5, 24
+#: Observed markers: those of the roles, the first, second and later speakers by other names, none. Line features: see feature().
+N_MARKERS, N_FEATURES = 7, 24
+NONE = N_MARKERS - 1
 STATES = 2 * len(ROLES)  # first line of role r: r; further line: r + len(ROLES)
 
 
-def marker(line: str) -> tuple[int, int]:
-    """(marker, its length): the marker of the role it names, 3 for a bracketed or hashed word that names none, 4 for none."""
+def marker(line: str) -> tuple[int, int, str]:
+    """(marker, its length, its word): the marker of the role that it names; -2 for another bracketed or hashed word, -1 for another with a colon, NONE for none."""
     m = _MARKER.match(line)
     if not m:
-        return 4, 0
+        return NONE, 0, ""
     name = next(x for x in m.groups() if x).lower()
     if name in _WORDS:
-        return _WORDS[name], m.end()
-    return (3, 0) if m.group(1) or m.group(2) or line.startswith("#") else (4, 0)
+        return _WORDS[name], m.end(), name
+    return (-2 if m.group(1) or m.group(2) or line.startswith("#") else -1), m.end(), name
 
 
 def feature(text: str, after_blank: bool) -> int:
@@ -54,17 +60,26 @@ def feature(text: str, after_blank: bool) -> int:
 
 def observe(transcript: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(lines that aren't blank, markers, lengths of the markers, features); blank lines between are kept in front of the next line."""
-    lines, marks, cuts, feats, blank, held = [], [], [], [], True, ""
+    lines, marks, cuts, names, blanks, blank, held = [], [], [], [], [], True, ""
     for line in transcript.split("\n"):
         if not line.strip():
             blank, held = True, held + line + "\n"
             continue
-        kind, cut = marker(line)
+        kind, cut, name = marker(line)
         lines.append(held + line if lines else line)
         marks.append(kind)
         cuts.append(cut)
-        feats.append(feature(line[cut:], blank))
+        names.append(name)
+        blanks.append(blank)
         blank, held = False, ""
+    often = Counter(n for n, k in zip(names, marks, strict=True) if k < 0)
+    speakers: dict[str, int] = {}
+    for i, (kind, name) in enumerate(zip(marks, names, strict=True)):
+        if kind < 0:  # a word with a colon that comes once is text
+            known = kind == -2 or often[name] > 1
+            marks[i] = len(ROLES) + min(2, speakers.setdefault(name, len(speakers))) if known else NONE
+            cuts[i] = cuts[i] if known else 0
+    feats = [feature(line.lstrip("\n")[cut:], blank) for line, cut, blank in zip(lines, cuts, blanks, strict=True)]
     return lines, np.array(marks, int), np.array(cuts, int), np.array(feats, int)
 
 
@@ -146,16 +161,19 @@ def render(found: list[tuple[str, str]]) -> str:
 def transcripts(conversations: DataFrame) -> DataFrame:
     """(conv_id, transcript, roles): each conversation as raw text, one turn after another, and the true role of each line that isn't blank.
 
-    Markers are of a style by the id's hash; one turn in six has none. Turns without id, role or text are left out, roles other
-    than ROLES too; turns of one number go by role and text. roles has for each line 0 to 5, a state.
+    Markers are of a style by the id's hash; one turn in six has none. A role is that of its word (human is user, tool assistant).
+    Turns without id, role or text are left out, those of roles without a word too; turns of one number go by role and text.
+    roles has for each line 0 to 5, a state.
     """
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.lower("role").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("conv_id").isNotNull() & F.col("role").isin(*ROLES) & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    known = F.create_map(*(F.lit(x) for w, r in _WORDS.items() for x in (w, ROLES[r])))
+    rows = rows.withColumn("role", known[F.col("role")]).filter(F.col("conv_id").isNotNull() & F.col("role").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
     role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
     mark = F.array(*(F.array(*map(F.lit, s)) for s in STYLES))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod(F.xxhash64("conv_id", F.lit(5)), F.lit(len(NAMES))) + role * 5).cast("int") % len(NAMES) + 1)
     silent = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6)) == 0
-    rows = rows.select("conv_id", "turn", role.alias("r"), "text", F.when(silent, F.lit("")).otherwise(F.element_at(F.element_at(mark, style + 1), role + 1)).alias("mark"), style.alias("style"))
+    rows = rows.select("conv_id", "turn", role.alias("r"), "text", F.when(silent, F.lit("")).otherwise(F.replace(F.element_at(F.element_at(mark, style + 1), role + 1), F.lit("{}"), name)).alias("mark"), style.alias("style"))
     ordered = rows.groupBy("conv_id", "style").agg(F.sort_array(F.collect_list(F.struct("turn", "r", "text", "mark"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: F.concat(x["mark"], F.trim(F.regexp_replace(x["text"], r"^\s+|\s+$", "")))), "\n\n")
     joined = F.when(F.col("style") % 2 == 0, joined).otherwise(F.array_join(F.transform("t", lambda x: F.concat(x["mark"], F.trim(F.regexp_replace(x["text"], r"^\s+|\s+$", "")))), "\n"))
@@ -215,5 +233,5 @@ def parse(raw: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = transcripts(table(spark, sf_dir, "conversations"))
+    raw = settle(transcripts(table(spark, sf_dir, "conversations")))
     return parse(raw, train(raw))

@@ -191,6 +191,23 @@ def test_chat_recovers_held_out_roles(spark):
     assert whole.rendered.count("<|end|>") == whole.n_turns
 
 
+def test_names_never_seen_are_speakers(spark):
+    raw = chat.transcripts(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"))
+    model = chat.train(raw)
+    text = "Zoe: Could you tell me how tall that tower is?\nOtto: It is about 300 metres.\nThat is without the mast.\nZoe: And who built it?\nOtto: An engineer and his firm.\nNote that: nobody said so."
+    t = spark.createDataFrame([(1, text), (2, text.replace("Zoe: ", "[Zoe] ").replace("Otto: ", "[Otto] ")), (3, "word: once\nUser: hi")], "conv_id bigint, transcript string")
+    found = {r["conv_id"]: r for r in chat.parse(t, model).collect()}
+    assert found[1]["roles"] == found[2]["roles"] == "uaua" and "Zoe" not in found[1]["rendered"] and "Note that: nobody" in found[1]["rendered"]
+    assert "word: once" in found[3]["rendered"]
+
+
+def test_long_transcripts_of_many_lines(spark):
+    text = "\n".join(f"User: question {i}?\nAssistant: answer {i}.\nmore of it" for i in range(20_000))
+    t = spark.createDataFrame([(1, text)], "conv_id bigint, transcript string")
+    row = chat.parse(t, chat.train(t.selectExpr("conv_id", "transcript", "array(1) as roles").limit(0))).first()
+    assert row["roles"] == "ua" * 20_000
+
+
 def test_chat_edges(spark):
     c = spark.createDataFrame([(1, 1, "user", "hi\n\nthere", 1), (1, 1, "user", "hi\n\nthere", 2), (1, 2, "assistant", "<|end|> x", 3), (2, 1, None, "x", 4), (None, 1, "user", "who", 5), (3, None, "user", "no turn", 6), (4, 1, "user", None, 7), (5, 1, "user", "  ", 8), (6, 1, "judge", "x", 9), (7, 1, "user", LONG, 10)], "conv_id bigint, turn bigint, role string, text string, style int")
     raw = chat.transcripts(c)
