@@ -1,8 +1,8 @@
 """Surrogate generation for personal data and secrets.
 
 Detected entities are replaced by keyed surrogates of the same type, format, script, gender and length: digits
-stay digits and letters letters of their case and script, signs, country codes, issuers and public suffixes stay; card numbers with a right
-check digit keep one; addresses stay addresses. Names that a title announces are replaced name by name, and so are all
+stay digits and letters letters of their case and script, signs, country codes, issuers, services and public suffixes stay; card numbers with a right
+check digit keep one; addresses stay addresses. Names (also in capitals, with apostrophes, after particles) that a title announces are replaced name by name, and so are all
 other mentions of these words in the same text, with endings of the gender that the titles tell. A name has one gender in
 all documents, that of its titles if they agree. An entity's surrogate depends on the key, its type and
 its normal form alone, so all its mentions in all documents get the same one (coreference). Surrogates
@@ -42,20 +42,29 @@ _TITLES = {
     **dict.fromkeys(["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Doña", "Signora", "госпожа", "Госпожа", "г-жа"], "f"),
     **dict.fromkeys(["Dr", "Prof", "Professor"], ""),
 }
-_WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿα-ωά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿα-ωά-ώа-яё]+)?"
+_UP, _LOW = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ", "a-zß-öø-ÿα-ωά-ώа-яё"
+#: A name's word: Smith, McDonald, O'Brien, Smith-Jones or SMITH; particles may stand before it.
+_ONE = rf"(?:[{_UP}]['’])?(?:[{_UP}][{_LOW}]+(?:[{_UP}][{_LOW}]+)?|[{_UP}]{{2,}}(?![{_LOW}]))"
+_WORD = rf"{_ONE}(?:-{_ONE})*"
+_PARTICLES = "(?:(?:von|van|zu|zur|vom|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|bin|al) ){0,3}"
+#: Beginnings of tokens that services give out; they stay.
+_PREFIX = r"gh[pousr]_|github_pat_|glpat-|sk-(?:proj-|ant-)?|xox[abprs]-|AIza|hf_|npm_"
+_KEYWORDS = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)"
+_TITLED = "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True))
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<given>(?=[^\s\"',;]{0,200}\d)[^\s\"',;]{6,})",
+    "email": r"(?<![\w.+-])\w[\w.%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])",
+    "secret": rf"(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![\w-])(?:{_PREFIX})(?=[\w-]{{0,200}}\d)[\w-]{{16,}}(?![\w-])|(?<![A-Za-z0-9]){_KEYWORDS}\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<given>(?=[^\s\"',;]{{0,200}}\d)[^\s\"',;]{{6,}})|(?<![A-Za-z0-9]){_KEYWORDS}\s?=\s?[\"'](?P<quoted>[^\s\"']{{8,}})(?=[\"'])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:[3-6]\d{12,18}|[3-6]\d{3}(?:[ -]\d{4}){3}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\w-])",
-    "name": r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\.? " + _WORD + r"(?: " + _WORD + r"){0,2}",
+    "name": rf"(?<!\w)(?:{_TITLED})\.? {_PARTICLES}{_WORD}(?: {_PARTICLES}{_WORD}){{0,2}}",
 }
 _RULES = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: What a text with any entity has; for RE2, which passes over columns quickly.
-_HINT = r"[0-9]|@|AKIA|(?i:password|passwd|token|secret|api_?key)|(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\.? [^ -@\[-\x60a-z]"
+_HINT = rf"[0-9]|@|AKIA|{_KEYWORDS}|(?:{_TITLED})\.? (?:[^ -@\[-\x60a-z]|(?:vo|va|zu|de|di|d|la|le|te|bi|al)[a-z]{{0,4}} )"
 _CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστ"}
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 _ENDINGS = {"latin": ("n", "a"), "cyrillic": ("н", "а"), "greek": ("ς", "α")}
@@ -73,32 +82,53 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+_SCRIPTS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+
+
+def _alphabet(c: str, hexadecimal: bool = False) -> str:
+    """What may stand for a character: a letter of its case and script (of Latin without marks), a digit, a sign itself."""
+    if c.isascii():
+        return "0123456789" if c.isdigit() else c if not c.isalpha() else ("abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz") if c.islower() else ("ABCDEF" if hexadecimal else "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    if not c.isalpha():
+        return c
+    if "一" <= c <= "鿿":
+        return "".join(map(chr, range(0x4E00, 0x4F00)))
+    letters = _SCRIPTS.get(_script(c), "abcdefghijklmnopqrstuvwxyz")
+    return letters.upper() if c.isupper() else letters
+
+
 def _letters(text: str, draw: Iterator[int], hexadecimal: bool = False) -> str:
-    out = []
-    for c in text:
-        if c.isdigit() and c.isascii():
-            out.append(str(next(draw) % 10))
-        elif c.isascii() and c.isalpha():
-            out.append(chr((65 if c.isupper() else 97) + next(draw) % (6 if hexadecimal else 26)))
-        else:
-            out.append(c)
-    return "".join(out)
+    return "".join(x if len(x := _alphabet(c, hexadecimal)) == 1 else x[next(draw) % len(x)] for c in text)
 
 
 def _script(word: str) -> str:
     first = word[0].lower()
-    return "cyrillic" if "а" <= first <= "я" or first == "ё" else "greek" if "α" <= first <= "ω" else "latin"
+    return "cyrillic" if "а" <= first <= "я" or first == "ё" else "greek" if "α" <= first <= "ω" or "ά" <= first <= "ώ" else "latin"
+
+
+def _places(word: str, gender: str) -> list[str]:
+    """What may stand at each place of a name's surrogate: consonants and vowels by turns in each part, case as it was, the last part's end of the gender."""
+    out: list[str] = []
+    parts = re.split("([-'’])", word)
+    for j, part in enumerate(parts):
+        if not part or part in "-'’":
+            out += part
+            continue
+        script = _script(part)
+        own = [(_VOWELS if i % 2 else _CONSONANTS)[script] for i in range(len(part))]
+        if gender and len(own) > 2:
+            own[-1] = _ENDINGS[script][gender == "f"]
+        out += [x.upper() if c.isupper() else x for x, c in zip(own, part, strict=True)]
+    return out
 
 
 def _name(word: str, gender: str, draw: Iterator[int]) -> str:
-    if "-" in word:
-        return "-".join(_name(w, gender, draw) for w in word.split("-"))
-    script = _script(word)
-    c, v = _CONSONANTS[script], _VOWELS[script]
-    out = [(c if i % 2 == 0 else v)[next(draw) % len(c if i % 2 == 0 else v)] for i in range(len(word))]
-    if gender and len(out) > 2:
-        out[-1] = _ENDINGS[script][gender == "f"]
-    return "".join(out).capitalize()
+    return "".join(x if len(x) == 1 else x[next(draw) % len(x)] for x in _places(word, gender))
+
+
+def _normal(word: str) -> str:
+    """A name in capitals as it is written otherwise: SMITH is Smith."""
+    return "".join(p.capitalize() for p in re.split("([-'’])", word)) if len(word) > 1 and word.isupper() else word
 
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
@@ -130,22 +160,22 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return value[:2] + _letters(value[2:], draw)
     if kind == "secret" and value.startswith("AKIA"):
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[next(draw) % 32] for _ in value[4:])
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+    if kind == "ip6" or kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         return _letters(value, draw, True)
-    return _letters(value, draw)
+    keep = _kept(kind, value)
+    return value[:keep] + _letters(value[keep:], draw)
+
+
+def _kept(kind: str, value: str) -> int:
+    """Characters of a secret's beginning that tell the service."""
+    m = re.match(_PREFIX, value) if kind == "secret" else None
+    return m.end() if m else 0
 
 
 def _space(kind: str, form: str) -> tuple[tuple[str, ...], ...]:
     """What may stand at each place of a surrogate in the format of form."""
     if kind.startswith("name"):
-        out: list[tuple[str, ...]] = []
-        for word in form.split("-"):
-            script = _script(word)
-            own = [tuple((_VOWELS if i % 2 else _CONSONANTS)[script]) for i in range(len(word))]
-            if kind[5:] and len(own) > 2:
-                own[-1] = (_ENDINGS[script][kind[5:] == "f"],)
-            out += [("-",)] * bool(out) + [tuple(c.upper() for c in own[0]), *own[1:]]
-        return tuple(out)
+        return tuple(map(tuple, _places(form, kind[5:])))
     if kind == "ip":
         parts = [tuple(map(str, {1: range(1, 10), 2: range(10, 100), 3: range(100, 255)}[len(p)])) for p in form.split(".")]
         return (parts[0], *(x for p in parts[1:] for x in ((".",), p)))
@@ -160,11 +190,10 @@ def _space(kind: str, form: str) -> tuple[tuple[str, ...], ...]:
         low = 2
     elif kind == "secret" and form.startswith("AKIA"):
         return (*"AKIA", *[tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")] * (len(form) - 4))
-    letters = "abcdef" if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", form) else "abcdefghijklmnopqrstuvwxyz"
-    return tuple(
-        (c,) if not low <= i < high or not (c.isascii() and c.isalnum()) else tuple("0123456789") if c.isdigit() else tuple(letters.upper() if c.isupper() else letters)
-        for i, c in enumerate(form)
-    )
+    else:
+        low = _kept(kind, form)
+    hexadecimal = kind == "ip6" or kind == "secret" and bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", form))
+    return tuple(tuple(_alphabet(c, hexadecimal)) if low <= i < high else (c,) for i, c in enumerate(form))
 
 
 def _longer(kind: str, form: str) -> str:
@@ -179,6 +208,12 @@ def _longer(kind: str, form: str) -> str:
         if i is None:
             raise ValueError("more addresses than there are")
         return ".".join([*parts[:i], parts[i] + "0", *parts[i + 1 :]])
+    if kind == "ip6":
+        parts = form.split(":")
+        i = next((i for i, p in enumerate(parts) if 0 < len(p) < 4), None)
+        if i is None:
+            raise ValueError("more addresses than there are")
+        return ":".join([*parts[:i], parts[i] + "0", *parts[i + 1 :]])
     return form + "0"
 
 
@@ -221,8 +256,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     names: dict[str, set[str]] = {}
     for m in _RULES.finditer(text):
         kind, value = m.lastgroup, m.group()
-        if m["given"]:
-            found.append((*m.span("given"), "secret", m["given"]))
+        if m["given"] or m["quoted"]:
+            at = "given" if m["given"] else "quoted"
+            found.append((*m.span(at), "secret", m[at]))
             continue
         if kind != "name":
             found.append((m.start(), m.end(), kind, value.lower() if kind == "email" and value != value.lower() else value))
@@ -231,8 +267,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         at = m.start()
         for w in re.finditer(_WORD, value[len(title) :]):
             low = at + len(title) + w.start()
-            found.append((low, low + len(w.group()), "name", w.group()))
-            names.setdefault(w.group(), set()).add(_TITLES[title])
+            found.append((low, low + len(w.group()), "name", _normal(w.group())))
+            names.setdefault(_normal(w.group()), set()).add(_TITLES[title])
     if not names:
         return found
     found += [(low, high, "name", name) for low, high, name in _mentions(text, set(names), [f[:2] for f in found])]

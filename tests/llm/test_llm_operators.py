@@ -444,6 +444,28 @@ def test_secrets_in_any_case_and_without_digits(spark):
     assert all(k not in b and len(a) == len(b) and a[:4] == b[:4] for k, a, b in zip(secrets, texts, new, strict=True))
 
 
+def test_one_surrogate_for_a_name_however_it_is_written(spark):
+    new = pii.replace("Mr. John Smith met us. Smith left. Dr. Smith signed; Mr SMITH too.", {})
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met us\. (\w+) left\. Dr\. (\w+) signed; Mr (\w+) too\.", new)
+    assert m[2] == m[3] == m[4] == m[5].capitalize() != "Smith" and m[5].isupper() and m[1] != "John"
+    docs = table(spark, [(1, "Mr. John Smith met us. Smith left. Dr. Smith signed; Mrs. Smith too.")])
+    words = re.findall(r"\w+", pii.replaced(docs).first()["text"])
+    assert words[2] == words[5] == words[8] == words[11] != "Smith"
+
+
+@pytest.mark.parametrize("text,form", [("Mr. O'Brien came", r"Mr\. [A-Z]'[A-Z][a-z]{4} came"), ("Mr. McDonald came", r"Mr\. [A-Z][a-z][A-Z][a-z]{5} came"), ("Frau von Braun came", r"Frau von [A-Z][a-z]{4} came"), ("Mme de la Tour came", r"Mme de la [A-Z][a-z]{3} came"), ("Dr. Ann-Marie D’Arcy", r"Dr\. [A-Z][a-z]{2}-[A-Z][a-z]{4} [A-Z]’[A-Z][a-z]{3}"), ("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now", r"at [\da-f]{4}(:[\da-f]{4}){7} now"), ("at fe80:1::2a:3 now", r"at [a-f]{2}\d\d:\d::\d[a-f]:\d now"), ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", r"ghp_\w{36}"), ("sk-proj-abcd1234efgh5678ijkl", r"sk-proj-[a-z]{4}\d{4}[a-z]{4}\d{4}[a-z]{4}"), ('password = "correcthorse"', r'password = "[a-z]{12}"'), ("иван.петров@почта.рф wrote", r"[а-я]{4}\.[а-я]{6}@[а-я]{5}\.рф wrote"), ("jörg@müller.de wrote", r"[a-z]{4}@[a-z]{6}\.de wrote")])
+def test_more_kinds_of_entities(spark, text, form):
+    new = pii.replaced(table(spark, [(1, text)])).first()["text"]
+    assert re.fullmatch(form, new) and new != text and len(pii.find(text)) == len(pii.find(new)) >= 1
+    for low, high, kind, value in pii.find(text):
+        assert text[low:high] != new[low:high] and len(pii._space(kind, value)) == len(value)
+
+
+def test_clean_texts_stay():
+    for text in ("std::vector at 12:30:45, a::b, ratio 1:2:3, face::book", "Dr of things; Don't; Sir, yes", "sk-learn and task-based", "token: nothing, secret = x", "ISBN 978-3-16-148410-0"):
+        assert pii.replace(text, {}) == text
+
+
 def test_untitled_mentions_and_titles_of_one_name(spark):
     new = pii.replace("Smith wrote. Dr. Anna Smith said so; Smith's ANNA, Smithson and Blacksmith. Mr Smith left.", {})
     m = re.fullmatch(r"(\w+) wrote\. Dr\. (\w+) (\w+) said so; (\w+)'s (\w+), Smithson and Blacksmith\. Mr (\w+) left\.", new)
