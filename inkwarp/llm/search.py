@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwarp.llm.words import column_words, slices
-from inkwarp.session import table
+from inkwarp.session import settle, table
 
 NAME = "op5_search"
 K, BLOCK, K1, B = 10, 128, 1.2, 0.75
@@ -68,18 +68,21 @@ class Block:
 def best(blocks: list[Block], weights: list[tuple[np.ndarray, np.ndarray]], n_terms: int, k: int) -> list[tuple[int, int, float]]:
     """(query, id, score): each query's k best documents of the blocks, with scores above 0. weights: terms of each query, and how often."""
     bounds = np.zeros((len(blocks), len(weights)))
-    dense = np.zeros((n_terms, len(weights)), np.float32)
-    for q, (t, w) in enumerate(weights):
-        dense[t, q] = w
+    # queries and weights by term: of a block, only its own terms' are added up
+    term, of, weight = (np.concatenate([np.zeros(0, k), *x]) for x, k in (([t for t, _ in weights], np.int64), ([np.full(len(t), q) for q, (t, _) in enumerate(weights)], np.int64), ([w for _, w in weights], float)))
+    order = np.argsort(term, kind="stable")
+    of, weight, at = of[order], weight[order], np.searchsorted(term[order], np.arange(n_terms + 1))
     for i, b in enumerate(blocks):
-        bounds[i] = b.most @ dense[b.terms]
+        size = at[b.terms + 1] - at[b.terms]
+        own = np.repeat(at[b.terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        bounds[i] = np.bincount(of[own], weight[own] * np.repeat(b.most, size), len(weights))
     found = []
     own = np.zeros(n_terms)
     for q, (t, w) in enumerate(weights):
         own[t] = w
         ids, scores, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
         for i in np.argsort(-bounds[:, q], kind="stable"):
-            bound = bounds[i, q] * (1 + 1e-5) + _TICK  # the bounds are single precision
+            bound = bounds[i, q] + _TICK
             if bounds[i, q] <= 0 or len(ids) >= k and bound < kth:
                 break
             b = blocks[i]
@@ -136,33 +139,26 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK, qu
     words. Other columns are ignored. Empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    asked: dict[int, list[np.ndarray]] = {}
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").orderBy("item_id", "text")
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    words = settle(rows.mapInArrow(_hashed, "item_id bigint, words binary"))
+    passes = max(1, -(-words.select("item_id").distinct().count() // queries))
     found = None
-    for batch in _groups(rows, queries):
-        asked = {}
-        for item, h in batch:
-            asked.setdefault(item, []).append(h)
-        part = _pass(docs, [(i, np.concatenate(h)) for i, h in asked.items()], k, block)
+    for i in range(passes):
+        asked: dict[int, list[np.ndarray]] = {}
+        for r in words.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).collect():  # about queries of them
+            asked.setdefault(r["item_id"], []).append(np.frombuffer(r["words"], np.uint64))
+        part = _pass(docs, [(x, np.concatenate(asked[x])) for x in sorted(asked)], k, block)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "item_id bigint, doc_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return found.select("item_id", rank.alias("rank"), "doc_id", "score").filter(F.col("rank") <= k)
 
 
-def _groups(rows: DataFrame, queries: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items' words, some queries at a time; an item is in one group."""
-    now, last, n = [], None, 0
-    for r in rows.toLocalIterator():
-        if r["item_id"] != last:
-            last, n = r["item_id"], n + 1
-            if n > queries:
-                yield now
-                now, n = [], 1
-        now.append((r["item_id"], column_words(pa.array([r["text"]]))[0]))
-    if now:
-        yield now
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of each item's words."""
+    for batch in slices(batches, 1):
+        hashes, row = column_words(batch.column(1))
+        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["item_id", "words"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
