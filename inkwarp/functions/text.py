@@ -98,36 +98,66 @@ def rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
 
 
 def decoded(form: Column) -> Column:
-    """name=value&... as a map (TX-35)."""
-    return F.transform_values(F.str_to_map(form, F.lit("&"), F.lit("=")), lambda k, v: F.url_decode(v))
+    """name=value&... as a map; a repeated name has its values joined by NUL (TX-35)."""
+    plain = lambda x: F.try_url_decode(x)
+    pairs = F.transform(F.filter(F.split(form, "&"), lambda x: x != ""), lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("k"), F.when(x.contains("="), plain(F.regexp_replace(x, "^[^=]*=", ""))).otherwise("").alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]), "\0")))
 
 
-def owners(text: Column) -> Column:
-    """Owners "Name (City, CC), ..." as structs name, city, state, country, kind: 2 a company, 1 a person (TX-13)."""
-    items = F.filter(F.split(text, r"\)[, ]*"), lambda x: F.trim(x) != "")
+def owners(text: Column, raw: Column | None = None) -> Column:
+    """Owners "Name (City, CC), ..." as structs name, city, state, country, kind: 2 a company, 1 a person (TX-13).
+
+    A code of a US state is the state, unless the raw page has it in bold, which is how it marks countries.
+    """
+    parts = F.split(text, r"\)[,\s]*")
+    whole, short = r";?\s?(.+) \((.+), (.+)$", r";?\s?(.+) \((.+)$"
 
     def one(x: Column) -> Column:
-        place = F.regexp_extract(x, r"\(([^()]*)$", 1)
-        parts = F.split(place, ", *")
-        code = F.trim(F.element_at(parts, -1))
-        in_us = code.isin(*STATES)
-        name = F.trim(F.regexp_replace(F.regexp_replace(x, r"\([^()]*$", ""), ";", ","))
+        long = x.rlike(whole)
+        code = F.when(long, F.regexp_extract(x, whole, 3)).otherwise(F.regexp_extract(x, short, 2))
+        bold = F.coalesce(F.lower(raw).contains(F.concat(F.lit("<b>"), F.lower(code))), F.lit(False)) if raw is not None else F.lit(False)
+        state = code.isin(*sorted(STATES)) & ~bold
+        name = F.when(long, F.regexp_extract(x, whole, 1)).otherwise(F.regexp_extract(x, short, 1))
+        name = F.trim(F.concat(F.substring_index(name, ";", 1), F.when(name.contains(";"), F.lit(",")).otherwise(""), F.regexp_replace(name, "^[^;]*;?", "")))
         kind = F.when(name.rlike(r"Ltd|Inc\.|Corporation|Corp\W*$"), 2).otherwise(1)
-        return F.struct(name.alias("name"), F.when(F.size(parts) > 1, F.nullif(F.trim(parts[0]), F.lit(""))).alias("city"), F.when(in_us, code).alias("state"), F.when(in_us, "US").otherwise(F.nullif(code, F.lit(""))).alias("country"), kind.alias("kind"))
+        return F.struct(name.alias("name"), F.when(long, F.regexp_extract(x, whole, 2)).alias("city"), F.when(state, code).alias("state"), F.when(state, "US").otherwise(code).alias("country"), kind.alias("kind"))
+
+    return F.transform(F.filter(parts, lambda x: x.rlike(short)), one)
+
+
+def fixed(x: Column, digits: int = 4) -> Column:
+    """A number with so many digits after the point, as text (TX-39)."""
+    return F.format_string(f"%.{digits}f", x.cast("double"))
+
+
+def doubled(text: Column) -> Column:
+    """Quotes doubled, for SQL that takes no parameters (TX-34)."""
+    return F.replace(text, F.lit("'"), F.lit("''"))
+
+
+def today() -> Column:
+    """Year/month/day without zeros (TX-40)."""
+    return F.date_format(F.current_date(), "yyyy/M/d")
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter of each word in capitals (TX-42)."""
+    return F.initcap(text)
+
 
-    return F.transform(items, one)
+def unix_lines(text: Column) -> Column:
+    """Line ends of other systems as line feeds (SK-18)."""
+    return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def patent_reference(row: Column) -> Column:
-    """A tab-separated citation: no, date (YYYY/MM/01), owner or country, class (TX-15)."""
-    p = F.split(row, "\t")
-    at = lambda i: F.trim(F.try_element_at(p, F.lit(i)))
-    when = F.concat_ws("/", F.regexp_extract(at(2), r"(\d{4})", 1), F.coalesce(month(F.regexp_extract(at(2), r"([A-Za-z]+)", 1)), F.lit("01")), F.lit("01"))
-    who = F.trim(F.regexp_replace(F.regexp_replace(at(3), r"\s*et al\.?", ""), r"\.$", ""))
-    return F.struct(at(1).alias("no"), when.alias("date"), who.alias("owner"), at(4).alias("class"))
+def title_and_abstract(text: Column) -> Column:
+    """The first of the blocks that five line breaks part, with the second where it begins with Abstract (PF-10)."""
+    parts = F.split(text, "\n{5}")
+    return F.concat(parts[0], F.when(F.size(parts) > 1, F.lit("\n" * 5)).otherwise(""), F.when(F.get(parts, F.lit(1)).rlike(r"^\s*Abstract"), F.concat(F.get(parts, F.lit(1)), F.when(F.size(parts) > 2, F.lit("\n" * 5)).otherwise(""))).otherwise(""))
 
 
-# ---- stems -----------------------------------------------------------------------------------------------
+# stems
 
 def _measure(word: str) -> int:
     """Changes from vowel to consonant."""
@@ -187,7 +217,7 @@ def stems(words: pd.Series) -> pd.Series:
     return pd.Series([known.get(w) for w in words], dtype=object)
 
 
-# ---- journal names ---------------------------------------------------------------------------------------
+# journal names
 
 _SMALL = frozenset("of the and for in on de la a an und der fur et".split())
 
