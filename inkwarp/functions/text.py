@@ -243,6 +243,12 @@ def journal_match(short: str | None, full: str | None) -> bool:
     return True
 
 
+def journal_key(name: Column) -> Column:
+    """The first word that counts of a journal's name, in lower case, its end without signs: where an abbreviation's begins the full name's, they may match (TX-27)."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(name, "-", " - ")), r"\s+"), lambda w: (w != "") & (w != "-") & ~w.isin(*sorted(_SMALL)))
+    return F.regexp_replace(F.get(words, F.lit(0)), r"\W+$", "")
+
+
 @F.pandas_udf(BooleanType())
 def journals_match(short: pd.Series, full: pd.Series) -> pd.Series:
     return pd.Series([journal_match(a, b) for a, b in zip(short, full, strict=True)], dtype=bool)

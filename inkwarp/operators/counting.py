@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwarp.functions.text import journal_key, journals_match
+from inkwarp.session import settle
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, term) of each run of ASCII letters in lower case (KP-01)."""
-    return docs.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("term <> ''")
+#: Letters by which names of journals meet.
+KEY = 4
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf)."""
-    return tokens(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, keep, term) of each run of ASCII letters in lower case (KP-01)."""
+    return docs.select("doc_id", *keep, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("term <> ''")
+
+
+def postings(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, keep, term, tf)."""
+    return tokens(docs, *keep).groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def occurrences(rows: DataFrame, column: str, separator: str = r";\s*") -> DataFrame:
@@ -23,8 +29,8 @@ def occurrences(rows: DataFrame, column: str, separator: str = r";\s*") -> DataF
 
 
 def document_frequency(posting: DataFrame, low: int = 2, high: int = 30_000) -> DataFrame:
-    """(term, df) of terms in low to high documents (AG-07, PF-07)."""
-    return posting.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).filter(F.col("df").between(low, high))
+    """(term, df) of terms in low to high documents; a posting has a document and term once (AG-07, PF-07)."""
+    return posting.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(low, high))
 
 
 def weighted_order(rows: DataFrame, key: str, item: str, position: str) -> DataFrame:
@@ -65,6 +71,27 @@ def first_of(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("first_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("first_row = 1").drop("first_row")
 
 
+def report(rows: DataFrame, year: str, item: str, order: str, field: str, n: int) -> DataFrame:
+    """A row a year, a column for each of the n first items of the last year (greatest order, then name): their field (AG-05, JN-09).
+
+    All years of rows are there. The n items are collected, as they are columns.
+    """
+    last = rows.agg(F.max(year)).first()[0]
+    top = [r[0] for r in rows.filter(F.col(year) == F.lit(last)).orderBy(F.desc(order), item).limit(n).select(item).collect()]
+    return rows.filter(F.col(item).isin(top)).groupBy(year).pivot(item, top).agg(F.first(field)) if top else rows.select(year).distinct()
+
+
+def matched_names(short: DataFrame, full: DataFrame) -> DataFrame:
+    """(short, full): abbreviations of journals and the names that they can stand for (JN-14, TX-27).
+
+    The first word that counts of the abbreviation must begin that of the name, so they meet by the first letters, up to
+    KEY of them; the walk along all words is made for pairs that pass.
+    """
+    a = short.select("short", journal_key(F.col("short")).alias("word")).filter("word <> ''").withColumn("key", F.substring("word", 1, KEY))
+    b = full.select("full", journal_key(F.col("full")).alias("first")).filter("first <> ''").withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("first"))), lambda i: F.substring(F.col("first"), F.lit(1), i))))
+    return a.join(b, "key").filter(F.startswith("first", "word")).filter(journals_match("short", "full")).select("short", "full")
+
+
 def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
     """A dimension: different values, not null, numbered in order (JN-03, JN-04). Its rows are few; they are ranked on one task."""
     return values.select(column).filter(F.col(column).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(column)))
@@ -75,14 +102,24 @@ def running_group(start: Column, order: Window) -> Column:
     return F.sum(start.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def size_buckets(rows: DataFrame, key: str, size: Column, limit: int, groups: int = 64) -> DataFrame:
+def size_buckets(rows: DataFrame, key: str, size: Column, limit: int, range_size: int = 1 << 24) -> DataFrame:
     """(key, bucket): rows in order of key in files of about limit each (SK-15).
 
-    The running sum goes over groups of key ranges: sums of the groups first, then inside each group.
+    The running sum goes over ranges of keys of about range_size each: sums of the ranges first, then inside each.
     """
     sized = rows.select(F.col(key), size.cast("bigint").alias("n"))
-    spread = sized.repartitionByRange(groups, key).withColumn("part", F.spark_partition_id())
+    ranges = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // range_size))
+    spread = settle(sized.repartitionByRange(ranges, key).withColumn("part", F.spark_partition_id()))  # the ranges stay as they are
     total = spread.groupBy("part").agg(F.sum("n").alias("total"))
-    before = total.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    before = total.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))  # a row a range
     upto = F.sum("n").over(Window.partitionBy("part").orderBy(key)) + F.col("before")
     return spread.join(F.broadcast(before), "part").select(key, F.floor((upto - F.col("n")) / limit).cast("bigint").alias("bucket"))
+
+
+def renumbered(rows: DataFrame, order: list[str], name: str, range_rows: int = 1 << 20) -> DataFrame:
+    """rows with a running number from 1 in the order of columns, counted over ranges of them (SK-05)."""
+    ranges = max(1, -(-rows.count() // range_rows))
+    spread = settle(rows.repartitionByRange(ranges, *order).withColumn("part_", F.spark_partition_id()))
+    before = spread.groupBy("part_").count().select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return spread.withColumn(name, own).join(F.broadcast(before), "part_").withColumn(name, (F.col(name) + F.col("before_")).cast("bigint")).drop("part_", "before_")

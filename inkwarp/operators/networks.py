@@ -10,24 +10,42 @@ from pyspark.sql import functions as F
 from inkwarp.session import settle
 
 
-def shared(rows: DataFrame, item: str, by: str, least: int = 1) -> DataFrame:
-    """(a, b, n): pairs of items, a < b, that share n different values of by, n >= least (JN-08, JN-15, JN-16)."""
-    once = rows.select(F.col(item).alias("i"), F.col(by).alias("k")).filter("i is not null and k is not null").distinct()
-    a, b = once.alias("x"), once.alias("y")
-    pairs = a.join(b, (F.col("x.k") == F.col("y.k")) & (F.col("x.i") < F.col("y.i")))
-    return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-
+#: A value with more items than this is a hub; its items are split into blocks that meet pairwise.
+HUB = 4096
 
-def vocabulary(df: DataFrame, k: int) -> DataFrame:
-    """The k terms in most documents; equal ones by name."""
-    return df.orderBy(F.desc("df"), "term").limit(k)
 
+def shared(rows: DataFrame, item: str, by: str, least: int = 1) -> DataFrame:
+    """(a, b, n): pairs of items, a < b, that share n different values of by, n >= least (JN-08, JN-15, JN-16).
 
-def dice(posting: DataFrame, vocabulary_: DataFrame) -> DataFrame:
-    """(a, b, df12, dice) of terms of a vocabulary (term, df) that occur together: 2 df12 / (df1 + df2), four decimals (AG-08)."""
-    words = F.broadcast(vocabulary_)  # as many rows as its k
-    pairs = shared(posting.join(words, "term").select("doc_id", "term"), "term", "doc_id")
-    a, b = (words.select(F.col("term").alias(x), F.col("df").alias(f"df_{x}")) for x in ("a", "b"))
+    Items with fewer than least values can't have partners and leave first. The items of a hub meet block by block, so no task
+    has all of one value's pairs.
+    """
+    once = settle(rows.select(F.col(item).alias("i"), F.col(by).alias("k")).filter("i is not null and k is not null").distinct())
+    if least > 1:
+        once = once.join(once.groupBy("i").count().filter(F.col("count") >= least).select("i"), "i", "left_semi")
+    hubs = settle(once.groupBy("k").count().filter(F.col("count") > HUB).select("k", F.ceil(F.col("count") / HUB).cast("int").alias("blocks")))
+
+    def met(t: DataFrame, keys: list[str], rest=None) -> DataFrame:
+        a, b = t.alias("x"), t.alias("y")
+        same = F.col("x.i") < F.col("y.i")
+        for k in keys:
+            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+        return a.join(b, same if rest is None else same & rest).select(F.col("x.i").alias("a"), F.col("y.i").alias("b"))
+
+    if hubs.isEmpty():
+        pairs = met(once, ["k"])
+    else:
+        big = once.join(hubs, "k").withColumn("half", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        big = big.select("i", "k", "half", F.least("half", "other").alias("u"), F.greatest("half", "other").alias("v"))
+        # two of one block meet where they are both in it twice, others once, in the cell of their blocks
+        pairs = met(once.join(hubs, "k", "left_anti"), ["k"]).union(met(big, ["k", "u", "v"], (F.col("x.u") == F.col("x.v")) | (F.col("x.half") != F.col("y.half"))))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def dice(posting: DataFrame, df: DataFrame) -> DataFrame:
+    """(a, b, df12, dice) of the terms in df (term, df) that occur together: 2 df12 / (df1 + df2), four decimals (AG-08)."""
+    pairs = shared(posting.join(df.select("term"), "term", "left_semi").select("doc_id", "term"), "term", "doc_id")
+    a, b = (df.select(F.col("term").alias(x), F.col("df").alias(f"df_{x}")) for x in ("a", "b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.col("n").alias("df12"), F.round(2 * F.col("n") / (F.col("df_a") + F.col("df_b")), 4).alias("dice"))
 
 
@@ -36,7 +54,7 @@ def links(pairs: DataFrame, counts: DataFrame, total: int, per_term: int) -> Dat
     both = pairs.select("a", "b", "df12").union(pairs.select("b", "a", "df12")).toDF("term", "other", "n12")
     own, other = counts.select("term", F.col("df").alias("n1")), counts.select(F.col("term").alias("other"), F.col("df").alias("n2"))
     mi = F.round(F.ln(F.col("n12") * total / (F.col("n1") * F.col("n2"))), 4)
-    found = both.join(F.broadcast(own), "term").join(F.broadcast(other), "other").select("term", "other", mi.alias("mi"))
+    found = both.join(own, "term").join(other, "other").select("term", "other", mi.alias("mi"))
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("mi"), "other"))
     return found.withColumn("place", place).filter(F.col("place") <= per_term)
 
@@ -44,32 +62,35 @@ def links(pairs: DataFrame, counts: DataFrame, total: int, per_term: int) -> Dat
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, cluster): the least node that edges (a, b) connect it to; single link at a cut (CL-03, CL-04)."""
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    seen = None
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         after = settle(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).filter("u <> v").distinct())
-        same = after.exceptAll(e).isEmpty() and e.exceptAll(after).isEmpty()
-        e = after
+        # edges are distinct, and each round keeps what is right; count and sum of hashes tell whether any changed
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        same, seen, e = now == seen, now, after
         if same:
             return nodes.select("node").distinct().join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("cluster"))
 
 
-def closure(edges: DataFrame, most: int = 20) -> DataFrame:
+def closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, depth): all ancestors over edges (child, parent) with the least depth; each node is its own at depth 0 (GR-05, GR-06).
 
-    A frontier is joined step by step until nothing is new, most steps at most.
+    nodes (node): those to start from, else all. A frontier is joined step by step until nothing is new, so cycles end too.
     """
-    up = settle(edges.select("child", "parent").distinct())
-    nodes = up.select(F.col("child").alias("node")).union(up.select("parent")).distinct()
-    seen = frontier = settle(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
-    for depth in range(1, most + 1):
+    up = settle(edges.select("child", "parent").filter("child is not null and parent is not null").distinct())
+    if nodes is None:
+        nodes = up.select(F.col("child").alias("node")).union(up.select("parent"))
+    seen = frontier = settle(nodes.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.join(up, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
         frontier = settle(step.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = settle(seen.union(frontier))
+        seen = settle(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
     return seen
 
 

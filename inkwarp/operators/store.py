@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwarp.functions import patents as P
 from inkwarp.functions import text as T
+from inkwarp.operators.counting import renumbered
 from inkwarp.session import settle
 
 #: Description fields in their sequence, and fields of classes.
@@ -179,13 +180,10 @@ def wos_record(p: DataFrame) -> DataFrame:
     return p.select(F.col("pat_no").alias("patent_no"), F.concat_ws("\n", F.lit("PT J"), *lines, F.lit("ER\n")).alias("record"))
 
 
-def paper_record(p: DataFrame, order: list[Column]) -> DataFrame:
-    """(ut, record): rows of a bibliographic table as tagged records of 13 fields, numbered in their order (SK-05).
-
-    The number is a running count over all rows, taken over ranges of the order.
-    """
+def paper_record(p: DataFrame, order: list[str]) -> DataFrame:
+    """(ut, record): rows of a bibliographic table as tagged records of 13 fields, numbered in their order (SK-05)."""
     listed = lambda c, sep: F.array_join(F.split(c, sep), "\n   ")
     values = {"AF": listed("authors", ", "), "TI": F.col("title"), "PY": F.col("year"), "SO": F.col("source"), "C1": F.array_join(F.transform(F.split("affiliations", "; "), T.address), "\n   "), "LA": F.col("language"), "J9": F.col("short_source"), "DT": F.col("kind"), "AB": F.col("abstract"), "DE": F.col("author_words"), "ID": F.col("index_words"), "CR": listed("references", "; ")}
-    ranked = p.withColumn("ut", F.row_number().over(Window.orderBy(*order)))
+    ranked = renumbered(p, order, "ut")
     lines = [F.concat(F.lit(f"{t} "), F.coalesce(v.cast("string"), F.lit(""))) for t, v in values.items()]
     return ranked.select("ut", F.concat_ws("\n", F.lit(""), *lines, F.concat(F.lit("UT ISI:"), F.col("ut").cast("string")), F.lit("ER\n")).alias("record"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +14,11 @@ from inkwarp.plans.registry import query
 from inkwarp.session import settle, table
 from inkwarp.sources.writers import tagged_record
 
-VOCABULARY, CUT = 200, 0.3
+CUT = 0.3
 _TOKENS = "SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents"
 _POSTINGS = f"SELECT doc_id, term, count(*) AS tf FROM ({_TOKENS}) WHERE term <> '' GROUP BY ALL"
-_DICE = f"""p AS ({_POSTINGS}), d AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) BETWEEN 2 AND 30000),
-v AS (SELECT * FROM d ORDER BY df DESC, term LIMIT {VOCABULARY}), o AS (SELECT doc_id, term FROM p WHERE term IN (SELECT term FROM v)),
+_KEYS = f"(SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS place FROM ({_POSTINGS}) WHERE length(term) >= 4) WHERE place <= 12)"
+_DICE = f"""o AS (SELECT * FROM {_KEYS}), v AS (SELECT term, count(*) AS df FROM o GROUP BY term HAVING count(*) BETWEEN 2 AND 30000),
 n AS (SELECT a.term AS a, b.term AS b, count(*) AS df12 FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL)"""
 
 
@@ -39,16 +38,9 @@ def document_frequency(spark, d):
 
 @query("ag08_cooccurrence_dice", f"WITH {_DICE} SELECT a, b, df12, round(2.0 * df12 / (x.df + y.df), 4)::DOUBLE AS dice FROM n JOIN v x ON x.term = a JOIN v y ON y.term = b")
 def cooccurrence(spark, d):
-    p = settle(K.postings(_docs(spark, d)))
-    return N.dice(p, settle(N.vocabulary(K.document_frequency(p), VOCABULARY)))
-
-
-@query("kp04_term_links", f"WITH {_DICE}, s AS (SELECT a, b, df12 FROM n UNION ALL SELECT b, a, df12 FROM n), m AS (SELECT a AS term, b AS other, round(ln(df12 * (SELECT count(*) FROM documents) / (x.df * y.df)), 4) AS mi FROM s JOIN v x ON x.term = a JOIN v y ON y.term = b), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY mi DESC, other) AS place FROM m) SELECT term, other, mi, place FROM r WHERE place <= 5")
-def term_links(spark, d):
-    docs = _docs(spark, d)
-    p = settle(K.postings(docs))
-    v = settle(N.vocabulary(K.document_frequency(p), VOCABULARY))
-    return N.links(N.dice(p, v), v, docs.count(), 5)
+    """The network of the documents' key terms."""
+    p = settle(S.topics(_docs(spark, d)).select("doc_id", "term"))
+    return N.dice(p, settle(K.document_frequency(p)))
 
 
 @query("ag01_type_occurrences", "SELECT term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) GROUP BY term")
@@ -72,7 +64,8 @@ def co_citation(spark, d):
 
 
 def _sides(spark, d):
-    p = settle(K.postings(_docs(spark, d)).join(_docs(spark, d).select("doc_id", (F.col("lang") == "en").alias("en")), "doc_id"))
+    docs = _docs(spark, d).withColumn("en", F.col("lang") == "en").filter("en is not null")
+    p = settle(K.postings(docs, "en"))
     return p.filter("en"), p.filter("not en")
 
 
@@ -85,17 +78,13 @@ def node_diff(spark, d):
     return K.compared(a, b, ["term"])
 
 
-_EDGES = f"{_SIDES}, " + ", ".join(f"v{k} AS (SELECT term FROM p WHERE en = {b} GROUP BY term ORDER BY count(*) DESC, term LIMIT 100), o{k} AS (SELECT doc_id, term FROM p JOIN v{k} USING (term) WHERE en = {b}), e{k} AS (SELECT DISTINCT x.term AS a, y.term AS b FROM o{k} x JOIN o{k} y ON x.doc_id = y.doc_id AND x.term < y.term)" for k, b in ((1, "true"), (2, "false")))
+_EDGES = f"t AS (SELECT k.*, lang = 'en' AS en FROM {_KEYS} k JOIN documents USING (doc_id)), " + ", ".join(f"e{k} AS (SELECT DISTINCT x.term AS a, y.term AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.term < y.term WHERE x.en = {b} AND y.en = {b})" for k, b in ((1, "true"), (2, "false")))
 
 
 @query("jn07_edge_diff", f"WITH {_EDGES} SELECT a, b, CASE WHEN l AND r THEN 'both' WHEN l THEN 'left' ELSE 'right' END AS side FROM (SELECT a, b, bool_or(s = 1) AS l, bool_or(s = 2) AS r FROM (SELECT *, 1 AS s FROM e1 UNION ALL SELECT *, 2 FROM e2) GROUP BY a, b)")
 def edge_diff(spark, d):
-    def edges(p):
-        words = F.broadcast(N.vocabulary(K.document_frequency(p, 1, 1 << 62), 100))
-        return N.shared(p.join(words, "term").select("doc_id", "term"), "term", "doc_id")
-
-    a, b = _sides(spark, d)
-    return K.compared(edges(a), edges(b), ["a", "b"])
+    a, b = (N.shared(S.topics(_docs(spark, d).filter(f"lang {op} 'en'")), "term", "doc_id") for op in ("=", "<>"))
+    return K.compared(a, b, ["a", "b"])
 
 
 @query("jn05_term_merge", f"WITH {_SIDES}, l AS (SELECT term, count(*) AS n FROM p WHERE en GROUP BY term), r AS (SELECT term, count(*) AS n FROM p WHERE NOT en GROUP BY term) SELECT coalesce(l.term, r.term) AS term, coalesce(l.n, 0) AS left_df, r.n AS right_df FROM l FULL JOIN r ON l.term = r.term")
@@ -110,16 +99,15 @@ def weighted_country(spark, d):
     return K.weighted_order(table(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")), "l_orderkey", "n_name", "l_linenumber")
 
 
-YEARS = tuple(range(1995, 2002))
 _ON = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
 
-@query("ag05_rank_pivot", f"WITH t AS (SELECT n_name, year(o_orderdate) AS y FROM {_ON}), top AS (SELECT n_name FROM t WHERE y = (SELECT max(y) FROM t) GROUP BY n_name ORDER BY count(*) DESC, n_name LIMIT 10) SELECT n_name, " + ", ".join(f"nullif(count(*) FILTER (y = {y}), 0) AS y{y}" for y in YEARS) + " FROM t WHERE n_name IN (SELECT n_name FROM top) GROUP BY n_name")
+@query("ag05_rank_pivot", f"WITH t AS (SELECT n_name, year(o_orderdate) AS y, count(*) AS n FROM {_ON} GROUP BY ALL), top AS (SELECT n_name FROM t WHERE y = (SELECT max(y) FROM t) ORDER BY n DESC, n_name LIMIT 10) SELECT y, n_name, n FROM t WHERE n_name IN (SELECT n_name FROM top)")
 def rank_pivot(spark, d):
-    t = _orders_nations(spark, d).select("n_name", F.year("o_orderdate").alias("y"))
-    last = t.agg(F.max("y")).first()[0]
-    top = t.filter(F.col("y") == last).groupBy("n_name").count().orderBy(F.desc("count"), "n_name").limit(10).select("n_name")
-    return t.join(F.broadcast(top), "n_name").groupBy("n_name").pivot("y", list(YEARS)).agg(F.count(F.lit(1))).toDF("n_name", *(f"y{y}" for y in YEARS))
+    """The report of the ten first nations of the last year, unpivoted: its columns are the nations that the data have."""
+    t = _orders_nations(spark, d).groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    wide = K.report(t, "y", "n_name", "n", "n", 10)
+    return wide.unpivot("y", wide.columns[1:], "n_name", "n").filter("n is not null")
 
 
 def _orders_nations(spark, d):
@@ -169,20 +157,6 @@ def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", T.plain(F.col("html")).alias("plain"))
 
 
-@query("tx12_section_groups", "SELECT conv_id, turn, sum(CASE WHEN role = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS section FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)")
-def section_groups(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations").withColumn("start", F.coalesce(F.col("role") != F.lag("role").over(w), F.lit(True)))
-    return c.select("conv_id", "turn", K.running_group(F.col("start"), w).alias("section"))
-
-
-@query("tx14_state_router", "SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS heading FROM events")
-def state_router(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type"))
-    return table(spark, d, "events").select("event_id", F.last(heading, ignorenulls=True).over(w).alias("heading"))
-
-
 @query("tx21_country_rule", "SELECT c_custkey, CASE WHEN regexp_matches(w, '[0-9]') THEN 'USA' ELSE w END AS country FROM (SELECT c_custkey, upper(list_filter(string_split_regex(c_name || ', ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' ' || c_custkey ELSE '' END, '[ ,]+'), lambda x: x <> '')[-1]) AS w FROM customer)")
 def country_rule(spark, d):
     a = F.concat("c_name", F.lit(", "), "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), F.col("c_custkey").cast("string"))).otherwise(""))
@@ -198,6 +172,20 @@ def sentence_weights(spark, d):
     return S.weights(S.sentences(_docs(spark, d))).select("doc_id", F.col("para").cast("bigint").alias("para"), F.col("sent").cast("bigint").alias("sent"), "weight")
 
 
+_MENTIONS = rf"""{_SENT}, k AS (SELECT s.doc_id, s.para, s.sent, q.term FROM s JOIN {_KEYS} q USING (doc_id) WHERE list_contains(string_split_regex(lower(sentence), '[^a-z]+'), q.term)),
+v AS (SELECT term, count(*) AS df FROM k GROUP BY term), n AS (SELECT a.term AS a, b.term AS b, count(*) AS df12 FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.para = b.para AND a.sent = b.sent AND a.term < b.term GROUP BY ALL)"""
+
+
+@query("kp04_term_links", f"WITH {_MENTIONS}, u AS (SELECT a, b, df12 FROM n UNION ALL SELECT b, a, df12 FROM n), m AS (SELECT a AS term, b AS other, round(ln(df12 * (SELECT count(*) FROM s) / (x.df * y.df)), 4) AS mi FROM u JOIN v x ON x.term = a JOIN v y ON y.term = b), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY mi DESC, other) AS place FROM m) SELECT term, other, mi, place FROM r WHERE place <= 5")
+def term_links(spark, d):
+    """Key terms that sentences have together."""
+    sents, keys = settle(S.sentences(_docs(spark, d))), S.topics(_docs(spark, d)).groupBy("doc_id").agg(F.collect_set("term").alias("keys"))
+    p = sents.join(keys, "doc_id").select(F.struct("doc_id", "para", "sent").alias("doc_id"), F.explode(F.array_intersect("keys", F.split(F.lower("sentence"), "[^a-z]+"))).alias("term"))
+    p = settle(p)
+    v = settle(K.document_frequency(p, 1, 1 << 62))
+    return N.links(N.dice(p, v), v, sents.count(), 5)
+
+
 _TOPICS = f"t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS place FROM ({_POSTINGS}) WHERE length(term) >= 4) WHERE place <= 12)"
 
 
@@ -229,11 +217,10 @@ def stem(spark, d):
 
 @query("tx27_journal_match")
 def journal_match(spark, d):
-    """Names shortened to three letters a word, against all names that begin with the same letter."""
+    """Names shortened to three letters a word, against all names."""
     full = table(spark, d, "part").select(F.upper("p_name").alias("full")).distinct()
     short = full.select(F.array_join(F.transform(F.split("full", " "), lambda w: F.substring(w, 1, 3)), " ").alias("short")).distinct()
-    pairs = short.withColumn("k", F.substring("short", 1, 1)).join(full.withColumn("k", F.substring("full", 1, 1)), "k")
-    return pairs.filter(T.journals_match("short", "full")).select("short", "full")
+    return K.matched_names(short, full)
 
 
 _COS = f"sims AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
@@ -267,13 +254,11 @@ def mds_map(spark, d):
 @query("cl13_svd")
 def svd(spark, d):
     """Singular values of the term x language counts, with the trend of the first direction over languages."""
-    cells = K.postings(_docs(spark, d)).join(_docs(spark, d).select("doc_id", "lang"), "doc_id").groupBy("term", "lang").agg(F.sum("tf").cast("double").alias("v"))
+    cells = K.tokens(_docs(spark, d), "lang").groupBy("term", "lang").agg(F.count("*").cast("double").alias("v"))
     cells = settle(cells.filter("lang is not null"))
     langs = sorted(r[0] for r in cells.select("lang").distinct().collect())
-    values, vectors = np.linalg.eigh(C.gram(cells, "term", "lang", "v", langs))
-    s = np.sqrt(np.maximum(values[::-1], 0))
-    first = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
-    return spark.createDataFrame([(x, i + 1, round(float(s[i]), 4), round(float(s[0] * first[i]), 4)) for i, x in enumerate(langs)], "lang string, k int, singular double, trend double")
+    s, v = C.tall_svd(cells, "term", "lang", "v", langs)
+    return spark.createDataFrame([(x, i + 1, round(float(s[i]), 4), round(float(s[0] * v[i, 0]), 4)) for i, x in enumerate(langs)], "lang string, k int, singular double, trend double")
 
 
 @query("cl15_ols_trend", f"WITH t AS (SELECT n_name, year(o_orderdate) AS y, count(*)::DOUBLE AS n FROM {_ON} GROUP BY ALL) SELECT n_name, round(regr_slope(n, y), 4) AS slope, round(regr_intercept(n, y), 2) AS intercept FROM t GROUP BY n_name")
@@ -334,13 +319,6 @@ def dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.slashes(F.date_format(day, "yyyy-MM-dd")).alias("slashed"), T.long_date(prose).alias("parsed"))
 
 
-@query("tx44_citations", "SELECT l_orderkey, l_linenumber, s_name || ', ' || year(l_shipdate) || ', ' || l_partkey AS citation, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
-def citations(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    cited = F.concat_ws(", ", "s_name", F.year("l_shipdate").cast("string"), F.col("l_partkey").cast("string"))
-    return rows.groupBy("l_orderkey", "l_linenumber", cited.alias("citation")).agg(F.count("*").alias("n"))
-
-
 @query("js01_json_field", "SELECT (props ->> '$.k')::INT AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def json_field(spark, d):
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
