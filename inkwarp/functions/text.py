@@ -73,10 +73,10 @@ def lines(text: Column, separator: str = "; ") -> Column:
 
 
 def address(institution: Column) -> Column:
-    """"Last, First, a, b, ..., z" as "[Last, First] b, a, ..., z." (TX-28)."""
+    """"Last, First, a, b, c, ..., z" as "[Last, First] b, a, c, z."; parts that aren't there are empty (TX-28)."""
     p = F.split(institution, ", ")
-    tail = F.concat(F.when(F.size(p) > 3, F.slice(p, 4, 1)).otherwise(F.array().cast("array<string>")), F.slice(p, 3, 1), F.when(F.size(p) > 4, F.slice(p, 5, F.greatest(F.size(p) - 4, F.lit(0)))).otherwise(F.array().cast("array<string>")))
-    return F.concat(F.lit("["), F.array_join(F.slice(p, 1, 2), ", "), F.lit("] "), F.array_join(tail, ", "), F.lit("."))
+    at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
+    return F.concat(F.lit("["), at(0), F.lit(", "), at(1), F.lit("] "), F.array_join(F.array(at(3), at(2), at(4), F.element_at(p, -1)), ", "), F.lit("."))
 
 
 def occurrences(text: Column, word: Column) -> Column:
