@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from inkwarp.functions.text import month, slash_date
+from inkwarp.functions.text import let, month, slash_date
 
 BREAK = "<BR><BR>"
 #: The fields of a page. Lists of a kind are one text, as the page has them.
@@ -236,15 +236,15 @@ def sections(paras: Column, stop: Callable[[Column], Column], head: Callable[[Co
 
     White space in bodies is collapsed and blank paragraphs are dropped.
     """
-    at = F.filter(F.sequence(F.lit(0), F.size(paras) - 1), lambda i: stop(F.get(paras, i)))
-    ends = F.concat(at, F.array(F.size(paras)))
 
-    def one(i: Column) -> Column:
-        end = F.array_min(F.filter(ends, lambda j: j > i))
-        body = F.transform(F.slice(paras, i + 2, end - i - 1), lambda p: F.regexp_replace(p, r"\s+", " "))
-        return F.struct(F.regexp_replace(F.get(paras, i), r"^\s+|\s+$", "").alias("title"), (body if keep_blank else F.filter(body, lambda p: ~_blank(p))).alias("body"))
+    def one(ps: Column, ends: Column, i: Column) -> Column:
+        body = let(F.array_min(F.filter(ends, lambda j: j > i)), lambda end: F.transform(F.slice(ps, i + 2, end - i - 1), lambda p: F.regexp_replace(p, r"\s+", " ")))
+        return F.struct(F.regexp_replace(F.get(ps, i), r"^\s+|\s+$", "").alias("title"), (body if keep_blank else F.filter(body, lambda p: ~_blank(p))).alias("body"))
 
-    return F.when(F.size(paras) > 0, F.transform(F.filter(at, lambda i: head(F.get(paras, i))), one))
+    def found(ps: Column) -> Column:
+        return let(F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: stop(F.get(ps, i))), lambda at: let(F.concat(at, F.array(F.size(ps))), lambda ends: F.transform(F.filter(at, lambda i: head(F.get(ps, i))), lambda i: one(ps, ends, i))))
+
+    return F.when(F.size(paras) > 0, let(paras, found))
 
 
 def contents(description: Column) -> Column:
@@ -271,17 +271,19 @@ def tagged_sections(description: Column) -> Column:
     says = lambda s, words: s["title"].rlike(f"(?i){words}")
     early = lambda s: says(s, "FIELD|BACKGROUND|Art")
     numbered = F.transform(found, lambda s, i: F.struct(i.alias("i"), s["title"].alias("title"), s["body"].alias("body")))
-    first = F.array_min(F.transform(F.filter(numbered, lambda s: ~early(s) & says(s, "SUMMARY")), lambda s: s["i"]))
-    drawn = F.array_min(F.transform(F.filter(numbered, lambda s: ~early(s) & says(s, "DRAWINGS") & ~F.equal_null(s["i"], first)), lambda s: s["i"]))
+    place = lambda rows, ok: F.array_min(F.transform(F.filter(rows, ok), lambda s: s["i"]))
 
-    def name(s: Column) -> Column:
+    def name(s: Column, first: Column, drawn: Column) -> Column:
         return F.when(says(s, "FIELD"), "application").when(says(s, "BACKGROUND|Art"), "task").when(F.equal_null(s["i"], first), "summary").when(F.equal_null(s["i"], drawn), "drawings").when(says(s, "DESCRIPTION|EMBODIMENT"), "features")
 
-    def body(s: Column) -> Column:
-        stars = F.element_at(s["body"], -1).contains("* * * * *") & F.equal_null(name(s), F.lit("features"))
-        return F.when(stars, F.slice(s["body"], F.lit(1), F.size(s["body"]) - 1)).otherwise(s["body"])
+    def one(s: Column, n: Column) -> Column:
+        stars = F.element_at(s["body"], -1).contains("* * * * *") & F.equal_null(n, F.lit("features"))
+        return F.struct(n.alias("name"), s["title"].alias("title"), F.when(stars, F.slice(s["body"], F.lit(1), F.size(s["body"]) - 1)).otherwise(s["body"]).alias("body"))
+
+    def drawn(rows: Column, first: Column) -> Column:
+        return place(rows, lambda s: ~early(s) & says(s, "DRAWINGS") & ~F.equal_null(s["i"], first))
 
-    return F.transform(numbered, lambda s: F.struct(name(s).alias("name"), s["title"].alias("title"), body(s).alias("body")))
+    return let(numbered, lambda rows: let(place(rows, lambda s: ~early(s) & says(s, "SUMMARY")), lambda first: let(drawn(rows, first), lambda d: F.transform(rows, lambda s: let(name(s, first, d), lambda n: one(s, n))))))
 
 
 def section_of(tagged: Column, name: str) -> Column:
@@ -296,11 +298,14 @@ def background(task: Column) -> Column:
     """struct<application, task> (arrays): a task's numbered subsections on the field and the art; without one on the field, the first paragraph is the application (TX-16)."""
     words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
     found = sections(task, lambda p: p.rlike(_NUMBERED), lambda p: (words(p) <= 8) & (F.trim(F.regexp_replace(p, r"^(\[\d+\]\s*)?\d\.\s*", "")) != ""), keep_blank=True)
-    field = F.try_element_at(F.filter(found, lambda s: s["title"].contains("Field")), F.lit(-1))
-    art = F.try_element_at(F.filter(found, lambda s: s["title"].contains("Art") & ~s["title"].contains("Field")), F.lit(-1))
-    rest = F.coalesce(art["body"], task)
-    none = field.isNull() | (F.array_join(field["body"], "") == "")
-    return F.struct(F.when(none, F.slice(rest, 1, 1)).otherwise(field["body"]).alias("application"), F.when(none, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest).alias("task"))
+    field = lambda x: F.try_element_at(F.filter(x, lambda s: s["title"].contains("Field")), F.lit(-1))["body"]
+    art = lambda x: F.try_element_at(F.filter(x, lambda s: s["title"].contains("Art") & ~s["title"].contains("Field")), F.lit(-1))["body"]
+
+    def one(f: Column, rest: Column) -> Column:
+        none = f.isNull() | (F.array_join(f, "") == "")
+        return F.struct(F.when(none, F.slice(rest, 1, 1)).otherwise(f).alias("application"), F.when(none, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest).alias("task"))
+
+    return let(task, lambda t: let(found, lambda x: let(field(x), lambda f: let(F.coalesce(art(x), t), lambda rest: one(f, rest)))))
 
 
 def claims(text: Column) -> Column:
@@ -319,15 +324,13 @@ def routed(cites: Column) -> Column:
     off = r"(?i)^\s*(Primary\s+Examiner:|Attorney)"
     heads = {"us": r"(?i)^\s*U.S.\s+Patent", "foreign": r"(?i)^\s*Foreign\s+Patent", "other": r"(?i)^\s*Other\s+Reference"}
     stop = lambda p: p.rlike(off) | p.rlike(heads["us"]) | p.rlike(heads["foreign"]) | p.rlike(heads["other"])
-    at = F.filter(F.sequence(F.lit(0), F.size(cites) - 1), lambda i: stop(F.get(cites, i)))
-    ends = F.concat(at, F.array(F.size(cites)))
 
-    def of(pattern: str) -> Column:
-        mine = F.filter(at, lambda i: F.get(cites, i).rlike(pattern))
-        lists = F.transform(mine, lambda i: F.slice(cites, i + 2, F.array_min(F.filter(ends, lambda j: j > i)) - i - 1))
-        return F.when(F.size(cites) > 0, F.filter(F.flatten(lists), lambda c: ~_blank(c))).otherwise(F.array().cast("array<string>"))
+    def of(cs: Column, at: Column, ends: Column, pattern: str) -> Column:
+        lists = F.transform(F.filter(at, lambda i: F.get(cs, i).rlike(pattern)), lambda i: F.slice(cs, i + 2, F.array_min(F.filter(ends, lambda j: j > i)) - i - 1))
+        return F.filter(F.flatten(lists), lambda c: ~_blank(c))
 
-    return F.struct(*(of(p).alias(k) for k, p in heads.items()))
+    places = lambda cs: F.when(F.size(cs) > 0, F.filter(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: stop(F.get(cs, i)))).otherwise(F.array().cast("array<int>"))
+    return let(F.coalesce(cites, F.array().cast("array<string>")), lambda cs: let(places(cs), lambda at: let(F.concat(at, F.array(F.size(cs))), lambda ends: F.struct(*(of(cs, at, ends, p).alias(k) for k, p in heads.items())))))
 
 
 def paper_reference(text: Column) -> Column:

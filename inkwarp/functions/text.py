@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ SENTINEL = "9999/01/01"
 STATES = frozenset("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC AS GU MP PR VI FM MH PW".split())
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f or functions inside it name it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def month(name: Column) -> Column:
     """Two digits of a month's name, by its first three letters; else null (TX-02)."""
     key = F.lower(F.substring(name, 1, 3))
@@ -101,8 +107,7 @@ def decoded(form: Column) -> Column:
     """name=value&... as a map; a repeated name has its values joined by NUL (TX-35)."""
     plain = lambda x: F.try_url_decode(x)
     pairs = F.transform(F.filter(F.split(form, "&"), lambda x: x != ""), lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("k"), F.when(x.contains("="), plain(F.regexp_replace(x, "^[^=]*=", ""))).otherwise("").alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]), "\0")))
+    return let(pairs, lambda x: let(F.array_distinct(F.transform(x, lambda p: p["k"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(x, lambda p: p["k"] == n), lambda p: p["v"]), "\0")))))
 
 
 def owners(text: Column, raw: Column | None = None) -> Column:

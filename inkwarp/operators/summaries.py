@@ -1,13 +1,18 @@
-"""Extractive summaries: sentences, their weights and scores, topics."""
+"""Extractive summaries: sentences, their weights and scores, key phrases, topics.
+
+Sentences of a text, their weights and scores are arrays in the text's own row; only counts of terms are grouped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwarp.functions.text import occurrences
+from inkwarp.functions.text import let, occurrences, stems
 from inkwarp.operators.counting import postings
 
+CLUES = "improved reduced costly cost overhead avoid needed performance effectiveness efficiency problem difficult advantage suffer limit increase decrease weakness goal simplify shorten important issue resolve superior".split()
+
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, para, sent, sentence): paragraphs are lines, sentences end with . ! or ? (KP-01)."""
@@ -15,35 +20,126 @@ def sentences(docs: DataFrame) -> DataFrame:
     return paras.select("doc_id", "para", F.posexplode(F.regexp_extract_all("p", F.lit(r"[^.!?]+[.!?]*"), F.lit(0))).alias("sent", "s")).select("doc_id", "para", "sent", F.trim("s").alias("sentence")).filter("sentence <> ''")
 
 
-def weights(sents: DataFrame) -> DataFrame:
-    """sents with weight: 1.5 for a paragraph's first sentence, else 1; twice in the first two paragraphs, four times in the last but one (TX-25)."""
-    last = F.max("para").over(Window.partitionBy("doc_id"))
-    lead = F.min("sent").over(Window.partitionBy("doc_id", "para"))
-    factor = F.when(F.col("para") <= 1, 2.0).when(F.col("para") == last - 1, 4.0).otherwise(1.0)
-    return sents.withColumn("weight", F.when(F.col("sent") == lead, 1.5).otherwise(1.0) * factor)
+def good_paragraphs(paras: Column) -> Column:
+    """Paragraphs without those on figures or steps, without tags, each with a period at its end (PF-04)."""
+    bare = F.transform(F.filter(paras, lambda p: ~p.rlike("FIG|Figure") & ~p.rlike(r"step\s+\d+")), lambda p: F.regexp_replace(p, "<[^<]*>", ""))
+    return F.transform(bare, lambda p: F.when(p.rlike(r"\.\s*$"), p).otherwise(F.concat(p, F.lit(" ."))))
+
+
+def weighted(paras: Column, section: Column) -> Column:
+    """array<struct<para, sent, sentence, weight>> of good paragraphs (TX-25).
+
+    A paragraph's first sentence has 1.5, but for abstracts, others 1; twice that in the first two paragraphs, four times in the last
+    but one, and in the last of a task.
+    """
+    each = F.flatten(F.transform(good_paragraphs(paras), lambda p, i: F.transform(F.filter(F.transform(F.regexp_extract_all(p, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != ""), lambda x, j: F.struct(i.alias("para"), j.alias("sent"), x.alias("sentence")))))
+
+    def one(x: Column, last: Column) -> Column:
+        lead = F.when((x["sent"] == 0) & ~F.equal_null(section, F.lit("abstract")), 1.5).otherwise(1.0)
+        late = ((x["para"] == last) & F.equal_null(section, F.lit("task"))) | (x["para"] == last - 1)
+        return F.struct(x["para"].alias("para"), x["sent"].alias("sent"), x["sentence"].alias("sentence"), (lead * F.when(x["para"] <= 1, 2.0).when(late, 4.0).otherwise(1.0)).alias("weight"))
+
+    return let(each, lambda e: let(F.array_max(F.transform(e, lambda x: x["para"])), lambda last: F.transform(e, lambda x: one(x, last))))
+
+
+def fit_sentences(sents: Column) -> Column:
+    """Sentences that begin with a capital (a number in brackets may stand before it), have five blanks or more and don't end in i or e alone (PF-05).
+
+    After one that ends in "sub ." none is fit.
+    """
+    begins = lambda x: x["sentence"].rlike(r"^(\[\s\d+\s\]\s*)?[A-Z]") & ~x["sentence"].rlike(r"\s[ie]$")
+    numbered = F.transform(sents, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    five = lambda x: F.length(F.regexp_replace(x["sentence"], "[^ ]", "")) >= 5
+
+    def kept(rows: Column, sub: Column) -> Column:
+        return F.transform(F.filter(rows, lambda y: begins(y["x"]) & (y["i"] <= F.coalesce(sub, y["i"])) & five(y["x"])), lambda y: y["x"])
+
+    return let(numbered, lambda rows: let(F.array_min(F.transform(F.filter(rows, lambda y: begins(y["x"]) & y["x"]["sentence"].rlike(r"sub \.$")), lambda y: y["i"])), lambda sub: kept(rows, sub)))
+
+
+def spliced(sents: Column) -> Column:
+    """Of more than 50 sentences, those from 30 % on are left out, 60 % of them (TX-26)."""
+    low = lambda x: F.floor(F.size(x) * 3 / 10).cast("int")
+    out = lambda x: F.floor(F.size(x) * 6 / 10).cast("int")
+    return let(sents, lambda x: F.when(F.size(x) > 50, F.concat(F.slice(x, F.lit(1), low(x)), F.slice(x, low(x) + out(x) + 1, F.size(x)))).otherwise(x))
+
+
+def scored(sents: Column, terms: Column) -> Column:
+    """array<struct<para, sent, sentence, score>> of the sentences with a term: sum over occurrences of 0.5 + weight tf / most tf, by occurrences to the power 0.375 (TX-23, TX-24). terms: array<struct<term, tf>>."""
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def one(x: Column, own: Column, most: Column) -> Column:
+        add = lambda a, t: let(occurrences(x["sentence"], t["term"]), lambda n: F.struct((a["sum"] + n * (0.5 + x["weight"] * t["tf"] / most)).alias("sum"), (a["n"] + n).alias("n")))
+        score = lambda f: F.round(f["sum"] / F.pow(F.greatest(f["n"], F.lit(1)), F.lit(0.375)), 4)
+        return let(F.aggregate(own, zero, add), lambda f: F.struct(x["para"].alias("para"), x["sent"].alias("sent"), x["sentence"].alias("sentence"), score(f).alias("score"), f["n"].alias("n")))
+
+    every = let(terms, lambda own: let(F.array_max(F.transform(own, lambda t: t["tf"])).cast("double"), lambda most: F.transform(sents, lambda x: one(x, own, most))))
+    return F.filter(every, lambda x: x["n"] > 0)
+
+
+def best(scores: Column, k: Column) -> Column:
+    """The k sentences of highest score (of equal ones the first), in the order of the text (AG-11)."""
+    order = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x["score"]).alias("s"), i.alias("i"), x.alias("x"))))
+    return F.transform(F.array_sort(F.transform(F.slice(order, F.lit(1), k), lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
+
+
+def phrases(docs: DataFrame, least: int = 2, longest: int = 4) -> DataFrame:
+    """(doc_id, term, words, tf): runs of two to longest words that a document has least times or more, without those that are always part of one longer run (KP-02)."""
+    words = docs.select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, F.lit(n)))
+    some = F.concat(*(F.when(F.size("w") >= n, gram(n)).otherwise(F.array().cast("array<array<string>>")) for n in range(2, longest + 1)))
+    counted = words.select("doc_id", F.explode(some).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("tf")).filter(F.col("tf") >= least)
+    within = counted.filter(F.size("g") > 2).select("doc_id", F.explode(F.array(F.slice("g", F.lit(1), F.size("g") - 1), F.slice("g", F.lit(2), F.size("g") - 1))).alias("g"), "tf").distinct()
+    return counted.join(within, ["doc_id", "g", "tf"], "left_anti").select("doc_id", F.array_join("g", " ").alias("term"), F.size("g").alias("words"), "tf")
+
+
+def cleared(term: Column, stop: list[str]) -> Column:
+    """A phrase without stop words at its ends, null where none is left (KP-03)."""
+    words = F.split(term, " ")
+    good = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~F.element_at(words, i).isin(*stop))
+    return F.when(F.size(good) > 0, F.array_join(F.slice(words, F.array_min(good), F.array_max(good) - F.array_min(good) + 1), " "))
+
+
+def without_stop_words(posting: DataFrame, stop: DataFrame) -> DataFrame:
+    """Postings whose term's stem is none of a stop word (word) (PF-08)."""
+    out = stop.select(stems("word").alias("stem")).distinct()
+    return posting.withColumn("stem", stems("term")).join(out, "stem", "left_anti").drop("stem")
+
+
+def of_terms(posting: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the terms of a user's list (PF-09)."""
+    return posting.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def topics(docs: DataFrame, k: int = 12, shortest: int = 4) -> DataFrame:
-    """(doc_id, term, tf, place): the k most frequent terms of a document, of shortest letters or more (AG-09, AG-10)."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("tf"), "term"))
-    return postings(docs).filter(F.length("term") >= shortest).withColumn("place", place).filter(F.col("place") <= k)
+    """(doc_id, term, tf, place): a document's k first topics by tf times words: words of shortest letters or more, and pairs of words that it repeats (AG-09, AG-10)."""
+    one = postings(docs).filter(F.length("term") >= shortest).withColumn("words", F.lit(1))
+    every = one.unionByName(phrases(docs, 2, 2).select("doc_id", "term", "tf", "words"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.col("tf") * F.col("words")), "term"))
+    return every.withColumn("place", place).filter(F.col("place") <= k).select("doc_id", "term", "tf", "place")
 
 
 def scores(docs: DataFrame, k: int = 12) -> DataFrame:
-    """(doc_id, para, sent, sentence, score): sum over occurrences of topics of 0.5 + weight tf / most tf, by occurrences to the power 0.375 (TX-23, TX-24).
+    """(doc_id, scores) of documents (doc_id, text, section): the scored fit sentences by the document's topics; lines are paragraphs."""
+    terms = topics(docs, k).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    sents = fit_sentences(weighted(F.split("text", "\n"), F.col("section")))
+    return docs.select("doc_id", "text", "section").join(terms, "doc_id").select("doc_id", scored(sents, F.col("terms")).alias("scores"))
+
+
+def section_summaries(rows: DataFrame, most: int = 6, fewer: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, section, summary) of sections (doc_id, section, title, paras): the best sentences by all words of section and title (TX-26).
 
-    Only sentences that begin with a capital and have five blanks or more count (PF-05).
+    Words in the title count with their tf there too; in tasks, summaries and features CLUES count once more, and of many sentences
+    the middle is left out. fewer: sentences for sections that have another number than most.
     """
-    good = weights(sentences(docs)).filter(F.col("sentence").rlike(r"^\p{Lu}") & (F.length("sentence") - F.length(F.replace("sentence", F.lit(" "), F.lit(""))) >= 5))
-    words = topics(docs, k).withColumn("most", F.max("tf").over(Window.partitionBy("doc_id")))
-    n = occurrences(F.col("sentence"), F.col("term"))
-    each = good.join(words, "doc_id").withColumn("n", n).filter("n > 0")
-    total = F.sum(F.col("n") * (0.5 + F.col("weight") * F.col("tf") / F.col("most")))
-    return each.groupBy("doc_id", "para", "sent", "sentence").agg(F.round(total / F.pow(F.sum("n"), F.lit(0.375)), 4).alias("score"))
-
-
-def summary(docs: DataFrame, k: int = 6) -> DataFrame:
-    """(doc_id, place, sentence, score): the k best sentences of each document, in its order (AG-11)."""
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "para", "sent"))
-    top = scores(docs).withColumn("rank", best).filter(F.col("rank") <= k)
-    return top.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("para", "sent")).alias("place"), "sentence", "score")
+    rows = rows.filter(F.size("paras") > 0)
+    words = lambda text: F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+    clue = F.when(F.col("section").isin("task", "summary", "features"), F.array(*map(F.lit, CLUES))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(words(F.array_join("paras", " ")), words(F.coalesce("title", F.lit(""))), clue)
+    terms = rows.select("doc_id", "section", F.explode(every).alias("term")).groupBy("doc_id", "section", "term").agg(F.count("*").alias("tf")).groupBy("doc_id", "section").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    k = F.lit(most)
+    for name, n in (fewer or {}).items():
+        k = F.when(F.col("section") == name, n).otherwise(k)
+    sents = fit_sentences(weighted(F.col("paras"), F.col("section")))
+    found = rows.join(terms, ["doc_id", "section"]).withColumn("sents", F.when(F.col("section").isin("task", "summary", "features"), spliced(sents)).otherwise(sents))
+    return found.select("doc_id", "section", F.transform(best(scored(F.col("sents"), F.col("terms")), k), lambda x: x["sentence"]).alias("summary"))

@@ -17,7 +17,9 @@ from inkwarp.sources.writers import tagged_record
 CUT = 0.3
 _TOKENS = "SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents"
 _POSTINGS = f"SELECT doc_id, term, count(*) AS tf FROM ({_TOKENS}) WHERE term <> '' GROUP BY ALL"
-_KEYS = f"(SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS place FROM ({_POSTINGS}) WHERE length(term) >= 4) WHERE place <= 12)"
+_KEYS = f"""(WITH wk AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM documents),
+tk AS (SELECT doc_id, term, tf, 1 AS n FROM ({_POSTINGS}) WHERE length(term) >= 4 UNION ALL SELECT doc_id, array_to_string(g, ' '), count(*), 2 FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM wk WHERE len(w) >= 2) GROUP BY doc_id, g HAVING count(*) >= 2)
+SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf * n DESC, term) AS place FROM tk) WHERE place <= 12)"""
 _DICE = f"""o AS (SELECT * FROM {_KEYS}), v AS (SELECT term, count(*) AS df FROM o GROUP BY term HAVING count(*) BETWEEN 2 AND 30000),
 n AS (SELECT a.term AS a, b.term AS b, count(*) AS df12 FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL)"""
 
@@ -163,16 +165,41 @@ def country_rule(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.country(a).alias("country"))
 
 
-_SENT = r"""s AS (SELECT doc_id, para, i - 1 AS sent, trim(x[i]) AS sentence FROM (SELECT doc_id, para, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, j - 1 AS para, regexp_extract_all(p[j], '[^.!?]+[.!?]*') AS x FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS j FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))) WHERE trim(x[i]) <> ''),
-w AS (SELECT *, CASE WHEN sent = min(sent) OVER (PARTITION BY doc_id, para) THEN 1.5 ELSE 1.0 END * CASE WHEN para <= 1 THEN 2.0 WHEN para = max(para) OVER (PARTITION BY doc_id) - 1 THEN 4.0 ELSE 1.0 END AS weight FROM s)"""
+#: What kind of section a document is taken for.
+_SECTION = "CASE lang WHEN 'en' THEN 'task' WHEN 'de' THEN 'abstract' ELSE 'features' END"
+_SENT = rf"""s AS (SELECT doc_id, para, i - 1 AS sent, trim(x[i]) AS sentence FROM (SELECT doc_id, para, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, j - 1 AS para, regexp_extract_all(p[j], '[^.!?]+[.!?]*') AS x FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS j FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))) WHERE trim(x[i]) <> '')"""
+_WEIGHTS = rf"""g AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS para, CASE WHEN regexp_matches(q, '\.\s*$') THEN q ELSE q || ' .' END AS q FROM (SELECT doc_id, section, j, regexp_replace(p[j], '<[^<]*>', '', 'g') AS q FROM (SELECT doc_id, section, p, unnest(range(1, len(p) + 1)) AS j FROM (SELECT doc_id, {_SECTION} AS section, string_split(text, chr(10)) AS p FROM documents)) WHERE NOT regexp_matches(p[j], 'FIG|Figure') AND NOT regexp_matches(p[j], 'step\s+\d+'))),
+e AS (SELECT doc_id, section, para, row_number() OVER (PARTITION BY doc_id, para ORDER BY i) - 1 AS sent, trim(x[i]) AS sentence FROM (SELECT doc_id, section, para, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT *, regexp_extract_all(q, '[^.!?]+[.!?]*') AS x FROM g)) WHERE trim(x[i]) <> ''),
+w AS (SELECT *, (CASE WHEN sent = 0 AND section <> 'abstract' THEN 1.5 ELSE 1.0 END * CASE WHEN para <= 1 THEN 2.0 WHEN para = max(para) OVER (PARTITION BY doc_id) AND section = 'task' OR para = max(para) OVER (PARTITION BY doc_id) - 1 THEN 4.0 ELSE 1.0 END)::DOUBLE AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY para, sent) AS pos, regexp_matches(sentence, '^(\[\s\d+\s\]\s*)?[A-Z]') AND NOT regexp_matches(sentence, '\s[ie]$') AS begins FROM e),
+fit AS (SELECT doc_id, para, sent, sentence, weight FROM (SELECT *, min(CASE WHEN begins AND sentence LIKE '%sub .' THEN pos END) OVER (PARTITION BY doc_id) AS sub FROM w) WHERE begins AND pos <= coalesce(sub, pos) AND length(sentence) - length(replace(sentence, ' ', '')) >= 5)"""
 
 
-@query("tx25_sentence_weights", f"WITH {_SENT} SELECT doc_id, para, sent, weight::DOUBLE AS weight FROM w")
+def _sections(spark, d):
+    return _docs(spark, d).withColumn("section", F.expr(_SECTION))
+
+
+def _spread(rows, column):
+    """An array of structs as rows with wide integers."""
+    return rows.select("doc_id", F.inline(column)).withColumns({"para": F.col("para").cast("bigint"), "sent": F.col("sent").cast("bigint")})
+
+
+@query("tx25_sentence_weights", f"WITH {_WEIGHTS} SELECT doc_id, para, sent, weight FROM w")
 def sentence_weights(spark, d):
-    return S.weights(S.sentences(_docs(spark, d))).select("doc_id", F.col("para").cast("bigint").alias("para"), F.col("sent").cast("bigint").alias("sent"), "weight")
+    return _spread(_sections(spark, d), S.weighted(F.split("text", "\n"), F.col("section"))).drop("sentence")
+
 
+@query("pf05_fit_sentences", f"WITH {_WEIGHTS} SELECT doc_id, para, sent, sentence, weight FROM fit")
+def fit_sentences(spark, d):
+    return _spread(_sections(spark, d), S.fit_sentences(S.weighted(F.split("text", "\n"), F.col("section"))))
 
-_MENTIONS = rf"""{_SENT}, k AS (SELECT s.doc_id, s.para, s.sent, q.term FROM s JOIN {_KEYS} q USING (doc_id) WHERE list_contains(string_split_regex(lower(sentence), '[^a-z]+'), q.term)),
+
+@query("pf04_good_paragraphs", f"WITH {_WEIGHTS} SELECT doc_id, para, q AS paragraph FROM g")
+def good_paragraphs(spark, d):
+    t = _docs(spark, d).select("doc_id", F.posexplode(S.good_paragraphs(F.split("text", "\n"))).alias("para", "paragraph"))
+    return t.withColumn("para", F.col("para").cast("bigint"))
+
+
+_MENTIONS = rf"""{_SENT}, k AS (SELECT s.doc_id, s.para, s.sent, q.term FROM s JOIN {_KEYS} q USING (doc_id) WHERE contains(lower(sentence), q.term)),
 v AS (SELECT term, count(*) AS df FROM k GROUP BY term), n AS (SELECT a.term AS a, b.term AS b, count(*) AS df12 FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.para = b.para AND a.sent = b.sent AND a.term < b.term GROUP BY ALL)"""
 
 
@@ -180,33 +207,67 @@ v AS (SELECT term, count(*) AS df FROM k GROUP BY term), n AS (SELECT a.term AS
 def term_links(spark, d):
     """Key terms that sentences have together."""
     sents, keys = settle(S.sentences(_docs(spark, d))), S.topics(_docs(spark, d)).groupBy("doc_id").agg(F.collect_set("term").alias("keys"))
-    p = sents.join(keys, "doc_id").select(F.struct("doc_id", "para", "sent").alias("doc_id"), F.explode(F.array_intersect("keys", F.split(F.lower("sentence"), "[^a-z]+"))).alias("term"))
+    p = sents.join(keys, "doc_id").select(F.struct("doc_id", "para", "sent").alias("doc_id"), F.explode(F.filter("keys", lambda t: F.contains(F.lower("sentence"), t))).alias("term"))
     p = settle(p)
     v = settle(K.document_frequency(p, 1, 1 << 62))
     return N.links(N.dice(p, v), v, sents.count(), 5)
 
 
-_TOPICS = f"t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS place FROM ({_POSTINGS}) WHERE length(term) >= 4) WHERE place <= 12)"
+_WORDS = "ws AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM documents)"
+_GRAMS = lambda n: f"SELECT doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}])) AS g FROM ws WHERE len(w) >= {n}"
+_PHRASES = f"{_WORDS}, gr AS (SELECT doc_id, g, count(*) AS tf FROM ({' UNION ALL '.join(map(_GRAMS, (2, 3, 4)))}) GROUP BY ALL HAVING count(*) >= 2), wi AS (SELECT DISTINCT doc_id, unnest([g[1:len(g) - 1], g[2:len(g)]]) AS g, tf FROM gr WHERE len(g) > 2)"
+
+
+@query("kp02_repeated_phrases", f"WITH {_PHRASES} SELECT doc_id, array_to_string(g, ' ') AS term, len(g)::INT AS words, tf FROM gr ANTI JOIN wi USING (doc_id, g, tf)")
+def repeated_phrases(spark, d):
+    return S.phrases(_docs(spark, d))
 
 
-@query("ag10_topics", f"WITH {_TOPICS} SELECT doc_id, term, tf, place FROM t")
+_STOP = ["the", "a", "an", "of", "and", "to", "in", "der", "die", "das", "und", "la", "le", "de", "el"]
+_STOPS = "(" + ", ".join(f"'{w}'" for w in _STOP) + ")"
+
+
+@query("kp03_cleared_phrases", f"WITH {_PHRASES}, x AS (SELECT doc_id, g, tf, list_filter(range(1, len(g) + 1), lambda i: g[i] NOT IN {_STOPS}) AS good FROM gr ANTI JOIN wi USING (doc_id, g, tf)) SELECT doc_id, array_to_string(g[good[1]:good[-1]], ' ') AS term, sum(tf)::BIGINT AS tf FROM x WHERE len(good) > 0 GROUP BY ALL")
+def cleared_phrases(spark, d):
+    return S.phrases(_docs(spark, d)).withColumn("term", S.cleared(F.col("term"), _STOP)).filter("term is not null").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+
+
+_KEYWORDS = f"""{_WORDS}, tt AS (SELECT doc_id, term, tf, 1 AS n FROM ({_POSTINGS}) WHERE length(term) >= 4 UNION ALL SELECT doc_id, array_to_string(g, ' '), count(*), 2 FROM ({_GRAMS(2)}) GROUP BY doc_id, g HAVING count(*) >= 2),
+t AS (SELECT doc_id, term, tf, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf * n DESC, term) AS place FROM tt) WHERE place <= 12)"""
+
+
+@query("ag10_topics", f"WITH {_KEYWORDS} SELECT doc_id, term, tf, place FROM t")
 def topics(spark, d):
-    return S.topics(_docs(spark, d))
+    return S.topics(_docs(spark, d)).withColumn("place", F.col("place").cast("bigint"))
 
 
-_SCORES = rf"""{_SENT}, {_TOPICS}, m AS (SELECT *, max(tf) OVER (PARTITION BY doc_id) AS most FROM t),
-c AS (SELECT w.*, tf, most, (length(sentence) - length(replace(lower(sentence), term, ''))) // length(term) AS n FROM w JOIN m USING (doc_id) WHERE regexp_matches(sentence, '^\p{{Lu}}') AND length(sentence) - length(replace(sentence, ' ', '')) >= 5),
+_SCORES = rf"""{_WEIGHTS}, {_KEYWORDS}, m AS (SELECT *, max(tf) OVER (PARTITION BY doc_id) AS most FROM t),
+c AS (SELECT fit.*, tf, most, (length(sentence) - length(replace(lower(sentence), term, ''))) // length(term) AS n FROM fit JOIN m USING (doc_id)),
 z AS (SELECT doc_id, para, sent, sentence, round(sum(n * (0.5 + weight * tf / most)) / pow(sum(n), 0.375), 4)::DOUBLE AS score FROM c WHERE n > 0 GROUP BY ALL)"""
 
 
 @query("tx24_sentence_rank", f"WITH {_SCORES} SELECT doc_id, para, sent, score FROM z")
 def sentence_rank(spark, d):
-    return S.scores(_docs(spark, d)).select("doc_id", F.col("para").cast("bigint").alias("para"), F.col("sent").cast("bigint").alias("sent"), "score")
+    return _spread(S.scores(_sections(spark, d)), F.col("scores")).drop("sentence", "n")
 
 
 @query("ag11_summary", f"WITH {_SCORES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para, sent) AS place, sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, para, sent) AS r FROM z) WHERE r <= 6")
 def summary(spark, d):
-    return S.summary(_docs(spark, d)).withColumn("place", F.col("place").cast("bigint"))
+    found = S.scores(_sections(spark, d)).select("doc_id", F.posexplode(S.best(F.col("scores"), F.lit(6))).alias("place", "x"))
+    return found.select("doc_id", (F.col("place") + 1).cast("bigint").alias("place"), "x.sentence", "x.score")
+
+
+@query("pf08_stop_words", f"SELECT doc_id, term, tf FROM ({_POSTINGS}) WHERE term NOT IN {_STOPS}")
+def stop_words(spark, d):
+    """Stop words of up to three letters, whose stems are themselves, as are the words of such stems."""
+    p = K.postings(_docs(spark, d))
+    stop = spark.createDataFrame([(w,) for w in _STOP], "word string")
+    return S.without_stop_words(p.filter(F.length("term") <= 3), stop).unionByName(p.filter(F.length("term") > 3))
+
+
+@query("pf09_manual_terms", f"SELECT doc_id, term, tf FROM ({_POSTINGS}) WHERE term IN (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) FROM benchmark)")
+def manual_terms(spark, d):
+    return S.of_terms(K.postings(_docs(spark, d)), K.tokens(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")))
 
 
 @query("tx07_stem")
