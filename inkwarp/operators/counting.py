@@ -92,6 +92,11 @@ def matched_names(short: DataFrame, full: DataFrame) -> DataFrame:
     return a.join(b, "key").filter(F.startswith("first", "word")).filter(journals_match("short", "full")).select("short", "full")
 
 
+def mapped(rows: DataFrame, fields: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of a map (key, ...), null for keys that it lacks (JN-13). The engine broadcasts a map that is small."""
+    return rows.join(fields, key, "left")
+
+
 def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
     """A dimension: different values, not null, numbered in order (JN-03, JN-04). Its rows are few; they are ranked on one task."""
     return values.select(column).filter(F.col(column).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(column)))

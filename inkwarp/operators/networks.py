@@ -14,6 +14,25 @@ from inkwarp.session import settle
 HUB = 4096
 
 
+def _meet(once: DataFrame, extra: list[str]) -> DataFrame:
+    """Rows (i, k, extra) of one k side by side, once for i < j: a, b, and the extra columns with _a and _b. Hubs meet block by block."""
+    hubs = settle(once.groupBy("k").count().filter(F.col("count") > HUB).select("k", F.ceil(F.col("count") / HUB).cast("int").alias("blocks")))
+
+    def met(t: DataFrame, keys: list[str], rest=None) -> DataFrame:
+        x, y = t.alias("x"), t.alias("y")
+        same = F.col("x.i") < F.col("y.i")
+        for k in keys:
+            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+        return x.join(y, same if rest is None else same & rest).select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), *(F.col(f"x.{e}").alias(f"{e}_a") for e in extra), *(F.col(f"y.{e}").alias(f"{e}_b") for e in extra))
+
+    if hubs.isEmpty():
+        return met(once, ["k"])
+    big = once.join(hubs, "k").withColumn("half", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    big = big.select("i", "k", *extra, "half", F.least("half", "other").alias("u"), F.greatest("half", "other").alias("v"))
+    # two of one block meet in its own cell, others in the cell of their two blocks
+    return met(once.join(hubs, "k", "left_anti"), ["k"]).union(met(big, ["k", "u", "v"], (F.col("x.u") == F.col("x.v")) | (F.col("x.half") != F.col("y.half"))))
+
+
 def shared(rows: DataFrame, item: str, by: str, least: int = 1) -> DataFrame:
     """(a, b, n): pairs of items, a < b, that share n different values of by, n >= least (JN-08, JN-15, JN-16).
 
@@ -23,23 +42,20 @@ def shared(rows: DataFrame, item: str, by: str, least: int = 1) -> DataFrame:
     once = settle(rows.select(F.col(item).alias("i"), F.col(by).alias("k")).filter("i is not null and k is not null").distinct())
     if least > 1:
         once = once.join(once.groupBy("i").count().filter(F.col("count") >= least).select("i"), "i", "left_semi")
-    hubs = settle(once.groupBy("k").count().filter(F.col("count") > HUB).select("k", F.ceil(F.col("count") / HUB).cast("int").alias("blocks")))
+    return _meet(once, []).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
-    def met(t: DataFrame, keys: list[str], rest=None) -> DataFrame:
-        a, b = t.alias("x"), t.alias("y")
-        same = F.col("x.i") < F.col("y.i")
-        for k in keys:
-            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        return a.join(b, same if rest is None else same & rest).select(F.col("x.i").alias("a"), F.col("y.i").alias("b"))
 
-    if hubs.isEmpty():
-        pairs = met(once, ["k"])
-    else:
-        big = once.join(hubs, "k").withColumn("half", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        big = big.select("i", "k", "half", F.least("half", "other").alias("u"), F.greatest("half", "other").alias("v"))
-        # two of one block meet where they are both in it twice, others once, in the cell of their blocks
-        pairs = met(once.join(hubs, "k", "left_anti"), ["k"]).union(met(big, ["k", "u", "v"], (F.col("x.u") == F.col("x.v")) | (F.col("x.half") != F.col("y.half"))))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+def similar(posting: DataFrame, cut: float, documents: int | None = None, item: str = "doc_id", by: str = "term") -> DataFrame:
+    """(a, b, sim): pairs of documents, a < b, of cosine cut or more by tf ln(N / df), four decimals (CL-02). With item and by exchanged, of terms (CL-06).
+
+    Terms in all documents weigh nothing and leave first.
+    """
+    n = documents or posting.select(item).distinct().count()
+    df = posting.groupBy(by).agg(F.count("*").alias("df")).filter(F.col("df") < n)
+    w = posting.join(df, by).select(F.col(item).alias("i"), F.col(by).alias("k"), (F.col("tf") * F.ln(F.lit(float(n)) / F.col("df"))).alias("w"))
+    norm = w.groupBy("i").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    once = settle(w.join(norm, "i").select("i", "k", (F.col("w") / F.col("norm")).alias("w")))
+    return _meet(once, ["w"]).groupBy("a", "b").agg(F.round(F.sum(F.col("w_a") * F.col("w_b")), 4).alias("sim")).filter(F.col("sim") >= cut)
 
 
 def dice(posting: DataFrame, df: DataFrame) -> DataFrame:

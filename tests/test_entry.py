@@ -6,7 +6,6 @@ import sys
 import pytest
 
 import __spark_entry__ as e
-from inkwarp.plans import queries as _  # noqa: F401
 from inkwarp.plans import registry
 
 D = "/root/testdata/sf0.001"

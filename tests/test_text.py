@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from inkwarp.functions import patents as P
 from inkwarp.functions import text as T
 
 
@@ -39,15 +40,44 @@ def test_places_and_numbers(spark):
     assert one(spark, T.bucket(lit("5123456"))) == "56" and one(spark, T.lines(lit("a; b"))) == "a\n   b"
     assert one(spark, T.rgb(*map(lit, (0.0, 0.0, 0.0, 0.0)))) == (255, 255, 255) and one(spark, T.rgb(*map(lit, (0.0, 0.0, 0.0, 1.0)))) == (0, 0, 0)
     assert one(spark, T.decoded(lit("a=x+y&b=%41"))) == {"a": "x y", "b": "A"}
-    assert one(spark, T.address(lit("Li, A, Dept, Univ, City, Taiwan"))) == "[Li, A] Univ, Dept, City, Taiwan."
+    assert one(spark, T.decoded(lit("a=1&a=2&b&c=%zz"))) == {"a": "1\x002", "b": "", "c": None} or one(spark, T.decoded(lit("a=1&a=2&b"))) == {"a": "1\x002", "b": ""}
+    assert one(spark, T.address(lit("Li, A, Dept, Univ, City, Taiwan"))) == "[Li, A] Univ, Dept, City, Taiwan." and one(spark, T.address(lit("Li, A"))) == "[Li, A] , , , A."
+    assert one(spark, T.title_and_abstract(lit("T\n\n\n\n\n Abstract x\n\n\n\n\nrest"))) == "T\n\n\n\n\n Abstract x\n\n\n\n\n" and one(spark, T.title_and_abstract(lit("T"))) == "T"
 
 
 def test_owners_and_references(spark):
     found = one(spark, T.owners(F.lit("Smith; John (Austin, TX), Acme Corporation (Tokyo, JP)")))
     assert [tuple(x) for x in found] == [("Smith, John", "Austin", "TX", "US", 1), ("Acme Corporation", "Tokyo", None, "JP", 2)]
-    assert tuple(one(spark, T.patent_reference(F.lit("4123456\tOct 1978\tDoe et al.\t123/45")))) == ("4123456", "1978/10/01", "Doe", "123/45")
+    assert tuple(one(spark, P.cited_patent(F.lit("4123456\tOct 1978\tDoe et al.\t123/45")))) == ("4123456", "1978/10/01", "Doe", "123/45")
+    raw = one(spark, T.owners(F.lit("Acme (Bonn, DE), Huang; Smile (Tainan, TW), X Corp. (US), no place"), F.lit("Acme (Bonn, <b>DE</b>)")))
+    assert [tuple(x) for x in raw] == [("Acme", "Bonn", None, "DE", 1), ("Huang, Smile", "Tainan", None, "TW", 1), ("X Corp.", None, None, "US", 2)]
+    assert not one(spark, T.owners(F.lit(""))) and one(spark, T.owners(F.lit(None).cast("string"))) is None
 
 
 def test_stems_column(spark):
     df = spark.createDataFrame([("Studies",), (None,)], "w string")
     assert [r[0] for r in df.select(T.stems("w")).collect()] == ["study", None]
+
+
+def test_claims_contents_and_headlines(spark):
+    claims = one(spark, P.claims(F.lit("What is claimed:<BR><BR>1. A.<br><br>more<BR><BR> <BR><BR>2. B of CLAIM 1.<BR><BR>12. C.")))
+    assert [tuple(c) for c in claims] == [(1, True, "1. A.<BR><BR>more"), (2, False, "2. B of CLAIM 1."), (12, True, "12. C.")]
+    found = one(spark, P.contents(F.lit("x<BR><BR>FIELD (OF)<BR><BR>a  b<BR><BR><BR><BR>c<BR><BR> <BR><BR>lost<BR><BR>A B C D E F G H I J<BR><BR>lost<BR><BR>END")))
+    assert [(s["title"], s["body"]) for s in found] == [("FIELD (OF)", ["a b", "c"]), ("END", [])]
+    assert one(spark, P.contents(F.lit(None).cast("string"))) is None and not one(spark, P.claims(F.lit("")))
+
+
+def test_pages_without_what_is_looked_for(spark):
+    for parse in (P.new_page, P.old_page):
+        assert not any(v for v in parse("").values()) and not parse("<p>x").get("title")
+    rows = spark.createDataFrame([(None,), ("<h3>Description</h3>",), ("<table><tr><td>a<td>b<p>c<p>d</table><h3>Abstract<p>The text",)], "h string")
+    assert [r["p"]["abstract"] for r in rows.select(P.new_pages("h").alias("p")).collect()] == [None, None, None]
+    t = P.tree("<div><p>a<p>b<br>c</div><ul><li>x<li>y</ul>")
+    assert [c.text() for c in t.children] == ["abc", "xy"] and t.down("p", lambda n: "b" in n.text()).text() == "bc"
+
+
+def test_free_citations(spark):
+    c = one(spark, P.paper_reference(F.lit('Smith, J., "On widgets," Journal of Widgets, vol. 3, pp. 17-20, Jan. 1988.')))
+    assert tuple(c) == (1, "1988/01/01", "3", "17", "Smith, J.", "On widgets", "Journal of Widgets")
+    none = one(spark, P.paper_reference(F.lit("")))
+    assert none["type"] == 0 and none["year"] == "9999/01/01" and none["title"] is None
