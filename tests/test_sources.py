@@ -1,7 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from inkwarp.functions import patents as P
+from inkwarp.operators import store
 from inkwarp.sources import readers as R
 from inkwarp.sources import writers as W
 from inkwarp.streaming import incremental
@@ -70,3 +73,68 @@ def test_streams(spark, tmp_path):
     assert tuple(spark.table("sums").first()) == (2.0, 3.0, 6.0, 5.0, 10.0)
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert incremental.windowed_counts(events, "ts", "event_type").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_exports_without_header_and_with_other_fields(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ty\n1\t2\n1\t2\t3\n\n4\t\n")
+    (tmp_path / "b.txt").write_text("y\tx\n5\t6\n")
+    (tmp_path / "c.txt").write_text("")
+    rows, files = R.related_records(spark, str(tmp_path), ["x", "y"], [1])
+    assert sorted(r["y"] for r in rows.collect()) == ["", "2"]
+    assert sorted((r["good"], r["rows"], r["mismatched"]) for r in files.collect()) == [(False, 2, 0), (True, 2, 1)]
+
+
+def test_tables_of_distances_with_faults(spark, tmp_path):
+    (tmp_path / "t").write_text("# five\n3\na\nb\nc\n1\n2\n\n3\n")
+    found = sorted(tuple(r) for r in R.distances(spark, str(tmp_path / "t")).collect())
+    assert found == [(1, 0, "b", "a", 1.0), (2, 0, "c", "a", 2.0), (2, 1, "c", "b", 3.0)]
+    (tmp_path / "t").write_text("3\na\nb\nc\n1\n2\n")
+    with pytest.raises(Exception, match="missing"):
+        R.distances(spark, str(tmp_path / "t")).collect()
+    labels = spark.createDataFrame([("a",), ("b",)], "label string")
+    (tmp_path / "i").write_text("2\na\n1\n2\nb\n3\n4\n")
+    assert sorted((r["label"], *r["at"]) for r in R.placed(spark, str(tmp_path / "i"), labels, 2).collect()) == [("a", 1.0, 2.0), ("b", 3.0, 4.0)]
+    for text, message in (("3\na\n1\n2\n", "dimension"), ("2\na\n1\n2\n", "label b"), ("2\na\n1\n2\nb\n3\n4\nc\n5\n6\n", "label c"), ("2\na\n1\n2\nb\n3\n", "missing")):
+        (tmp_path / "i").write_text(text)
+        with pytest.raises(Exception, match=message):
+            R.placed(spark, str(tmp_path / "i"), labels, 2).collect()
+
+
+def test_settings_of_the_first_file(tmp_path):
+    (tmp_path / "b").write_text("a=1,2\na=3\n[g]\na=x\nc=y,\n")
+    found = R.first_settings([str(tmp_path / "none"), str(tmp_path / "b")])
+    assert R.overlaid(found, "g") == {"a": ["x"], "c": ["y"]} and R.overlaid(found, "none") == {"a": ["1", "2", "3"]}
+    assert R.first_settings([str(tmp_path / "none")]) == {"": {}}
+
+
+def test_databases(spark):
+    url = "jdbc:derby:memory:inkwarp;create=true"
+    spark.createDataFrame([(1, "x" * 50), (2, None)], "id int, t string").write.format("jdbc").options(url=url, dbtable="docs", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    found = R.jdbc(spark, url, "docs", 20, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert sorted((r[0], r[1]) for r in found.collect()) == [(1, "x" * 20), (2, None)]
+
+
+def test_searches_and_pages(spark):
+    t = spark.createDataFrame([(1, "Solar cell", "a"), (2, "cell", None), (3, None, "b")], "id int, t string, o string")
+    ids = lambda *x: sorted(r["id"] for r in R.search(t, *x).collect())
+    assert ids(("t", "CELL")) == [1, 2] and ids(("t", "cell"), ("o", "a")) == [1] and ids(("t", "solar"), ("o", "B"), "OR") == [1, 3] and ids(("t", "cell"), ("o", "a"), "and not") == [2]
+    assert [r["place"] for r in R.hits(t, ["id"], 2).collect()] == [1, 2]
+    assert "url=http://x" in W.redirect("http://x")
+
+
+def test_a_store_keeps_numbers_and_rows(spark, tmp_path):
+    page = lambda no, country: {"pat_no": no, "inventors": f"Lee; A (Town, {country})", "cites": []}
+
+    def pages(*rows):
+        df = spark.createDataFrame([tuple({**dict.fromkeys(P.FIELDS), **r}[f] for f in P.FIELDS) + (r["cites"], "html") for r in rows], ", ".join(f"{f} string" for f in P.FIELDS) + ", cites array<string>, html string")
+        return {k: v for k, v in store.tables(df).items() if k in ("owner", "class", "full_text")}
+
+    folder = str(tmp_path / "s")
+    store.save(pages(page("1", "ZZ"), page("", "NO")), folder)
+    store.save(pages(page("2", "AA"), page("1", "QQ")), folder)
+    numbers = {r["country"]: r["country_no"] for r in store.stored(spark, folder, "country").collect()}
+    owners = {r["patent_no"]: r["country_no"] for r in store.stored(spark, folder, "owner").collect()}
+    assert numbers["ZZ"] == 1 and owners == {"1": numbers["ZZ"], "2": numbers["AA"]} and len(set(numbers.values())) == len(numbers)
+    assert store.stored(spark, folder, "full_text").count() == 2 and store.stored(spark, folder, "none") is None
+    assert {r["patent_no"]: r["existed"] for r in store.has(spark.createDataFrame([("1",), ("9",)], "patent_no string"), store.stored(spark, folder, "owner"), "patent_no").collect()} == {"1": True, "9": False}
+    assert store.summary_pages(spark.createDataFrame([("1", 1, "task", "b"), ("1", 0, "abstract", None)], "patent_no string, sequence int, type string, summary string")).first()["html"] == "<h3>abstract</h3>\n\n<HR>\n<h3>task</h3>\nb"
