@@ -133,7 +133,7 @@ def owners(text: Column, raw: Column | None = None) -> Column:
 
 def fixed(x: Column, digits: int = 4) -> Column:
     """A number with so many digits after the point, as text (TX-39)."""
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def doubled(text: Column) -> Column:

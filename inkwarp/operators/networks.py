@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwarp.functions.text import fixed
 from inkwarp.session import settle
 
 
@@ -65,6 +66,13 @@ def dice(posting: DataFrame, df: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.col("n").alias("df12"), F.round(2 * F.col("n") / (F.col("df_a") + F.col("df_b")), 4).alias("dice"))
 
 
+def comparison(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(a, b, side, dice_1, dice_2) of two networks with weights (a, b, dice): whose the edge is, and its weight in each, as text of four decimals (CL-18)."""
+    one, two = (t.select("a", "b", F.col("dice").alias(f"d{i}")) for i, t in enumerate((first, second), 1))
+    side = F.when(F.col("d1").isNotNull() & F.col("d2").isNotNull(), "both").when(F.col("d1").isNotNull(), "left").otherwise("right")
+    return one.join(two, ["a", "b"], "full").select("a", "b", side.alias("side"), fixed(F.col("d1")).alias("dice_1"), fixed(F.col("d2")).alias("dice_2"))
+
+
 def links(pairs: DataFrame, counts: DataFrame, total: int, per_term: int) -> DataFrame:
     """(term, other, mi, place): each term's strongest links by ln(n12 N / (n1 n2)), to four decimals (KP-04, KP-05)."""
     both = pairs.select("a", "b", "df12").union(pairs.select("b", "a", "df12")).toDF("term", "other", "n12")

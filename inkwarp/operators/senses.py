@@ -67,6 +67,22 @@ def without_pointers(pointer: DataFrame, old: DataFrame) -> DataFrame:
     return pointer.join(old.select("src", "ptr", "dst").distinct(), ["src", "ptr", "dst"], "left_anti")
 
 
+def with_senses(sense: DataFrame, new: DataFrame) -> DataFrame:
+    """The index with new senses (word, pos, synset) after those that their words have, in order of synset; what is there already isn't added (GR-04)."""
+    new = new.select("word", "pos", "synset").distinct().join(sense, ["word", "pos", "synset"], "left_anti")
+    last = sense.groupBy("word", "pos").agg(F.max("sense_no").alias("last"))
+    place = F.row_number().over(Window.partitionBy("word", "pos").orderBy("synset"))
+    numbered = new.withColumn("place", place).join(last, ["word", "pos"], "left").select("word", "pos", (F.col("place") + F.coalesce("last", F.lit(0))).cast("int").alias("sense_no"), "synset")
+    return sense.select("word", "pos", "sense_no", "synset").unionByName(numbered)
+
+
+def without_senses(sense: DataFrame, pointer: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sense, pointer) without synsets (synset) and what points from or to them (GR-04)."""
+    gone = old.select("synset").distinct()
+    left = pointer.join(gone.withColumnRenamed("synset", "src"), "src", "left_anti").join(gone.withColumnRenamed("synset", "dst"), "dst", "left_anti")
+    return sense.join(gone, "synset", "left_anti"), left.select("src", "ptr", "dst")
+
+
 def traverse(pointer: DataFrame, kind: str, start: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, depth): all that is reached from senses by one kind of pointer, each once at its least depth (GR-05)."""
     nodes = None if start is None else start.select(F.col("synset").alias("node"))

@@ -12,6 +12,7 @@ from inkwarp.functions import text as T
 from inkwarp.operators import store as R
 from inkwarp.plans.registry import query
 from inkwarp.session import settle, shared_folder, table
+from inkwarp.sources import readers as I
 
 BR = "<BR><BR>"
 _BASE = "(SELECT c_custkey AS k, c_name AS name, lower(c_mktsegment) AS seg, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -252,3 +253,29 @@ def claims_page(spark, d):
 def record_pages(spark, d):
     p = R.records(_old(spark, d)).withColumn("b", F.split("html", "\n<HR>\n"))
     return p.select("patent_no", F.get("b", F.lit(2)).alias("title_block"), F.size("b").alias("blocks"))
+
+
+@query("sc10_saved_directory", _sql(f"{PIECES['no']} AS patent_no, true AS complete, {PIECES['title']} AS title"))
+def saved_directory(spark, d):
+    """Pages saved one a file, read from their folder and parsed."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    _composed(spark, d, html=OLD).write.option("maxRecordsPerFile", 1).text(folder)
+    p = I.pages(spark, folder, names="part-*").select("complete", P.old_pages("html").alias("p"))
+    return p.select(F.col("p.pat_no").alias("patent_no"), "complete", "p.title")
+
+
+@query("sk02_summary_pages", _sql(f"{PIECES['no']} AS patent_no, '<h3>abstract</h3>' || chr(10) || {PIECES['abstract']} || chr(10) || '<HR>' || chr(10) || '<h3>claims</h3>' || chr(10) AS html"))
+def summary_pages(spark, d):
+    t = R.descriptions(_old(spark, d)).filter("type in ('abstract', 'claims')")
+    return R.summary_pages(t.withColumn("summary", F.when(F.col("type") == "abstract", F.col("text"))))
+
+
+@query("tx44_citations", f"WITH b AS {_BASE} SELECT {PIECES['no']} AS patent_no, 'us' AS kind, 'Doe' || k || ', 1978, ' || (4000000 + k) AS citation FROM b UNION ALL SELECT {PIECES['no']}, 'us', 'Roe, 1990, ' || (4100000 + k) FROM b UNION ALL SELECT {PIECES['no']}, 'foreign', 'EP, 1991, EP' || k FROM b UNION ALL SELECT {PIECES['no']}, 'other', 'Smith, J., 1988, Journal of Widgets, ' || (k % 30 + 1) || ', ' || (k % 400 + 1) FROM b")
+def citations(spark, d):
+    p = _old(spark, d).select(F.col("pat_no").alias("patent_no"), P.routed(F.col("cites")).alias("r"))
+    parse = {"us": P.cited_patent, "foreign": P.cited_patent, "other": P.paper_reference}
+
+    def listed(kind: str):
+        return F.transform(F.col(f"r.{kind}"), lambda c: F.struct(F.lit(kind).alias("kind"), P.cited(kind, parse[kind](c)).alias("citation")))
+
+    return p.select("patent_no", F.inline(F.concat(*map(listed, parse))))

@@ -305,3 +305,37 @@ def is_broader(spark, d):
     p = _senses(spark, d)[2]
     up = p.filter("ptr = '@'")
     return G.are(p, "@", up.select(F.col("dst").alias("a"), F.col("src").alias("b")).union(up.select("src", "dst")))
+
+
+@query("gr04_edited_senses", "SELECT lower(c_name) AS word, 1 AS sense_no, 'n' || c_nationkey AS synset FROM customer WHERE c_custkey % 10 > 0 AND c_nationkey <> 3 UNION ALL SELECT lower(c_name), CASE WHEN c_custkey % 10 > 0 THEN 2 ELSE 1 END, 'x' || (c_custkey % 2) FROM customer")
+def edited_senses(spark, d):
+    """The index after each word was given a sense, and a synset was taken away."""
+    sense, _, pointer = _senses(spark, d)
+    new = table(spark, d, "customer").select(F.lower("c_name").alias("word"), F.lit("n").alias("pos"), F.expr("'x' || (c_custkey % 2)").alias("synset"))
+    return G.without_senses(G.with_senses(sense, new), pointer, spark.createDataFrame([("n3",)], "synset string"))[0].select("word", "sense_no", "synset")
+
+
+_NETS = f"k AS (SELECT k.*, lang = 'en' AS en FROM {_KEYS} k JOIN documents USING (doc_id) WHERE lang IS NOT NULL), df AS (SELECT en, term, count(*) AS df FROM k GROUP BY ALL HAVING count(*) BETWEEN 2 AND 30000), g AS (SELECT x.en, x.term AS a, y.term AS b, printf('%.4f', round(2.0 * count(*) / (any_value(p.df) + any_value(q.df)), 4)) AS dice FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.term < y.term JOIN df p ON p.en = x.en AND p.term = x.term JOIN df q ON q.en = y.en AND q.term = y.term GROUP BY x.en, x.term, y.term)"
+
+
+@query("cl18_network_comparison", f"WITH {_NETS} SELECT a, b, CASE WHEN bool_or(en) AND bool_or(NOT en) THEN 'both' WHEN bool_or(en) THEN 'left' ELSE 'right' END AS side, max(dice) FILTER (en) AS dice_1, max(dice) FILTER (NOT en) AS dice_2 FROM g GROUP BY a, b")
+def network_comparison(spark, d):
+    """The networks of key terms of English and other documents."""
+    nets = []
+    for op in ("=", "<>"):
+        p = settle(S.topics(table(spark, d, "documents").filter(f"lang {op} 'en'")).select("doc_id", "term"))
+        nets.append(N.dice(p, settle(K.document_frequency(p))))
+    return N.comparison(*nets)
+
+
+@query("tx40_today", "SELECT n_nationkey, strftime(current_date, '%Y') || '/' || month(current_date) || '/' || day(current_date) AS updated FROM nation")
+def today(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", T.today().alias("updated"))
+
+
+@query("cl16_ols_errors", "WITH s AS (SELECT count(*)::DOUBLE AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, avg(l_quantity) AS mx FROM lineitem), e AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS v FROM s) SELECT round(a + 10 * b, 2) AS value, round(sqrt(v * (1 / n + (10 - mx) * (10 - mx) / sxx)), 3) AS error, round(sqrt(v / sxx), 3) AS slope_error FROM e")
+def ols_errors(spark, d):
+    """The fitted price of ten pieces, a linear combination of coefficients, with its standard error."""
+    r = C.regression(table(spark, d, "lineitem").withColumn("one", F.lit(1.0)), "l_extendedprice", ["one", "l_quantity"])
+    value, error = C.combination(r, [1.0, 10.0])
+    return spark.createDataFrame([(round(value, 2), round(error, 3), round(float(r["errors"][1]), 3))], "value double, error double, slope_error double")
