@@ -147,6 +147,28 @@ def test_forest_goes_down_as_by_hand_and_learns():
     assert np.allclose(slow, f.score(x)) and ((f.score(x[400:]) > 0.5) == (y[400:] > 0)).mean() > 0.95
 
 
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        x, y = rng.integers(0, 8, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+        f = quality.fit(x, y, trees=1, depth=1, bins=64)
+        p = np.full(60, y.mean())
+        g, h, w = y - p, p * (1 - p), quality.LEAST_WEIGHT
+        gains = {}
+        for j in range(3):
+            for cut in np.unique(x[:, j])[:-1]:
+                left = x[:, j] <= cut
+                if h[left].sum() >= w and h[~left].sum() >= w:
+                    gains[j, cut] = sum(g[side].sum() ** 2 / (h[side].sum() + w) for side in (left, ~left)) - g.sum() ** 2 / (h.sum() + w)
+        root = f.roots[0]
+        if f.left[root] == root:
+            assert not gains or max(gains.values()) <= 1e-6
+            continue
+        assert gains[f.feature[root], f.cut[root]] == pytest.approx(max(gains.values()))
+        left = x[:, f.feature[root]] <= f.cut[root]
+        assert f.value[f.left[root]] == pytest.approx(quality.RATE * g[left].sum() / (h[left].sum() + w))
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
