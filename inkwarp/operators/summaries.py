@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkwarp.functions.text import let, occurrences, stems
 from inkwarp.operators.counting import postings
 
-CLUES = "improved reduced costly cost overhead avoid needed performance effectiveness efficiency problem difficult advantage suffer limit increase decrease weakness goal simplify shorten important issue resolve superior".split()
+CLUES = "advantage avoid cost costly decrease difficult effectiveness efficiency goal important improved increase issue limit needed overhead performance problem reduced resolve shorten simplify suffer superior weakness".split()
 
 
 def sentences(docs: DataFrame) -> DataFrame:
