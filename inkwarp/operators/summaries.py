@@ -5,12 +5,18 @@ Sentences of a text, their weights and scores are arrays in the text's own row;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from inkwarp.functions.text import let, occurrences, stems
-from inkwarp.operators.counting import postings
+from inkwarp.functions.text import let, stems
 
+_LETTERS = re.compile("[a-z]+")
 CLUES = "advantage avoid cost costly decrease difficult effectiveness efficiency goal important improved increase issue limit needed overhead performance problem reduced resolve shorten simplify suffer superior weakness".split()
 
 
@@ -65,15 +71,16 @@ def spliced(sents: Column) -> Column:
 
 
 def scored(sents: Column, terms: Column) -> Column:
-    """array<struct<para, sent, sentence, score>> of the sentences with a term: sum over occurrences of 0.5 + weight tf / most tf, by occurrences to the power 0.375 (TX-23, TX-24). terms: array<struct<term, tf>>."""
+    """array<struct<para, sent, sentence, score>> of the sentences with a term: sum over occurrences of 0.5 + weight tf / most tf, by occurrences to the power 0.375 (TX-23, TX-24). terms: array<struct<term, tf>>, in lower case."""
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
-    def one(x: Column, own: Column, most: Column) -> Column:
-        add = lambda a, t: let(occurrences(x["sentence"], t["term"]), lambda n: F.struct((a["sum"] + n * (0.5 + x["weight"] * t["tf"] / most)).alias("sum"), (a["n"] + n).alias("n")))
+    def one(x: Column, own: Column, most: Column, low: Column) -> Column:
+        times = lambda t: ((F.length(low) - F.length(F.replace(low, t["term"], F.lit("")))) / F.length(t["term"])).cast("int")
+        add = lambda a, t: let(times(t), lambda n: F.struct((a["sum"] + n * (0.5 + x["weight"] * t["tf"] / most)).alias("sum"), (a["n"] + n).alias("n")))
         score = lambda f: F.round(f["sum"] / F.pow(F.greatest(f["n"], F.lit(1)), F.lit(0.375)), 4)
         return let(F.aggregate(own, zero, add), lambda f: F.struct(x["para"].alias("para"), x["sent"].alias("sent"), x["sentence"].alias("sentence"), score(f).alias("score"), f["n"].alias("n")))
 
-    every = let(terms, lambda own: let(F.array_max(F.transform(own, lambda t: t["tf"])).cast("double"), lambda most: F.transform(sents, lambda x: one(x, own, most))))
+    every = let(terms, lambda own: let(F.array_max(F.transform(own, lambda t: t["tf"])).cast("double"), lambda most: F.transform(sents, lambda x: let(F.lower(x["sentence"]), lambda low: one(x, own, most, low)))))
     return F.filter(every, lambda x: x["n"] > 0)
 
 
@@ -84,20 +91,26 @@ def best(scores: Column, k: Column) -> Column:
 
 
 def phrases(docs: DataFrame, least: int = 2, longest: int = 4) -> DataFrame:
-    """(doc_id, term, words, tf): runs of two to longest words that a document has least times or more, without those that are always part of one longer run (KP-02)."""
-    words = docs.select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, F.lit(n)))
-    some = F.concat(*(F.when(F.size("w") >= n, gram(n)).otherwise(F.array().cast("array<array<string>>")) for n in range(2, longest + 1)))
-    counted = words.select("doc_id", F.explode(some).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("tf")).filter(F.col("tf") >= least)
-    within = counted.filter(F.size("g") > 2).select("doc_id", F.explode(F.array(F.slice("g", F.lit(1), F.size("g") - 1), F.slice("g", F.lit(2), F.size("g") - 1))).alias("g"), "tf").distinct()
-    return counted.join(within, ["doc_id", "g", "tf"], "left_anti").select("doc_id", F.array_join("g", " ").alias("term"), F.size("g").alias("words"), "tf")
+    """(doc_id, term, words, tf): runs of two to longest words that a document has least times or more, without those that are always part of one longer run (KP-02). A row is a document."""
+
+    @F.pandas_udf(ArrayType(StructType([StructField("term", StringType()), StructField("words", IntegerType()), StructField("tf", LongType())])))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            words = _LETTERS.findall((text or "").lower())
+            of = {n: {g: k for g, k in Counter(zip(*(words[i:] for i in range(n)), strict=False)).items() if k >= least} for n in range(2, longest + 1)}
+            within = {(part, k) for n in range(3, longest + 1) for g, k in of[n].items() for part in (g[:-1], g[1:])}
+            return [{"term": " ".join(g), "words": n, "tf": k} for n, grams in of.items() for g, k in grams.items() if (g, k) not in within]
+
+        return texts.map(one, na_action=None)
+
+    return docs.select("doc_id", F.inline_outer(run("text"))).filter("term is not null")  # without outer, a filter on sizes would run it twice
 
 
 def cleared(term: Column, stop: list[str]) -> Column:
     """A phrase without stop words at its ends, null where none is left (KP-03)."""
-    words = F.split(term, " ")
-    good = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~F.element_at(words, i).isin(*stop))
-    return F.when(F.size(good) > 0, F.array_join(F.slice(words, F.array_min(good), F.array_max(good) - F.array_min(good) + 1), " "))
+    good = lambda words: F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~F.element_at(words, i).isin(*stop))
+    cut = lambda words, at: F.when(F.size(at) > 0, F.array_join(F.slice(words, F.array_min(at), F.array_max(at) - F.array_min(at) + 1), " "))
+    return let(F.split(term, " "), lambda words: let(good(words), lambda at: cut(words, at)))
 
 
 def without_stop_words(posting: DataFrame, stop: DataFrame) -> DataFrame:
@@ -111,19 +124,38 @@ def of_terms(posting: DataFrame, terms: DataFrame) -> DataFrame:
     return posting.join(terms.select("term").distinct(), "term", "left_semi")
 
 
+def key_terms(text: Column, k: int = 12, shortest: int = 4) -> Column:
+    """array<struct<term, tf>>: a text's k first topics by tf times words: words of shortest letters or more, and pairs of words that it repeats (AG-09, AG-10).
+
+    Counting a text's words is the work of one row, so it is done in Arrow batches without an exchange.
+    """
+
+    @F.pandas_udf(ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())])))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict] | None:
+            if text is None:
+                return None
+            words = _LETTERS.findall(text.lower())
+            found = [(-n, w, n) for w, n in Counter(words).items() if len(w) >= shortest]
+            found += [(-2 * n, f"{a} {b}", n) for (a, b), n in Counter(zip(words, words[1:], strict=False)).items() if n > 1]
+            return [{"term": t, "tf": n} for _, t, n in heapq.nsmallest(k, found)]
+
+        return texts.map(one, na_action=None)
+
+    return run(text)
+
+
 def topics(docs: DataFrame, k: int = 12, shortest: int = 4) -> DataFrame:
-    """(doc_id, term, tf, place): a document's k first topics by tf times words: words of shortest letters or more, and pairs of words that it repeats (AG-09, AG-10)."""
-    one = postings(docs).filter(F.length("term") >= shortest).withColumn("words", F.lit(1))
-    every = one.unionByName(phrases(docs, 2, 2).select("doc_id", "term", "tf", "words"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.col("tf") * F.col("words")), "term"))
-    return every.withColumn("place", place).filter(F.col("place") <= k).select("doc_id", "term", "tf", "place")
+    """(doc_id, term, tf, place): key_terms of each document (doc_id, text)."""
+    found = docs.select("doc_id", F.posexplode_outer(key_terms(F.col("text"), k, shortest)).alias("place", "t"))  # without outer, a filter on sizes would run it twice
+    return found.filter("t is not null").select("doc_id", "t.term", "t.tf", (F.col("place") + 1).alias("place"))
 
 
 def scores(docs: DataFrame, k: int = 12) -> DataFrame:
     """(doc_id, scores) of documents (doc_id, text, section): the scored fit sentences by the document's topics; lines are paragraphs."""
-    terms = topics(docs, k).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
     sents = fit_sentences(weighted(F.split("text", "\n"), F.col("section")))
-    return docs.select("doc_id", "text", "section").join(terms, "doc_id").select("doc_id", scored(sents, F.col("terms")).alias("scores"))
+    found = docs.filter("text is not null").select("doc_id", "text", "section", key_terms(F.col("text"), k).alias("terms"))
+    return found.select("doc_id", F.when(F.size("terms") > 0, scored(sents, F.col("terms"))).alias("scores"))
 
 
 def section_summaries(rows: DataFrame, most: int = 6, fewer: dict[str, int] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def patent_numbers(spark, d):
     return I.patent_numbers(spark, _lines(rows, lines, _folder(spark)))
 
 
-_API = "SELECT 'P' || c_custkey AS patent_no, make_date(2001, 1 + c_nationkey % 12, 5) AS issued_date, 'T ' || c_custkey AS title, 'A ' || c_name AS abstract, '10/' || c_custkey AS apply_no, DATE '2000-02-03' AS apply_date, 'Aa, B' || c_custkey || ', Rome, IT; Zz, Y, Oslo, NO' AS inventors, 'Org ' || c_custkey || ', Bonn, DE' AS assignees, 'H01L; G06F' AS cpc_at_issue, 'A1' AS cpc_current FROM customer"
+_API = "SELECT 'P' || c_custkey AS patent_no, make_date(2001, 1 + c_nationkey % 12, 5)::VARCHAR AS issued_date, 'T ' || c_custkey AS title, 'A ' || c_name AS abstract, '10/' || c_custkey AS apply_no, '2000-02-03' AS apply_date, 'Aa, B' || c_custkey || ', Rome, IT; Zz, Y, Oslo, NO' AS inventors, 'Org ' || c_custkey || ', Bonn, DE' AS assignees, 'H01L; G06F' AS cpc_at_issue, 'A1' AS cpc_current FROM customer"
 
 
 @query("sc01_api_answers", _API)
@@ -55,7 +55,7 @@ def api_answers(spark, d):
     )
     path = _folder(spark)
     c.select(F.array(p).alias("patents")).write.json(path)
-    return I.patents(spark, path, lines=True)
+    return I.patents(spark, path, lines=True).withColumns({c: F.col(c).cast("string") for c in ("issued_date", "apply_date")})
 
 
 @query("sc03_search_count", "SELECT 'AND' AS op, count(*) AS n FROM documents WHERE lower(text) LIKE '%the%' AND lower(source) LIKE '%1%' UNION ALL SELECT 'OR', count(*) FROM documents WHERE lower(text) LIKE '%license%' OR lower(source) LIKE '%1%' UNION ALL SELECT 'ANDNOT', count(*) FROM documents WHERE lower(text) LIKE '%the%' AND NOT coalesce(lower(source) LIKE '%1%', false)")

@@ -180,9 +180,9 @@ def classes(spark, d):
     return R.class_items(p.withColumn("cpc_class", F.expr("' ; G06F ' || (k % 9) || '&nbsp(20060101);; H04L 1/' || k || '&nbsp()'").substr(2, 99)))
 
 
-@query("sk08_patent_info", _sql(f"{PIECES['no']} AS patent_no, 'US' AS country, make_date((1995 + k % 10)::BIGINT, (k % 12 + 1)::BIGINT, (1 + k % 28)::BIGINT) AS issued, {PIECES['title']} AS title, {PIECES['apply_no']} AS apply_no, make_date((1995 + k % 10)::BIGINT, (k % 12 + 1)::BIGINT, (1 + k % 28)::BIGINT) AS apply_date, {PIECES['search']} AS search_field"))
+@query("sk08_patent_info", _sql(f"{PIECES['no']} AS patent_no, 'US' AS country, make_date((1995 + k % 10)::BIGINT, (k % 12 + 1)::BIGINT, (1 + k % 28)::BIGINT)::VARCHAR AS issued, {PIECES['title']} AS title, {PIECES['apply_no']} AS apply_no, make_date((1995 + k % 10)::BIGINT, (k % 12 + 1)::BIGINT, (1 + k % 28)::BIGINT)::VARCHAR AS apply_date, {PIECES['search']} AS search_field"))
 def patent_info(spark, d):
-    return R.infos(_old(spark, d)).drop("family_id")
+    return R.infos(_old(spark, d)).drop("family_id").withColumns({c: F.col(c).cast("string") for c in ("issued", "apply_date")})
 
 
 _TITLES = {"application": "CASE k % 3 WHEN 0 THEN 'FIELD OF THE INVENTION' WHEN 1 THEN '1. Field of it' ELSE 'application' END", "task": "CASE k % 3 WHEN 1 THEN '2. Related Art' ELSE 'BACKGROUND' END", "summary": "'SUMMARY'", "drawings": "'BRIEF DESCRIPTION OF THE DRAWINGS'", "features": "'DETAILED DESCRIPTION'"}

@@ -11,7 +11,7 @@ from inkwarp.operators import counting as K
 from inkwarp.operators import networks as N
 from inkwarp.operators import summaries as S
 from inkwarp.plans.registry import query
-from inkwarp.session import settle, table
+from inkwarp.session import settle, spread, table
 from inkwarp.sources.writers import tagged_record
 
 CUT = 0.3
@@ -25,7 +25,7 @@ n AS (SELECT a.term AS a, b.term AS b, count(*) AS df12 FROM o a JOIN o b ON a.d
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 @query("kp01_token_counts", f"SELECT term, count(*) AS n FROM ({_TOKENS}) WHERE term <> '' GROUP BY term")
@@ -180,7 +180,7 @@ def _sections(spark, d):
 
 def _spread(rows, column):
     """An array of structs as rows with wide integers."""
-    return rows.select("doc_id", F.inline(column)).withColumns({"para": F.col("para").cast("bigint"), "sent": F.col("sent").cast("bigint")})
+    return rows.select("doc_id", F.inline_outer(column)).filter("sentence is not null").withColumns({"para": F.col("para").cast("bigint"), "sent": F.col("sent").cast("bigint")})
 
 
 @query("tx25_sentence_weights", f"WITH {_WEIGHTS} SELECT doc_id, para, sent, weight FROM w")
@@ -253,7 +253,7 @@ def sentence_rank(spark, d):
 
 @query("ag11_summary", f"WITH {_SCORES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para, sent) AS place, sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, para, sent) AS r FROM z) WHERE r <= 6")
 def summary(spark, d):
-    found = S.scores(_sections(spark, d)).select("doc_id", F.posexplode(S.best(F.col("scores"), F.lit(6))).alias("place", "x"))
+    found = S.scores(_sections(spark, d)).select("doc_id", F.posexplode_outer(S.best(F.col("scores"), F.lit(6))).alias("place", "x")).filter("x is not null")
     return found.select("doc_id", (F.col("place") + 1).cast("bigint").alias("place"), "x.sentence", "x.score")
 
 

@@ -18,7 +18,7 @@ from inkwarp.operators import store as R
 from inkwarp.operators import summaries as S
 from inkwarp.plans.queries import _KEYS, _STOP
 from inkwarp.plans.registry import query
-from inkwarp.session import settle, shared_folder, table
+from inkwarp.session import settle, shared_folder, spread, table
 from inkwarp.sources import writers as O
 
 
@@ -143,7 +143,7 @@ sims AS (SELECT a.doc_id AS i, b.doc_id AS j, round(sum(a.w * b.w), 4) AS sim FR
 
 def _index(spark, d):
     """Postings of the key terms that are single words."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return settle(S.topics(docs).filter("term not like '% %'").select("doc_id", "term", "tf"))
 
 

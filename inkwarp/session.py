@@ -33,3 +33,12 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores where its source has fewer (a file of one row group is one task); else as it is.
+
+    For work on rows alone that is dearer than moving them once. Only plans are asked, no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
