@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarp.llm.words import _BYTE, _powers, buffers, mix, slices, words
-from inkwarp.session import table
+from inkwarp.session import spread, table
 
 NAME = "op9_language"
 SQL = None
@@ -351,5 +351,5 @@ def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return spans(docs, train(docs))

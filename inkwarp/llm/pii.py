@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwarp.llm.words import slices
-from inkwarp.session import settle, table
+from inkwarp.session import settle, spread, table
 
 NAME = "op7_pii"
 SQL = None
@@ -402,4 +402,4 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of all documents."""
-    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replaced(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
