@@ -152,7 +152,7 @@ def topics(docs: DataFrame, k: int = 12, shortest: int = 4) -> DataFrame:
 
 
 def scores(docs: DataFrame, k: int = 12) -> DataFrame:
-    """(doc_id, scores) of documents (doc_id, text, section): the scored fit sentences by the document's topics; lines are paragraphs."""
+    """(doc_id, scores) of documents (doc_id, text, section): the scored fit sentences by the document's topics, null where it has none; lines are paragraphs, null texts are left out."""
     sents = fit_sentences(weighted(F.split("text", "\n"), F.col("section")))
     found = docs.filter("text is not null").select("doc_id", "text", "section", key_terms(F.col("text"), k).alias("terms"))
     return found.select("doc_id", F.when(F.size("terms") > 0, scored(sents, F.col("terms"))).alias("scores"))
