@@ -40,8 +40,8 @@ from inkwarp.session import settle, table
 
 NAME = "op6_jaccard_join"
 N, THRESHOLD, MOST_MATCHES, BLOCK, SHORT = 3, 0.5, 4, 2048, 24
-#: Bytes of text for one hash range; its grams take about three times as much in a worker.
-RANGE_BYTES = 16_000_000
+#: Bytes of text for one hash range; its grams take about ten times as much in a worker.
+RANGE_BYTES = 10_000_000
 #: Bytes of text that share one numbering of rows.
 SLICE = 4_000_000
 #: Rows of a slice at most, as they are numbered in 16 bits.
@@ -146,13 +146,12 @@ def _bytes(t: pa.Table, name: str, kind: type) -> list[np.ndarray]:
 def _tokens(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram, row, number of its blob) of one range."""
     rows = _bytes(t, "row", np.uint16)
-    place = np.concatenate(_bytes(t, "high", np.uint8)).reshape(-1, width)
-    tokens = place[:, 0].astype(np.uint64)
-    for i in range(1, width):
-        tokens |= place[:, i].astype(np.uint64) << np.uint64(8 * i)
-    tokens <<= np.uint64(32)
-    tokens |= np.concatenate(_bytes(t, "low", np.uint32))
-    return tokens, np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    ends = np.cumsum([0, *map(len, rows)])
+    tokens = np.zeros(ends[-1], "<u8")
+    low, high = tokens.view("<u4").reshape(-1, 2)[:, 0], tokens.view(np.uint8).reshape(-1, 8)[:, 4 : 4 + width]
+    for x, y, own, place in zip(ends[:-1], ends[1:], _bytes(t, "low", np.uint32), _bytes(t, "high", np.uint8), strict=True):  # filled in place, as copies are large
+        low[x:y], high[x:y] = own, place.reshape(-1, width)
+    return tokens, np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(ends))
 
 
 _COUNTED = "slice bigint, part int, low binary, high binary"
@@ -166,8 +165,9 @@ def _count(width: int):
             return t.select(["slice", "part", "low", "high"]) if part % 2 else pa.table({"slice": t.column("slice"), "part": t.column("part"), "low": t.column("row"), "high": pa.array([None] * t.num_rows, pa.binary())})
         tokens, row, blob = _tokens(t, width)
         order = np.argsort(tokens)
-        same = tokens[order][1:] == tokens[order][:-1]
-        again = np.zeros(len(tokens), bool)
+        tokens = tokens[order]
+        same = tokens[1:] == tokens[:-1]
+        again = np.zeros(len(row), bool)
         again[order[1:][same]] = again[order[:-1][same]] = True
         ends = np.searchsorted(blob[again], np.arange(t.num_rows + 1))
         found = row[again]
@@ -284,6 +284,8 @@ def _assemble(t: float, most: int):
         flat = np.concatenate([np.zeros(0, np.int64), *lists])
         at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
         values = (record[stay], size[stay], alone[stay].astype(np.int32), base[stay].astype(np.int32), cost.argmin(axis=0)[stay].astype(np.int32) + 1, np.array(least, np.int64), pa.ListArray.from_arrays(at, pa.array(flat)))
+        del rows, codes, part, row, tokens, order, scanned, lists, flat
+        trim()
         return pa.table(dict(zip(("record", "size", "alone", "base", "matches", "least", "tokens"), values, strict=True)))
 
     return run
@@ -344,8 +346,8 @@ def _matches(t: float, most: int):
             b = np.zeros((len(k), len(names)), np.float32)
             ok = e["level"][where] <= few
             b[row[ok], back[ok]] = 1
-            for low in range(0, len(asks), 1024):
-                some = asks[low : low + 1024]
+            for low in range(0, len(asks), 256):
+                some = asks[low : low + 256]
                 shared = b[:, some].T @ b
                 x, y = np.nonzero(shared)
                 n = shared[x, y].astype(np.int64)
@@ -353,7 +355,7 @@ def _matches(t: float, most: int):
                 ok = ((size[y] < size[x]) | (size[y] == size[x]) & (names[y] < names[x])) & (size[y] >= size[x] * t - 1e-9)
                 if e["cross"][where[0]]:
                     ok &= half[x] != half[y]
-                found.append((names[x[ok]], names[y[ok]], n[ok], matches[x[ok]]))
+                found.append((names[x[ok]], names[y[ok]], n[ok].astype(np.int32), matches[x[ok]]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,6 +377,9 @@ def _matches(t: float, most: int):
             if found:
                 a, b, shared, matches = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(shared, 127).astype(np.int8)), pa.array(matches.astype(np.int8))], ["a", "b", "shared", "matches"])
+                del a, b, shared, matches
+            del found, e, lists
+            trim()
 
     return run
 
