@@ -382,6 +382,41 @@ def test_broadcast_or_join_drops_the_same_rows(spark, monkeypatch, odd):
     assert Counter(map(str, jaccard.deduplicated(odd).collect())) == first
 
 
+@pytest.mark.parametrize("small", [{"PIECE": 40, "PAIRS": 16, "CELLS": 64}, {"CHUNK": 4, "BLOCK_GRAMS": 100}, {"PIECE": 1, "PAIRS": 1, "CELLS": 1, "CHUNK": 1, "BLOCK_GRAMS": 1}])
+def test_links_are_the_same_in_small_pieces(spark, monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(3)
+    rows = list(enumerate(x for size, words in ((60, 40), (30, 12), (5, 300), (3, 5), (1, 30)) for x in family(rng, size, words, 3000)))
+    found = jaccard.linked(table(spark, rows).repartition(3)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in found} == brute_links(rows) and len(found) == len(rows)
+
+
+def test_a_large_family_crosses_in_bounded_batches(spark, monkeypatch):
+    matches = jaccard._matches
+
+    def measured(t, most):
+        run = matches(t, most)
+
+        def bounded(batches):
+            def checked(some, bytes_):
+                for batch in some:
+                    if batch.nbytes > bytes_:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+
+            return checked(run(checked(batches, 1 << 20)), 20 << 20)
+
+        return bounded
+
+    monkeypatch.setattr(jaccard, "_matches", measured)
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(words + " end"), F.col("id").cast("string")).alias("text"))
+    _, heavy = jaccard._marks(docs, 3)
+    survivors = jaccard.settle(jaccard._survivors(docs, heavy, 3, 0.5, 4))
+    assert survivors.count() == 2000 and jaccard._candidates(survivors, 0.5, 4).count() == 2000 * 1999 // 2
+
+
 @pytest.mark.parametrize("rows", ["100000", "0"])
 def test_batches_of_any_number_of_rows(spark, rows):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
