@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from inkwarp.llm import jaccard, mixing, packing, pii, quality
@@ -132,3 +133,24 @@ def test_only_the_last_result_stays(spark):
     found = cp.run(spark, D)
     new = [x for x in os.listdir(folder) if x.startswith("pipeline-") and x not in before]
     assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == ["4-packing"] and found.count()
+
+
+def test_near_duplicates_of_a_large_family_cross_in_bounded_batches(spark, monkeypatch):
+    matches = jaccard._matches
+
+    def bounded(t, most):
+        run = matches(t, most)
+
+        def checked(batches):
+            for batch in run(batches):
+                if batch.nbytes > 20 << 20:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_matches", bounded)
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(1, 1801).select(F.col("id").alias("doc_id"), F.concat(F.lit(words + " end"), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(5000, "quite another text with words of its own")], docs.schema))
+    assert sorted(r["doc_id"] for r in cp.distinct(spark, docs, "").collect()) == [1, 5000]
