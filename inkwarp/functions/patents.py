@@ -31,12 +31,17 @@ class Node:
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        #: Of a page's root: the elements of each tag in the order of the page, and the first of a tag by its text.
+        self.of: dict[str, list[Node]] | None = None
+        self.first: dict[str, dict[str, Node]] = {}
 
     def text(self) -> str:
         return "" if self.tag in ("script", "style") else "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
     def down(self, tag: str, ok: Callable[[Node], bool] = lambda n: True) -> Node | None:
         """The first element of this tag, itself or below, that is ok."""
+        if self.of is not None:
+            return next((n for n in self.of.get(tag, ()) if ok(n)), None)
         waiting: list[Node] = [self]
         while waiting:
             n = waiting.pop()
@@ -45,6 +50,14 @@ class Node:
             waiting += [c for c in reversed(n.children) if not isinstance(c, str)]
         return None
 
+    def saying(self, tag: str, text: str) -> Node | None:
+        """The first element of this tag in a page whose text, stripped, is this one; each text is made once."""
+        if tag not in self.first:
+            self.first[tag] = {}
+            for n in (self.of or {}).get(tag, ()):
+                self.first[tag].setdefault(n.text().strip(), n)
+        return self.first[tag].get(text)
+
     def after(self) -> list[str | Node]:
         """What follows it in its parent."""
         if self.parent is None:
@@ -56,6 +69,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        self.root.of = {"html": [self.root]}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         close = _CLOSES.get(tag, set())
@@ -68,6 +82,7 @@ class _Builder(HTMLParser):
             n = n.parent
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
+        self.root.of.setdefault(tag, []).append(node)  # elements open in the order of the page
         if tag not in _VOID:
             self.at = node
 
@@ -97,7 +112,7 @@ def day_of(text: str) -> str:
 
 def _labelled(root: Node, tag: str, label: str) -> str:
     """The text of the first element with any after the one that is the label."""
-    n = root.down(tag, lambda x: x.text().strip() == label)
+    n = root.saying(tag, label)
     return next((t for c in (n.after() if n else ()) if not isinstance(c, str) and (t := c.text()).strip()), "")
 
 

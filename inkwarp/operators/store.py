@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwarp.functions import patents as P
 from inkwarp.functions import text as T
 from inkwarp.operators.counting import renumbered
-from inkwarp.session import settle
+from inkwarp.session import deleted, settle, written
 
 #: Description fields in their sequence, and fields of classes.
 DESCRIPTIONS = ("application", "task", "abstract", "summary", "features", "topics", "claims", "drawings")
@@ -115,10 +115,16 @@ def has(keys: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
 def save(found: dict[str, DataFrame], folder: str, key: str = "patent_no", update: bool = False) -> None:
     """Adds the patents that a table doesn't have yet; with update those it has are replaced, and others aren't added. A second run changes nothing (SK-06, SK-07).
 
-    Countries and kinds are numbered in the dimensions country and type, which keep the numbers they have.
+    Countries and kinds are numbered in the dimensions country and type, which keep the numbers they have. Tables with names of
+    theirs are made once, as their names are read before they are.
     """
-    spark = next(iter(found.values())).sparkSession
-    for dimension, name, number in (("country", "country", "country_no"), ("type", "type", "type_no")):
+    spark, paths = next(iter(found.values())).sparkSession, []
+    dimensions = (("country", "country", "country_no"), ("type", "type", "type_no"))
+    for k, t in found.items():
+        if any(dict(t.dtypes).get(name) == "string" for _, name, _ in dimensions):
+            found = found | {k: (made := written(t))[0]}
+            paths.append(made[1])
+    for dimension, name, number in dimensions:
         own = [t.select(name) for t in found.values() if name in t.columns and dict(t.dtypes)[name] == "string"]
         if own:
             names = own[0]
@@ -137,6 +143,8 @@ def save(found: dict[str, DataFrame], folder: str, key: str = "patent_no", updat
             settle(now.join(t.select(key).distinct(), key, "left_anti").unionByName(own)).write.mode("overwrite").parquet(f"{folder}/{k}")
         else:
             t.join(now.select(key).distinct(), key, "left_anti").write.mode("append").parquet(f"{folder}/{k}")
+    for path in paths:
+        deleted(spark, path)
 
 
 def records(p: DataFrame) -> DataFrame:

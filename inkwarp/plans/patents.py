@@ -11,7 +11,7 @@ from inkwarp.functions import patents as P
 from inkwarp.functions import text as T
 from inkwarp.operators import store as R
 from inkwarp.plans.registry import query
-from inkwarp.session import settle, shared_folder, table
+from inkwarp.session import deleted, scattered, shared_folder, table, written
 from inkwarp.sources import readers as I
 
 BR = "<BR><BR>"
@@ -73,7 +73,7 @@ NEW = " || ".join([
 
 
 def _composed(spark: SparkSession, d: str, **columns: str) -> DataFrame:
-    base = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    base = scattered(table(spark, d, "customer"), "c_custkey").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     base = base.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("seg"), F.col("n_name").alias("nation"))
     return base.select(*(F.expr(v).alias(c) for c, v in columns.items()))
 
@@ -197,10 +197,11 @@ def descriptions(spark, d):
 def _store(spark: SparkSession, d: str, runs: int = 2) -> str:
     """The store of all pages, saved more than once: what is there is left alone."""
     folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    p = settle(R.with_sections(_old(spark, d)))
+    p, path = written(R.with_sections(_old(spark, d)))
     for i in range(runs):
         part = p.filter("cast(pat_no as bigint) % 2 = 0") if i == 0 else p
         R.save(R.tables(part, None, "pages", "http://localhost/$patnum"), folder)
+    deleted(spark, path)
     return folder
 
 
@@ -228,10 +229,11 @@ def dimensions(spark, d):
 @query("sk07_update", _sql(f"{PIECES['no']} AS patent_no, CASE WHEN k % 5 = 0 THEN 'new' ELSE 'http://localhost/' || {PIECES['no']} END AS url"))
 def update(spark, d):
     folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    p = settle(_old(spark, d))
+    p, path = written(_old(spark, d).select("pat_no", "html"))
     R.save({"full_text": R.full_texts(p, "pages", "http://localhost/$patnum")}, folder)
     again = p.filter("cast(pat_no as bigint) % 5 = 0").unionByName(p.limit(1).withColumn("pat_no", F.lit("none")))
     R.save({"full_text": R.full_texts(again, "pages", "new")}, folder, update=True)
+    deleted(spark, path)
     return R.stored(spark, folder, "full_text").select("patent_no", "url")
 
 
