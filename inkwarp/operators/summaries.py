@@ -158,20 +158,25 @@ def scores(docs: DataFrame, k: int = 12) -> DataFrame:
     return found.select("doc_id", F.when(F.size("terms") > 0, scored(sents, F.col("terms"))).alias("scores"))
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())])))
+def word_counts(texts: pd.Series) -> pd.Series:
+    """The words of each text with their numbers. They are the work of one row, so nothing is exchanged."""
+    return texts.map(lambda text: [{"term": t, "tf": n} for t, n in sorted(Counter(_LETTERS.findall(text.lower())).items())], na_action="ignore")
+
+
 def section_summaries(rows: DataFrame, most: int = 6, fewer: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, section, summary) of sections (doc_id, section, title, paras): the best sentences by all words of section and title (TX-26).
 
-    Words in the title count with their tf there too; in tasks, summaries and features CLUES count once more, and of many sentences
+    A row is a section. Words in the title count with their tf there too; in tasks, summaries and features CLUES count once more, and of many sentences
     the middle is left out. fewer: sentences for sections that have another number than most.
     """
     rows = rows.filter(F.size("paras") > 0)
-    words = lambda text: F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-    clue = F.when(F.col("section").isin("task", "summary", "features"), F.array(*map(F.lit, CLUES))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(words(F.array_join("paras", " ")), words(F.coalesce("title", F.lit(""))), clue)
-    terms = rows.select("doc_id", "section", F.explode(every).alias("term")).groupBy("doc_id", "section", "term").agg(F.count("*").alias("tf")).groupBy("doc_id", "section").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    clue = F.when(F.col("section").isin("task", "summary", "features"), " ".join(CLUES)).otherwise("")
+    every = F.concat_ws(" ", F.array_join("paras", " "), F.coalesce("title", F.lit("")), clue)
     k = F.lit(most)
     for name, n in (fewer or {}).items():
         k = F.when(F.col("section") == name, n).otherwise(k)
     sents = fit_sentences(weighted(F.col("paras"), F.col("section")))
-    found = rows.join(terms, ["doc_id", "section"]).withColumn("sents", F.when(F.col("section").isin("task", "summary", "features"), spliced(sents)).otherwise(sents))
+    rows = rows.filter("doc_id is not null and section is not null").filter(F.lower(every).rlike("[a-z]"))  # a filter on the counts would make them twice
+    found = rows.withColumn("terms", word_counts(every)).withColumn("sents", F.when(F.col("section").isin("task", "summary", "features"), spliced(sents)).otherwise(sents))
     return found.select("doc_id", "section", F.transform(best(scored(F.col("sents"), F.col("terms")), k), lambda x: x["sentence"]).alias("summary"))

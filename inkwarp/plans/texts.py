@@ -18,7 +18,7 @@ from inkwarp.operators import store as R
 from inkwarp.operators import summaries as S
 from inkwarp.plans.queries import _KEYS, _STOP
 from inkwarp.plans.registry import query
-from inkwarp.session import settle, shared_folder, spread, table
+from inkwarp.session import scattered, settle, shared_folder, spread, table
 from inkwarp.sources import writers as O
 
 
@@ -132,7 +132,7 @@ _CASE = "CASE c_custkey % 3 WHEN 0 THEN 'task' WHEN 1 THEN 'abstract' ELSE 'feat
 def section_summaries(spark, d):
     """The best sentence of three kinds of sections; clue words count in tasks and features."""
     paras = F.array(F.concat(F.lit("The "), "c_name", F.lit(" engine drives the large engine rotor.")), F.lit("FIG. 1 shows it in all its detail here."), F.lit("The cost problem of the engine is an important issue here."), F.lit("and so it is with all the rest of them."))
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_CASE).alias("section"), F.concat(F.lit("engine engine "), F.lower(F.lit("rotor"))).alias("title"), paras.alias("paras"))
+    rows = scattered(table(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.expr(_CASE).alias("section"), F.concat(F.lit("engine engine "), F.lower(F.lit("rotor"))).alias("title"), paras.alias("paras"))
     return S.section_summaries(rows, 6, {"task": 1, "abstract": 1, "features": 1}).select("doc_id", "section", F.col("summary")[0].alias("summary"))
 
 
