@@ -93,8 +93,8 @@ def existed(spark, d):
 def saved_pages(spark, d):
     path = _folder(spark)
     table(spark, d, "pages").select("html").write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
-    found = I.pages(spark, path, names="part-*")
-    return found.groupBy(F.md5(F.replace("html", F.lit("\x00"), F.lit(""))).alias("page"), "complete").agg(F.count("*").alias("n"))
+    found = I.pages(spark, path, names="part-*", end="\x00")
+    return found.groupBy(F.md5("html").alias("page"), "complete").agg(F.count("*").alias("n"))
 
 
 _HEAD = [f"F{i}" for i in range(37)] + ["UT"]

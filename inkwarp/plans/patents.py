@@ -262,7 +262,7 @@ def saved_directory(spark, d):
     """Pages saved one a file, read from their folder and parsed."""
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
     _composed(spark, d, html=OLD).write.option("maxRecordsPerFile", 1).text(folder)
-    p = I.pages(spark, folder, names="part-*").select("complete", P.old_pages("html").alias("p"))
+    p = I.pages(spark, folder, names="part-*", end="\n").select("complete", P.old_pages("html").alias("p"))
     return p.select(F.col("p.pat_no").alias("patent_no"), "complete", "p.title")
 
 

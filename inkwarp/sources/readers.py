@@ -44,10 +44,14 @@ def patents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, path: str, least: int = 1000, names: str = "*.htm*") -> DataFrame:
-    """(path, html, complete): saved pages, also in folders below; complete: least characters or more (SC-09 to SC-11)."""
+def pages(spark: SparkSession, path: str, least: int = 1000, names: str = "*.htm*", end: str = "") -> DataFrame:
+    """(path, html, complete): saved pages, also in folders below; complete: least characters or more (SC-09 to SC-11).
+
+    end: what their writer puts after each page and is no part of it.
+    """
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path, wholetext=True)
-    return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"), (F.length("value") >= least).alias("complete"))
+    html = F.when(F.endswith("value", F.lit(end)), F.substring("value", F.lit(1), F.length("value") - len(end))).otherwise(F.col("value")) if end else F.col("value")
+    return t.select(F.col("_metadata.file_path").alias("path"), html.alias("html")).withColumn("complete", F.length("html") >= least)
 
 
 def delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
