@@ -92,7 +92,7 @@ def existed(spark, d):
 @query("sc11_saved_pages", "SELECT md5(html) AS page, length(html) >= 1000 AS complete, count(*) AS n FROM pages GROUP BY ALL")
 def saved_pages(spark, d):
     path = _folder(spark)
-    table(spark, d, "pages").select("html").write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
+    O.write_pages(table(spark, d, "pages"), path, "\x00")
     found = I.pages(spark, path, names="part-*", end="\x00")
     return found.groupBy(F.md5("html").alias("page"), "complete").agg(F.count("*").alias("n"))
 
